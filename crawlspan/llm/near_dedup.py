@@ -2,11 +2,13 @@
 
 1. Each text becomes its set of word shingles (64-bit hashes), the minima of many universal hash functions over the set,
    and one bucket for each band of minima. Equal sets collapse to one class; only classes go on.
-2. In each bucket every class pairs with the bucket's smallest class: a hot bucket costs its size, not its square. Pairs
-   whose signatures agree too little are dropped, the rest are checked on the full sets.
+2. In each bucket every class pairs with the bucket's most popular class, the one that shares most buckets with others: a
+   hot bucket costs its size, not its square, and the original of many near copies gets all of them. Pairs whose
+   signatures agree too little are dropped, the rest are checked on the full sets.
 3. Components come from alternating large-star and small-star steps over the links.
-4. Where a bucket still holds several components, members of different ones pair up, so that no link between them is
-   lost; then components are made again.
+4. Where a bucket still holds several components, its members go through an exact set join: rare shingles first, two sets
+   that are similar enough share one among the first few of each. Documents that merely have a large part in common differ
+   in their rare shingles and never pair. Links found there make the components anew.
 
 The bands are as many as make the chance to miss a pair at the threshold less than MISS.
 
@@ -23,7 +25,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlspan.llm.common import Settled, settle, small_batches
@@ -158,20 +160,36 @@ class NearDedup:
         self.rows = rows or (5 if percent >= 85 else 4)
         self.bands = bands_for(percent / 100, self.rows)
 
-    def _agree(self, a: str, b: str) -> F.Column:
-        """Whether two signatures agree in enough places to be worth a full check: six deviations below the threshold."""
+    def _linked(self, pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets are similar enough; signatures that agree six deviations too seldom spare a
+        pair the full check."""
         n, t = self.rows * self.bands, self.percent / 100
         least = n * t - 6 * math.sqrt(n * t * (1 - t))
-        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x)) >= least
-
-    def _verified(self, pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar enough."""
         sig = lambda k: signatures.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"))
-        pairs = settle(settle(pairs.distinct()).join(sig("a"), "a").join(sig("b"), "b").filter(self._agree("sa", "sb")).select("a", "b"))
+        agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
+        pairs = settle(settle(pairs.distinct()).join(sig("a"), "a").join(sig("b"), "b").filter(agree >= least).select("a", "b"))
         items = lambda k: sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}"))
-        full = pairs.join(items("a"), "a").join(items("b"), "b")
         shared = F.size(F.array_intersect("ia", "ib"))
-        return full.withColumn("shared", shared).filter(100 * F.col("shared") >= self.percent * (F.size("ia") + F.size("ib") - F.col("shared"))).select("a", "b").distinct()
+        near = pairs.join(items("a"), "a").join(items("b"), "b").select("a", "b", shared.alias("shared"), (F.size("ia") + F.size("ib")).alias("both"))
+        return near.filter(100 * F.col("shared") >= self.percent * (F.col("both") - F.col("shared"))).select("a", "b").distinct()
+
+    def _across(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+        """Pairs (a, b) of ``nodes`` (node, component) of different components that can be similar enough, by prefixes.
+
+        With shingles in order of rarity, similar sets share one of the first |x| - 2t/(1+t)|x| + 1 of the smaller and
+        the first |y| - t|y| + 1 of the larger set.
+        """
+        p = self.percent
+        each = sets.join(nodes, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+        seen = settle(each.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")))
+        place = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
+        ranked = each.join(seen, "item").withColumn("at", place).filter((F.col("low") != F.col("high")) & (F.col("at") <= F.col("n") - F.ceil(p * F.col("n") / 100) + 1))
+        ranked = settle(ranked.select("item", "node", "component", "n", "at"))
+        x, y = ranked.filter(F.col("at") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p)) + 1).alias("x"), ranked.alias("y")
+        sizes = (F.col("x.n") <= F.col("y.n")) & (p * F.col("y.n") <= 100 * F.col("x.n"))
+        room = (100 + p) * (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))) >= p * (F.col("x.n") + F.col("y.n"))
+        pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.component") != F.col("y.component")) & sizes & room)
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
 
     def groups(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
@@ -182,25 +200,26 @@ class NearDedup:
         # One class for each set; its node is its smallest id. Copies leave after this, however many they are.
         classes = settle(named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")))
         in_bucket = settle(classes.select("node", F.explode("buckets").alias("bucket")).distinct())
-        full_buckets = settle(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1").select("bucket", "leader"))
-        members = settle(in_bucket.join(full_buckets, "bucket"))
+        full_buckets = settle(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
+        shared = settle(in_bucket.join(full_buckets, "bucket"))
+        popular = settle(shared.groupBy("node").agg(F.sum("size").alias("popular")))
+        leaders = settle(shared.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader")))
+        members = settle(shared.select("bucket", "node").join(leaders, "bucket"))
         nodes = settle(members.select("node").distinct())
         signatures = settle(classes.select("node", "signature").join(nodes, "node", "left_semi"))
         sets = settle(rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(partial(_sets, width=self.width), "node long, items array<long>"))
-        links = settle(self._verified(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), signatures, sets))
+        links = settle(self._linked(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), signatures, sets))
         # Rows under one id with different texts join their classes.
         again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("doc_id")
         same = named.filter("n > 0").join(again, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
         links = settle(links.unionByName(same))
         found = settle(components(links))
         # Members of different components in one bucket, other than those that met its leader already.
-        placed = members.filter("node <> leader").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        placed = settle(placed.select("bucket", "node", "component"))
+        placed = members.filter("node <> leader").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+        placed = settle(placed)
         mixed_up = settle(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket"))
-        rest = settle(placed.join(mixed_up, "bucket"))
-        x, y = rest.alias("x"), rest.alias("y")
-        cross = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        more = settle(self._verified(cross, signatures, sets))
+        rest = settle(placed.join(mixed_up, "bucket").select("node", "component").distinct())
+        more = settle(self._linked(self._across(rest, sets), signatures, sets))
         if not more.isEmpty():
             found = settle(components(links.unionByName(more)))
         placed_class = settle(classes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")))
