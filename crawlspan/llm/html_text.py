@@ -290,7 +290,10 @@ def _fit(pdf):
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> tuple[list[float], tuple[float, float]]:
     """Trains on a bounded sample; one task reads it."""
-    sample = pages.select(F.xxhash64(F.col(id_col)).alias("at"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < 1_000_000)).orderBy("at").limit(MOST_PAGES)
+    marked = pages.select(F.col(id_col).cast("long").alias("i"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < 1_000_000))
+    # The sample is drawn on ids alone; only its own pages travel.
+    drawn = marked.select(F.xxhash64("i").alias("at"), "i").dropna().distinct().orderBy("at", "i").limit(MOST_PAGES)
+    sample = marked.join(F.broadcast(drawn), "i").select("at", "html")  # MOST_PAGES ids at most
     row = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, "weights array<double>, pair array<double>").first()
     return (list(row[0]), (row[1][0], row[1][1])) if row else (list(START), START_PAIR)
 
