@@ -32,13 +32,17 @@ from crawlspan.llm.exact_dedup import _maybe, repeat_filter
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash sees.
 SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
 #: Cached words of a worker; longer ones (characters) are not cached.
-WORDS, LONG_WORD = 400_000, 48
+WORDS, LONG_WORD = 300_000, 48
+#: Marks that are a token run of their own after a letter or digit.
+MARKS = ".,!?;:%$#&*"
 
 
 class WordEncoder:
     """Encodes by the tokenizers library, white-space separated word by word, and keeps the ids of words seen lately.
 
-    The tokenizer must drop white space and never look across it; the caller chooses it so.
+    The tokenizer must drop white space and never look across it, make a digit a token of its own, part letters from
+    marks, and lower-case; the caller chooses it so. New words go to it together, parted by the digit 0, and marks at the
+    end of a word go apart from it.
     """
 
     def __init__(self, path: str) -> None:
@@ -48,23 +52,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.type = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        self.zero = self._plain(["0"])[0]
+
+    def _plain(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, stems: list[str]) -> None:
+        together = [w for w in stems if "0" not in w]
+        for k in range(0, len(together), 1000):
+            part = together[k : k + 1000]
+            ids = self._plain([" 0 ".join(part)])[0]
+            at = np.flatnonzero(ids == self.zero[0])
+            if len(self.zero) == 1 and len(at) == len(part) - 1:
+                self.stems.update((w, ids[i:j].tobytes()) for w, i, j in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True))
+            else:
+                self.stems.update((w, x.tobytes()) for w, x in zip(part, self._plain(part), strict=True))
+        rest = [w for w in stems if "0" in w]
+        self.stems.update((w, x.tobytes()) for w, x in zip(rest, self._plain(rest), strict=True))
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        if len(self.kept) > WORDS:
-            self.kept.clear()
-        new = [w for w in words if w not in self.kept]
-        found = dict(zip(new, (np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-        self.kept.update(found)
-        get = self.kept.__getitem__
-        last = np.array([end], self.type).tobytes()
+        if len(self.words) > WORDS:
+            self.words.clear()
+        if len(self.stems) > WORDS:
+            self.stems.clear()
+        new: dict[str, tuple[str, ...]] = {}
+        for w in set().union(*split).difference(self.words):
+            stem = w.rstrip(MARKS)
+            if not w or not stem or not stem[-1].isalnum():
+                new[w] = (w,) if w else ()
+            else:
+                stem_key = stem.lower() if stem.isascii() else stem
+                new[w] = (stem_key, w[len(stem) :]) if len(stem) < len(w) else (stem_key,)
+        self._learn([x for x in {x for parts in new.values() for x in parts} if x not in self.stems])
+        self.words.update((w, b"".join(self.stems[x] for x in parts)) for w, parts in new.items())
+        get, last = self.words.__getitem__, np.array([end], self.type).tobytes()
         out = [b"".join(map(get, s)) + last for s in split]
-        for w in found:
-            if len(w) > LONG_WORD:
-                del self.kept[w]
+        for kept in (self.words, self.stems):
+            for w in [x for x in (new if kept is self.words else {x for parts in new.values() for x in parts}) if len(x) > LONG_WORD]:
+                kept.pop(w, None)
         return out
 
 
