@@ -14,7 +14,9 @@ their own, ordered by content; an empty table makes an empty store.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,8 +33,10 @@ from crawlspan.llm.exact_dedup import _maybe, repeat_filter
 
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash sees.
 SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
-#: Cached words of a worker; longer ones (characters) are not cached.
-WORDS, LONG_WORD = 300_000, 48
+#: Cached words of a worker's newer and of its older half; longer ones (characters) are not cached.
+WORDS, LONG_WORD = 250_000, 48
+#: Words of Latin-1 letters alone.
+LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Marks that are a token run of their own after a letter or digit.
 MARKS = ".,!?;:%$#&*"
 
@@ -42,7 +46,8 @@ class WordEncoder:
 
     The tokenizer must drop white space and never look across it, make a digit a token of its own, part letters from
     marks, and lower-case; the caller chooses it so. New words go to it together, parted by the digit 0, and marks at the
-    end of a word go apart from it.
+    end of a word go apart from it. If the file says that it lower-cases and writes bytes as characters, words of Latin-1
+    letters alone go to its merges with both done to all of them at once; composing leaves such words as they are.
     """
 
     def __init__(self, path: str) -> None:
@@ -52,51 +57,91 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = _merges_alone(path)
         self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.type = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
-        self.zero = self._plain(["0"])[0]
-
-    def _plain(self, words: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _learn(self, stems: list[str]) -> None:
-        together = [w for w in stems if "0" not in w]
-        for k in range(0, len(together), 1000):
-            part = together[k : k + 1000]
-            ids = self._plain([" 0 ".join(part)])[0]
-            at = np.flatnonzero(ids == self.zero[0])
-            if len(self.zero) == 1 and len(at) == len(part) - 1:
-                self.stems.update((w, ids[i:j].tobytes()) for w, i, j in zip(part, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], strict=True))
+        self.zero = self.tokenizer.encode("0", add_special_tokens=False).ids
+
+    def _ids(self, stems: list[str], tokenizer) -> list[bytes]:
+        """Ids of words without the digit 0."""
+        out: list[bytes] = []
+        for k in range(0, len(stems), 200):
+            part = stems[k : k + 200]
+            text = " 0 ".join(part)
+            if tokenizer is self.merges:
+                text = codecs.charmap_decode(text.lower().encode(), "strict", _BYTE_CHARS)[0]
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.type)
+            at = np.flatnonzero(ids == self.zero[0]) if len(self.zero) == 1 else ()
+            if len(at) == len(part) - 1:
+                raw, w = ids.tobytes(), ids.itemsize
+                out += [raw[i:j] for i, j in zip([0, *((at + 1) * w).tolist()], [*(at * w).tolist(), len(raw)], strict=True)]
             else:
-                self.stems.update((w, x.tobytes()) for w, x in zip(part, self._plain(part), strict=True))
-        rest = [w for w in stems if "0" in w]
-        self.stems.update((w, x.tobytes()) for w, x in zip(rest, self._plain(rest), strict=True))
+                out += self._plain(part)
+        return out
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Adds the words ``new``; what they end in and what stands before it are words too."""
+        parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) and len(stem) < len(w) and stem[-1].isalnum()}
+        alone = {x for pair in parts.values() for x in pair if x not in self.words} | new.difference(parts)
+        alone.discard("")
+        letters = [w for w in alone if LETTERS(w)] if self.merges else []
+        others = alone.difference(letters)
+        zeros = [w for w in others if "0" in w]
+        others = list(others.difference(zeros))
+        for some, ids in ((letters, self._ids(letters, self.merges)), (others, self._ids(others, self.tokenizer)), (zeros, self._plain(zeros))):
+            self.words.update(zip(some, ids, strict=True))
+        get = self.words.__getitem__
+        self.words.update({w: get(a) + get(b) for w, (a, b) in parts.items()})
 
     def encode(self, texts: list[str | None], end: int) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > WORDS:
-            self.words.clear()
-        if len(self.stems) > WORDS:
-            self.stems.clear()
-        new: dict[str, tuple[str, ...]] = {}
-        for w in set().union(*split).difference(self.words):
-            stem = w.rstrip(MARKS)
-            if not w or not stem or not stem[-1].isalnum():
-                new[w] = (w,) if w else ()
-            else:
-                stem_key = stem.lower() if stem.isascii() else stem
-                new[w] = (stem_key, w[len(stem) :]) if len(stem) < len(w) else (stem_key,)
-        self._learn([x for x in {x for parts in new.values() for x in parts} if x not in self.stems])
-        self.words.update((w, b"".join(self.stems[x] for x in parts)) for w, parts in new.items())
+            self.words, self.older = {}, self.words
+        self.words[""] = b""
+        new = set().union(*split).difference(self.words)
+        again = {w: self.older[w] for w in new if w in self.older}
+        self.words.update(again)
+        self._learn(new.difference(again))
         get, last = self.words.__getitem__, np.array([end], self.type).tobytes()
         out = [b"".join(map(get, s)) + last for s in split]
-        for kept in (self.words, self.stems):
-            for w in [x for x in (new if kept is self.words else {x for parts in new.values() for x in parts}) if len(x) > LONG_WORD]:
-                kept.pop(w, None)
+        for w in [x for x in new if len(x) > LONG_WORD]:
+            stem = w.rstrip(MARKS)
+            for x in (w, stem, w[len(stem) :]):
+                if len(x) > LONG_WORD:
+                    self.words.pop(x, None)
         return out
 
 
+def _merges_alone(path: str):
+    """A tokenizer of the file's merges without its steps before them, for words that had these steps; None if its steps
+    are others."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = lambda x, many: [y["type"] for y in (x or {}).get(many, [x] if x else [])]
+    if set(steps(spec["normalizer"], "normalizers")) - {"NFC", "Replace"} != {"Lowercase"} or steps(spec["pre_tokenizer"], "pretokenizers")[-1:] != ["ByteLevel"]:
+        return None
+    return Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "post_processor": None, "added_tokens": []}))
+
+
+def _byte_chars() -> str:
+    """How byte-level vocabularies write each byte: printable Latin-1 as it is, the others in order from 256 on, but for
+    the space, which parts words here."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return "".join(" " if b == 32 else chr(b if b in printable else 256 + rest.index(b)) for b in range(256))
+
+
+_BYTE_CHARS = _byte_chars()
+
+
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
