@@ -37,6 +37,8 @@ SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
 WORDS, LONG_WORD = 250_000, 48
 #: Words of Latin-1 letters alone.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: What parts from marks after it; other letters may end in a combining mark once they are lower-cased or composed.
+PLAIN_END = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]").match
 #: Marks that are a token run of their own after a letter or digit.
 MARKS = ".,!?;:%$#&*"
 
@@ -85,7 +87,7 @@ class WordEncoder:
 
     def _learn(self, new: set[str]) -> None:
         """Adds the words ``new``; what they end in and what stands before it are words too."""
-        parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) and len(stem) < len(w) and stem[-1].isalnum()}
+        parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) and len(stem) < len(w) and PLAIN_END(stem[-1])}
         alone = {x for pair in parts.values() for x in pair if x not in self.words} | new.difference(parts)
         alone.discard("")
         letters = [w for w in alone if LETTERS(w)] if self.merges else []
