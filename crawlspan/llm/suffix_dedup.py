@@ -4,9 +4,11 @@ Only suffixes at minimisers are kept: the K-word runs with the smallest hash amo
 equals the shortest passage, so each copy of a passage keeps the same suffix at least once. Suffixes whose first K words
 occur in one document only drop out by counting; the others get the words around them and are sorted as one table, range
 by range. Neighbours in that order share the longest beginnings; each pair is extended to the right and to the left, and
-counts if it comes to LEAST words. The same is done once more in the order of the words before, so that both the longest
-extension to the right and that to the left are seen. Rows of one hot passage sort by their surroundings and ids over many
-tasks; nothing is gathered for a group.
+counts if it comes to LEAST words. That is all for a suffix that occurs twice. Where more rows share one, two that match
+need not be neighbours in any order: for these each run of LEAST words whose minimiser the suffix is gets a hash, and the
+hashes of two documents or more are found by counting. A match of LEAST words has one minimiser, so none is missed. Rows of
+one hot passage sort by their surroundings and ids over many tasks, and its hashes are joined where the rows lie; nothing
+is gathered for a group.
 
 Words are runs between the six ASCII spaces, A-Z as a-z. Defined cases: null texts and texts of fewer than LEAST words have
 no passage; rows without id are left out; rows under one id are one document, and repeats inside a document alone do not count.
@@ -30,15 +32,17 @@ LEAST, K = 50, 25
 SPAN = LEAST - K + 1
 #: Words carried on each side of a suffix, two bytes each; a passage's first and last minimiser are nearer to its ends.
 AROUND = SPAN - 1
+#: Rows from which on a window's hash is sent to all tasks rather than its rows to one; there are rows / HOT such hashes at most.
+HOT = 4096
 
 
-def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the kept suffixes of a text."""
+def minimisers(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the kept suffixes of a text, and the first of the LEAST-word windows of each."""
     h = window_hashes(words, K)
     if len(words) < LEAST:
-        return np.empty(0, np.int32), np.empty(0, np.int64)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(axis=1) + np.arange(len(h) - SPAN + 1))
-    return at.astype(np.int32), h[at].view(np.int64)
+        return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+    at, first = np.unique(np.lib.stride_tricks.sliding_window_view(h, SPAN).argmin(axis=1) + np.arange(len(h) - SPAN + 1), return_index=True)
+    return at.astype(np.int32), h[at].view(np.int64), first
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,21 +52,29 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The suffixes of a document whose hashes are in ``keys``, with the words after, and those before, nearest first."""
+    """The suffixes of a document whose hashes are in ``keys``, with the words after, and those before, nearest first.
+
+    Those in ``many`` also get their windows: the start of the first, and the hashes.
+    """
     for b in batches:
-        docs, keys, places, after, before = [], [], [], [], []
-        for doc, text, wanted in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        docs, keys, places, after, before, starts, windows = [], [], [], [], [], [], []
+        for doc, text, wanted, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = word_hashes(text)
-            at, h = minimisers(words)
+            at, h, first = minimisers(words)
             short = (mixed(words) >> np.uint64(48)).astype(">u2")
             hit = np.isin(h, np.array(wanted, np.int64))
-            for p, k in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+            dense = np.isin(h, np.array(many, np.int64))[hit]
+            whole = window_hashes(words, LEAST).view(np.int64) if dense.any() else None
+            ends = np.append(first[1:], len(words) - LEAST + 1)[hit] if hit.any() else first[hit]
+            for p, k, m, i, j in zip(at[hit].tolist(), h[hit].tolist(), dense.tolist(), first[hit].tolist(), ends.tolist(), strict=True):
                 docs.append(doc)
                 keys.append(k)
                 places.append(p)
                 after.append(short[p + K : p + K + AROUND].tobytes())
                 before.append(short[max(0, p - AROUND) : p][::-1].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary())], names=["doc", "key", "at", "after", "before"])
+                starts.append(i)
+                windows.append(whole[i:j] if m else None)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array(starts, pa.int32()), pa.array(windows, pa.list_(pa.int64()))], names=["doc", "key", "at", "after", "before", "first", "windows"])
 
 
 def shared(x: bytes, y: bytes) -> int:
@@ -128,9 +140,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch([edge(1, x) for x in first_run[:1]] + [edge(2, x) for x in run[-1:]])
 
 
-def _spans(suffixes: DataFrame, first: str, second: str) -> DataFrame:
-    """Spans (doc, start, end, other) from one sorted order: by key, the words on one side, and the id."""
-    ranged = suffixes.repartitionByRange("key", first, "doc", "at").sortWithinPartitions("key", first, "doc", "at").select("doc", "key", "at", "after", "before")
+def _spans(suffixes: DataFrame) -> DataFrame:
+    """Spans (doc, start, end, other) from the sorted order: by key, the words after, and the id."""
+    ranged = suffixes.select("doc", "key", "at", "after", "before").repartitionByRange("key", "after", "doc", "at").sortWithinPartitions("key", "after", "doc", "at")
     found = settle(ranged.mapInArrow(_neighbours, _OUT))
     edges = found.filter("kind > 0").orderBy("part", "kind").collect()  # two rows a task
     ends = [(r["kind"], (r["doc"], r["key"], r["at"], bytes(r["after"]), bytes(r["before"]))) for r in edges]
@@ -139,6 +151,17 @@ def _spans(suffixes: DataFrame, first: str, second: str) -> DataFrame:
     return spans.unionByName(suffixes.sparkSession.createDataFrame(more, "doc long, start int, end int, other long")) if more else spans
 
 
+def _window_spans(suffixes: DataFrame) -> DataFrame:
+    """Spans (doc, start, end, other) of the windows that documents share. Those of one suffix overlap and are one span."""
+    each = suffixes.filter("windows is not null").select("doc", "at", "first", F.posexplode("windows").alias("k", "hash")).select("doc", "at", (F.col("first") + F.col("k")).alias("start"), "hash")
+    shared = settle(each.groupBy("hash").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high"))
+    marked = each.join(F.broadcast(shared.filter(F.col("n") >= HOT).drop("n")), "hash", "left")
+    cold = marked.filter("low is null").drop("low", "high").join(shared.filter(F.col("n") < HOT).drop("n"), "hash")
+    found = marked.filter("low is not null").unionByName(cold)
+    other = F.when(F.col("low") == F.col("doc"), F.col("high")).otherwise(F.col("low"))
+    return found.groupBy("doc", "at").agg(F.min("start").alias("start"), (F.max("start") + LEAST).alias("end"), F.min(other).alias("other")).drop("at")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start_word, end_word, n_words, other_doc_id: each stretch of a document made of passages that occur in
     others; ``other_doc_id`` is the smallest of those that it was compared with."""
@@ -146,10 +169,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
     marks = settle(texts.mapInArrow(_marks, "doc long, keys array<long>").filter(F.size("keys") > 0))
     each = marks.select("doc", F.explode("keys").alias("key"))
-    repeated = settle(each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low <> high").select("key"))
-    wanted = settle(each.join(repeated, "key").groupBy("doc").agg(F.collect_set("key").alias("keys")))
-    suffixes = settle(texts.join(wanted, "doc").select("doc", "text", "keys").mapInArrow(_suffixes, "doc long, key long, at int, after binary, before binary"))
-    spans = _spans(suffixes, "after", "before").unionByName(_spans(suffixes, "before", "after"))
+    repeated = settle(each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", (F.col("n") > 2).alias("many")))
+    wanted = settle(each.join(repeated, "key").groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")))
+    suffixes = settle(texts.join(wanted, "doc").select("doc", "text", "keys", "many").mapInArrow(_suffixes, "doc long, key long, at int, after binary, before binary, first int, windows array<long>"))
+    spans = _spans(suffixes).unionByName(_window_spans(suffixes))
     # Overlapping and touching spans of a document become one.
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))

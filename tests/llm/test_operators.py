@@ -210,6 +210,34 @@ def test_repeated_passages(docs, texts, odd):
     assert {r["doc_id"] for r in suffix_dedup.repeated_passages(odd).collect()} == {7, 8}
 
 
+@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 4])
+def test_repeated_passages_between_look_alikes(spark, monkeypatch, hot):
+    """Two documents share L+X+R; many others share only L+X or X+R with them, and sort in between."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rng = random.Random(7)
+    fresh = iter(range(10**9))
+    own = lambda n: [f"u{next(fresh)}" for _ in range(n)]
+    rows = []
+    for left, middle, right in [(10, 35, 10), (12, 30, 13), (15, 30, 15)] * 8:
+        l, x, r = own(left), own(middle), own(right)  # noqa: E741
+        bodies = [l + x + r] * 2 + [l + x, x + r] * 10
+        rows += [" ".join(own(30) + b + own(30)) for b in bodies]
+    rng.shuffle(rows)
+    texts = dict(enumerate(rows))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        got = {i: set() for i in texts}
+        for row in suffix_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+            got[row["doc_id"]].update(range(row["start_word"], row["end_word"]))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = brute_repeats(texts)
+    assert sum(map(bool, want.values())) == 48 and got == want
+
+
 @pytest.mark.parametrize("kind", ["plain", "green", "predict", "cross", "palette", "cache", "copies"])
 def test_webp_decoder(kind):
     """Streams with each feature, made by a small writer of its own."""
