@@ -50,13 +50,21 @@ def next_wave(frontier: DataFrame, k: int = 0) -> DataFrame:
 def fetch_schedule(urls: DataFrame, delay_ms: int = 500, delays: DataFrame | None = None, per_host: int = 2) -> DataFrame:
     """Earliest start (ms) and wave of each URL: hosts keep their distance and their number of open requests.
 
-    ``delays``: (host, crawl_delay in seconds) replaces the gap of a host.
+    ``delays``: (host, crawl_delay in seconds) replaces the gap of a host. Places are counted inside ranges of the order and
+    moved on by the sizes of a host's ranges before, so that no task reads all URLs of a large host.
     """
     out = urls.withColumn("host", url_host(F.col("url")))
     out = out.join(delays.select("host", "crawl_delay"), "host", "left") if delays is not None else out.withColumn("crawl_delay", F.lit(None).cast("double"))
-    place = F.row_number().over(Window.partitionBy("host").orderBy(F.col("priority").desc(), "depth", "url")) - 1
+    order = [F.col("priority").desc(), F.col("depth").asc(), F.col("url").asc()]
+    blocks = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(out.repartitionByRange(blocks, F.col("host").asc(), *order).withColumn("range", F.spark_partition_id()))
+    sizes = ranged.groupBy("host", "range").agg(F.count(F.lit(1)).alias("own"))
+    before = sizes.select(F.col("host").alias("range_host"), F.col("range").alias("of_range"), (F.sum("own").over(Window.partitionBy("host").orderBy("range")) - F.col("own")).alias("before"))
+    inside = ranged.withColumn("inside", F.row_number().over(Window.partitionBy("host", "range").orderBy(*order)) - 1)
+    out = inside.join(before, F.col("host").eqNullSafe(F.col("range_host")) & (F.col("range") == F.col("of_range"))).drop("range_host", "of_range", "range")
+    place = F.col("before") + F.col("inside")
     gap = F.coalesce((F.col("crawl_delay") * 1000).cast("long"), F.lit(delay_ms).cast("long"))
-    return out.withColumn("place", place).withColumn("start_ms", F.col("place") * gap).withColumn("wave", F.floor(F.col("place") / per_host)).drop("crawl_delay")
+    return out.withColumn("place", place).withColumn("start_ms", F.col("place") * gap).withColumn("wave", F.floor(F.col("place") / per_host)).drop("crawl_delay", "before", "inside")
 
 
 def save_frontier(frontier: DataFrame, path: str) -> None:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from crawlspan import registry
 from crawlspan.functions import text as tx
 from crawlspan.functions import urls as ur
 from crawlspan.model import CrawlConfig
@@ -10,6 +11,7 @@ from crawlspan.operators import analysis, crosspage, diff, extend, parse, rules
 from crawlspan.plans import frontier
 from crawlspan.sources import pages as sp
 from crawlspan.sources import robots, sitemaps, sinks
+from tests.conftest import DATA
 
 HOME = """<!DOCTYPE html><html><head><title>Test Page - Home</title><meta name="Description" content="A page"><meta name="robots" content="index, follow">
 <meta name="viewport" content="width=device-width"><link rel="canonical" href="https://test.local/"><script src="/a.js" defer></script><link rel="stylesheet" href="/s.css"></head>
@@ -154,6 +156,41 @@ def test_crawl(spark):
     assert sorted(r["page_id"] for r in frontier.crawl(corpus(spark), frontier.seed(start), CrawlConfig(), rule)[0].collect()) == [1, 3]
 
 
+def test_schedule_of_a_large_host(spark):
+    """Places equal those of a sort by host, and the rows of one host lie in several tasks."""
+    rows = [(f"https://big/{i * 7919 % 3000:04}", 100 - i % 3, i % 2) for i in range(3000)] + [("https://small/b", 100, 0), ("https://small/a", 100, 0), (None, 100, 0)]
+    urls = spark.createDataFrame(rows, "url string, priority int, depth int")
+    delays = spark.createDataFrame([("small", 2.0)], "host string, crawl_delay double")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = frontier.fetch_schedule(urls, 500, delays).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = {}
+    for host, gap in (("big", 500), ("small", 2000), (None, 500)):
+        own = sorted((r for r in rows if (r[0] and r[0].split("/")[2]) == host), key=lambda r: (-r[1], r[2], r[0]))
+        want |= {r[0]: (k, k * gap, k // 2) for k, r in enumerate(own)}
+    assert {r["url"]: (r["place"], r["start_ms"], r["wave"]) for r in out} == want and len(out) == len(rows)
+    assert len({r["task"] for r in out if r["host"] == "big"}) > 1
+
+
+def test_whole_crawl(spark):
+    """The crawl from all pages of depth 0 against breadth-first search over the same links."""
+    pages = {r["url"]: (r["page_id"], r["depth"], r["links"] or [], r["normal"]) for r in registry._corpus(spark, DATA).withColumn("normal", ur.normalize_url(F.col("url"), True)).collect()}
+    own = {}
+    for page, _, links, normal in sorted(pages.values(), key=lambda x: x[0]):
+        own.setdefault(normal, (page, links))
+    allowed = lambda u: "?page=" not in u and ((p := "/" + u.split("/", 3)[-1]).startswith("/en/9") or not p.startswith("/en/"))
+    wave, seen, want = {p[3] for p in pages.values() if p[1] == 0}, set(), {}
+    for depth in range(11):
+        seen |= wave
+        got = [u for u in wave if allowed(u) and u in own]
+        want |= {own[u][0]: depth for u in got}
+        wave = {pages[x["href"]][3] if x["href"] in pages else x["href"] for u in got for x in own[u][1] if x["is_internal"] and not x["is_nofollow"]} - seen
+    assert {r["page_id"]: r["depth"] for r in registry.QUERIES["frt13_whole_crawl"](spark, DATA).collect()} == want
+    assert registry.QUERIES["frt12_stats"](spark, DATA).first()["dequeued"] == len(want) > 0 and len(set(want.values())) > 1
+
+
 def test_diff_is_symmetric(spark):
     p = pages_frame(spark, [("a", 1, "u1", 0, 200, "t", None, ""), ("a", 2, "u2", 0, None, "t", "", ""), ("b", 1, "u1", 0, 404, "t2", "", ""), ("b", 3, "u3", 0, 200, "t", "", "")])
     kinds = lambda x, y: sorted((r["url"], r["diff_type"]) for r in diff.page_diffs(p, x, y).collect())
