@@ -51,6 +51,8 @@ GOOD = re.compile(r"(?:^|[\s_-])(?:article\w*|body|content|entry|main|page|post|
 ROLES_BAD = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar alert status".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(class|id|role|rel|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: The end tags of SKIPPED; a longer name (``header``) is another tag.
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SKIPPED}
 _SPACE = re.compile(r"\s+")
 #: Pair potential and weights before training: like follows like.
 START_PAIR = (0.93, 0.80)
@@ -67,7 +69,7 @@ class Dom:
         self.parent, self.tag, self.attrs = [-1], ["#root"], [""]
         self.pieces: list[tuple[int, str]] = []  # (element, text); a negative element -1 - e is a break at block e
         text, stack, at = html or "", [0], 0
-        lower = None
+        endless: set[str] = set()  # names with no end tag in the rest
         for m in iter(lambda: _TOKEN.search(text, at), None):
             if m.start() > at:
                 self.pieces.append((stack[-1], text[at : m.start()]))
@@ -85,8 +87,10 @@ class Dom:
                     self.pieces.append((-1, ""))
                 continue
             if name in SKIPPED:
-                lower = text.lower() if lower is None and "</" + name not in text[at:] else lower
-                end = text.find("</" + name, at) if lower is None else lower.find("</" + name, at) if len(lower) == len(text) else -1
+                found = None if name in endless else _END[name].search(text, at)
+                end = found.start() if found else -1
+                if end < 0:
+                    endless.add(name)
                 if name == "head" and end < 0:
                     continue
                 at = len(text) if end < 0 and name in ("script", "style") else at if end < 0 else (text.find(">", end) + 1 or len(text))

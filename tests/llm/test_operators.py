@@ -421,6 +421,19 @@ def test_html(spark):
     assert [r["text"] for r in html_text.extract_pages(odd, weights, pair).collect()] == ["", "", "a", "x\nz"]
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<html><head><title>t</title><body><p>early</p><article><header><h1>late</h1></header><p>end</article>", "early late end"),
+        ("<head><title>t</title></HEAD ><p>a</p><header>b</header>", "a b"),
+        ("<p>\u0130<SCRIPT>x()</SCRIPT><p>a<style>y</style><p>b<script>z</script><p>c", "\u0130 a b c"),
+        ("<p>\u0130<noscript>n<p>a<script>x</script><p>b<style>y</STYLE><p>c<script>cut", "\u0130 n a b c"),
+    ],
+)
+def test_skipping_ends_at_the_own_end_tag(page, want):
+    assert " ".join(t for _, t in html_text.Dom(page).pieces if t.strip()) == want
+
+
 def test_marginals_are_exact():
     import itertools
     import math
