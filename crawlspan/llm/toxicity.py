@@ -7,8 +7,10 @@ says which sentences offend.
 
 Words of a sentence are its lower-cased, white-space separated runs without punctuation at the ends. A word's evidence is
 the sum of the weights of the word itself and of its beginnings, so that forms not seen in training share what their
-relatives taught. Training uses a bounded, hash-ordered sample of labelled documents (MOST_DOCS of each label, MOST_CHARS in all) in one task; all other work
-is one pass over the documents.
+relatives taught. Runs of letters of scripts without spaces give their pairs and triples as words. Training uses a bounded,
+hash-ordered sample of labelled documents (MOST_DOCS of each label, half of MOST_CHARS for each) in one task; it is drawn on
+ids and lengths. Documents of more than LONGEST characters come last in it, with their beginnings, so that no single text
+uses up the sample. Scoring is one pass over the documents.
 
 Defined cases: a null or empty text has no sentence and scores 0; null labels and labels of unknown documents are ignored;
 a document with several labels counts as toxic if one says so; without labels of both kinds all scores are 0.
@@ -17,6 +19,7 @@ a document with several labels counts as toxic if one says so; without labels of
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,10 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import held_out, small_batches
+from crawlspan.llm.common import held_out, settle, small_batches
 
 #: The bound of the training sample: documents of each label, and characters in all.
 MOST_DOCS, MOST_CHARS = 2500, 20_000_000
+#: Characters up to which a document of the sample is whole.
+LONGEST = 500_000
 #: Documents of the sample in which a word must occur to get a weight.
 MIN_DOCS = 3
 #: Steps of the fit, the l1 penalty on word weights, the starting bias of a sentence.
@@ -40,6 +45,19 @@ POSITIVE, PREFIXES, WORDS = 0.3, (5, 7, 4, 6), 250_000
 EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_=+~`/\\…“”‘’«»¡¿"
 _ENDS = str.maketrans({"!": ".", "?": ".", "\n": ".", "。": ".", "！": ".", "？": "."})
 
+#: Letters of Thai, Lao, Tibetan, Myanmar, Khmer, kana and Han.
+_RUN = re.compile("[\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u3005-\u3007\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]{2,}")
+
+
+def _grams(run: re.Match) -> str:
+    s = run[0]
+    return " ".join(["", *(s[k : k + 2] for k in range(len(s) - 1)), *(s[k : k + 3] for k in range(len(s) - 2)), ""])
+
+
+def spread(text: str) -> str:
+    """A lower-cased text whose runs without spaces are replaced by their pairs and triples of letters."""
+    return text if text.isascii() or not _RUN.search(text) else _RUN.sub(_grams, text.translate(_ENDS))
+
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """(start, end) of the sentences of a text, by code points."""
@@ -53,7 +71,7 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
 
 def _bags(text: str | None) -> list[set[str]]:
     out = []
-    for part in (text or "").lower().replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+    for part in spread((text or "").lower()).replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
         words = {w.strip(EDGES) for w in part.split()}
         words.discard("")
         if words:
@@ -142,10 +160,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Trains on labelled documents outside the held-out fold. The weights are bounded by the sample's vocabulary."""
     known = labels.select(F.col(id_col).cast("long").alias("i"), F.col(label_col).cast("int").alias("y")).dropna().filter(~held_out("i")).groupBy("i").agg(F.max("y").alias("y"))
     known = known.withColumn("at", F.xxhash64("i"))
-    sample = known.filter("y > 0").orderBy("at").limit(MOST_DOCS).unionByName(known.filter("y <= 0").orderBy("at").limit(MOST_DOCS))
     texts = docs.select(F.col(id_col).cast("long").alias("i"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    bag = texts.join(sample, "i").withColumn("chars", F.sum(F.char_length("text")).over(Window.orderBy("at", "text").rowsBetween(Window.unboundedPreceding, 0)))
-    bag = bag.filter(F.col("chars") <= MOST_CHARS).select("at", "text", (F.col("y") > 0).cast("int").alias("y"), F.lit(0).alias("one"))
+    sized = texts.select("i", F.xxhash64("text").alias("key"), F.char_length("text").alias("chars"))
+    sized = settle(sized.join(known, "i").distinct().select("i", "key", "at", (F.col("y") > 0).cast("int").alias("y"), (F.col("chars") > LONGEST).alias("long"), F.least("chars", F.lit(LONGEST)).alias("chars")))
+    order = ("long", "at", "i", "key")
+    drawn = sized.filter("y = 1").orderBy(*order).limit(MOST_DOCS).unionByName(sized.filter("y = 0").orderBy(*order).limit(MOST_DOCS))
+    drawn = drawn.withColumn("used", F.sum("chars").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("used") <= MOST_CHARS // 2)
+    sample = texts.withColumn("key", F.xxhash64("text")).join(F.broadcast(drawn.select("i", "key", "at", "y")), ["i", "key"])  # 2 * MOST_DOCS ids at most
+    bag = sample.select("i", "key", "at", "y", F.substring("text", 1, LONGEST).alias("text")).dropDuplicates(["i", "key"]).select("at", "text", "y", F.lit(0).alias("one"))
     rows = bag.groupBy("one").applyInPandas(_fit, "word string, weight double").collect()
     return {r["word"]: r["weight"] for r in rows} or {"": -40.0}
 
@@ -169,7 +191,7 @@ def score_text(text: str | None, words: Words) -> float:
     """The noisy-or over the sentences of a text."""
     get, bias, total = words.__getitem__, words.bias, 0.0
     plain = math.log1p(math.exp(min(bias, 700)))
-    for part in (text or "").lower().replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
+    for part in spread((text or "").lower()).replace("!", ".").replace("?", ".").replace("\n", ".").split("."):
         bag = part.split()
         if bag:
             z = sum(map(get, set(bag)))
@@ -209,7 +231,7 @@ def _located(batches: Iterator[pa.RecordBatch], weights, least: float) -> Iterat
         out: list[tuple] = []
         for i, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
             for k, (start, end) in enumerate(sentences(text)):
-                if bag := set(text[start:end].lower().split()):
+                if bag := set(spread(text[start:end].lower()).split()):
                     p = 1 / (1 + math.exp(-max(-700.0, w.bias + sum(w[x] for x in bag))))
                     if p >= least:
                         out.append((i, k, start, end, p, text[start:end].strip()))

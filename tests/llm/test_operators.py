@@ -187,6 +187,37 @@ def test_toxicity_odd_rows(spark, odd, labels):
     assert [toxicity.sentences("A b. C!\n d")[i] for i in range(3)] == [(0, 3), (4, 6), (8, 10)]
 
 
+@pytest.mark.parametrize("long", ["first", "toxic"])
+def test_toxicity_with_long_documents(spark, monkeypatch, long):
+    """One document longer than the whole sample, first in its order, or long toxic documents only: the model stays."""
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 60_000)
+    monkeypatch.setattr(toxicity, "LONGEST", 2_000, raising=False)
+    ids = [r[0] for r in spark.range(100).filter(~toxicity.held_out("id")).orderBy(F.xxhash64("id")).collect()]
+    rng = random.Random(1)
+    text = lambda bad: ". ".join([" ".join(rng.choices(("mild", "sunny", "calm", "green", "early"), k=6)), *["you vile wretch"] * bad, "quiet days"])
+    rows = [(i, text(k % 2), k % 2) for k, i in enumerate(ids)]
+    if long == "first":
+        rows[0] = (ids[0], text(0) + " calm" * 20_000, 0)
+    else:
+        rows = [(i, t + " calm" * 20_000 * y, y) for i, t, y in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    words = toxicity.Words(toxicity.fit(df.drop("toxic"), df.drop("text")))
+    assert toxicity.score_text(text(1), words) > 0.5 > toxicity.score_text(text(0), words)
+
+
+def test_toxicity_without_spaces(spark):
+    """A phrase inside runs of letters without spaces is learned, found and located."""
+    rng = random.Random(4)
+    run = lambda n: "".join(chr(rng.randrange(0x4E00, 0x4F00)) for _ in range(n))
+    text = lambda bad: "。".join([run(12), run(rng.randrange(4, 9)) + ("\u6bd2\u8fa3\u8bdd" if bad else run(3)) + run(6), run(9)])
+    weights = toxicity.fit_texts([text(k % 2) for k in range(200)], [k % 2 for k in range(200)])
+    words = toxicity.Words(weights)
+    new = [(text(k % 2), k % 2) for k in range(40)]
+    assert all((toxicity.score_text(t, words) > 0.5) == bool(y) for t, y in new)
+    found = toxicity.locate(spark.createDataFrame([(k, t) for k, (t, _) in enumerate(new)], "doc_id long, text string"), weights).collect()
+    assert {(r["doc_id"], r["sentence"]) for r in found} == {(k, 1) for k, (_, y) in enumerate(new) if y}
+
+
 def brute_repeats(texts):
     words = {i: t.encode().lower().split() for i, t in texts.items()}
     own = collections.defaultdict(set)
