@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 from urllib.parse import quote, urljoin, urlsplit
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Schemes with a default port.
 DEFAULT_PORTS = {"http": "80", "https": "443"}
+#: ASCII characters that are percent-encoded in the path and in the query of a URL.
+PATH_CODED, QUERY_CODED = " \"#<>?`{}", " \"#<>'"
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"
 
 
@@ -38,32 +41,65 @@ def is_internal(url: Column, root: Column) -> Column:
     return F.coalesce((host != "") & ((host == root) | host.endswith(F.concat(F.lit("."), root))), F.lit(False))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _dots(path: Column) -> Column:
-    """Removes dot segments."""
-    step = lambda acc, s: F.when(s == "..", F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).when(s == ".", acc).otherwise(F.concat(acc, F.array(s)))
+    """Removes dot segments; a dot may be written %2e."""
+    plain = lambda s: F.regexp_replace(s, "(?i)^(?:\\.|%2e)(\\.|%2e)?$", "<$1>")
+    step = lambda acc, s: F.when(plain(s) == "<>", acc).when(plain(s).startswith("<"), F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)).otherwise(F.concat(acc, F.array(s)))
     folded = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.when(path.rlike(r"/\.\.?$") & ~folded.endswith("/"), F.concat(folded, F.lit("/"))).otherwise(folded)).otherwise(path)
+    dot = "(?:\\.|%2e)"
+    return F.when(path.rlike(f"(?i)(^|/){dot}{{1,2}}(/|$)"), F.when(path.rlike(f"(?i)/{dot}{{1,2}}$") & ~folded.endswith("/"), F.concat(folded, F.lit("/"))).otherwise(folded)).otherwise(path)
+
+
+def _percent_encode(text: Column, chars: str) -> Column:
+    """Percent-encodes ``chars``, control and non-ASCII characters as UTF-8; all else, '%' too, stays as it is."""
+    code = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for c in "!$&'()+,/:;=?@[\\]^`{|}~#\"<>":
+        if c not in chars:
+            code = F.replace(code, F.lit(f"%{ord(c):02X}"), F.lit(c))
+    code = F.replace(code, F.lit("%25"), F.lit("%"))  # last: what it brings back is no code to undo
+    return F.when(text.rlike("[^!-~]|[" + re.escape(chars) + "]"), code).otherwise(text)
+
+
+def _ascii_host(host: Column) -> Column:
+    """A host in lower case, other scripts as punycode; one that has no such form stays."""
+    lower = F.lower(host)
+    return F.when(lower.rlike("[^\\x00-\\x7f]"), F.coalesce(F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), lower), lower)).otherwise(lower)
+
+
+def _decoded(text: Column) -> Column:
+    """A form-encoded text read: '+' is a space, %XX a byte; what can't be read stays."""
+    return F.when(text.rlike("[+%]"), F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))).otherwise(text)
 
 
 def normalize_url(url: Column, strip_slash: bool = True) -> Column:
-    """Canonical form: lower-case scheme and host, no fragment or default port, sorted query, no dot segments.
+    """Canonical form: lower-case scheme and ASCII host, no fragment or default port, sorted query, no dot segments.
 
-    Query pairs sort by key, then value, and an empty value loses its '='. One trailing slash goes, but not the root's.
-    A text that is no absolute URL stays as it is.
+    The path and the query are percent-encoded where they must be. Query pairs are decoded, sort by key, then value, are
+    written anew, and an empty value loses its '='; so an encoded '&' or '=' is a plain one after it. One slash at the end
+    of the whole goes, but not where the path is the root. A text that is no absolute URL stays as it is.
     """
     part = lambda i: F.regexp_extract(url, _PARTS, i)
-    scheme = F.lower(part(1))
-    host = F.lower(part(2))
-    for name, port in DEFAULT_PORTS.items():
-        host = F.when(scheme == name, F.regexp_replace(host, f":(?:{port})?$", "")).otherwise(host)
-    path = _dots(F.when(part(3) == "", F.lit("/")).otherwise(part(3)))
-    if strip_slash:
-        path = F.when(path != "/", F.regexp_replace(path, "/$", "")).otherwise(path)
-    pairs = F.filter(F.split(F.substring(part(4), 2, 1_000_000_000), "&"), lambda x: x != "")
-    keyed = F.array_sort(F.transform(pairs, lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit("")).alias("v"))))
+    return _let(F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("place"), part(3).alias("path"), part(4).alias("query")), lambda p: F.when(p["scheme"] == "", url).otherwise(_rebuilt(p, strip_slash)))
+
+
+def _rebuilt(p: Column, strip_slash: bool) -> Column:
+    user = F.regexp_extract(p["place"], "^(.*@)?", 0)
+    host, port = _ascii_host(F.regexp_extract(p["place"], r"^(?:.*@)?(\[[^\]]*\]|[^:]*)", 1)), F.regexp_extract(p["place"], r"(:\d+)$", 1)
+    usual = reduce(lambda a, b: a | b, ((p["scheme"] == name) & (port == f":{n}") for name, n in DEFAULT_PORTS.items()))
+    pairs = F.filter(F.split(F.substring(p["query"], 2, 1_000_000_000), "&"), lambda x: x != "")
+    value = lambda x: F.when(F.contains(x, F.lit("=")), F.regexp_replace(x, "^[^=]*=", "")).otherwise(F.lit(""))
+    keyed = F.array_sort(F.transform(pairs, lambda x: F.struct(_decoded(F.substring_index(x, "=", 1)).alias("k"), _decoded(value(x)).alias("v"))))
     query = F.array_join(F.transform(keyed, lambda x: F.when(x["v"] == "", x["k"]).otherwise(F.concat(x["k"], F.lit("="), x["v"]))), "&")
-    whole = F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    return F.when(part(1) == "", url).otherwise(whole)
+    query = F.when(p["query"] != "", F.concat(F.lit("?"), _let(query, lambda q: _percent_encode(q, QUERY_CODED)))).otherwise(F.lit(""))
+    front = F.concat(p["scheme"], F.lit("://"), user, host, F.when(usual, F.lit("")).otherwise(port))
+    path = _let(F.when(p["path"] == "", F.lit("/")).otherwise(p["path"]), lambda x: _let(_percent_encode(x, PATH_CODED), _dots))
+    strip = lambda x: F.when(x["path"] != "/", F.regexp_replace(F.concat(x["path"], x["query"]), "/$", "")).otherwise(F.concat(x["path"], x["query"]))
+    return F.concat(front, _let(F.struct(path.alias("path"), query.alias("query")), strip if strip_slash else lambda x: F.concat(x["path"], x["query"])))
 
 
 def hash_url(url: Column) -> Column:
