@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlspan.functions.urls import resolve
+from crawlspan.operators import selectors as css
+from crawlspan.operators.selectors import Element, matches
 
 #: Bytes of body text that are kept.
 BODY_BYTES = 8000
@@ -49,8 +51,9 @@ class _Page(HTMLParser):
         self.canonical, self.block_scripts, self.block_styles = None, 0, 0
         self.body: list[str] = []
         self.in_body = self.titled = False
-        self.open: list[list] = []  # tag, attributes, text parts or None
+        self.open: list[list] = []  # tag, attributes, text parts or None, labels, element for selectors
         self.selectors, self.picked = selectors, {k: ([] if v else None) for k, v in selectors.items()}
+        self.page = Element("", {})
 
     def at(self, href: str | None) -> str | None:
         return resolve(resolve(self.url, self.base) if self.base else self.url, href)
@@ -79,10 +82,11 @@ class _Page(HTMLParser):
             self.images.append((self.at(a["src"]) or a["src"], a.get("alt"), "srcset" in a))
         elif tag == "body":
             self.in_body = True
+        element = (self.open[-1][4] if self.open else self.page).child(tag, a) if self.selectors else None
         if tag not in VOID:
             wanted = tag in self.heads or tag == "a" and "href" in a or tag == "script" and a.get("type", "").lower() == "application/ld+json"
-            labels = [k for k, s in self.selectors.items() if s and any(_matches(s_, tag, a, self.open) for s_ in s)]
-            self.open.append([tag, a, [] if wanted or labels else None, labels])
+            labels = [k for k, s in self.selectors.items() if s and matches(s, element)]
+            self.open.append([tag, a, [] if wanted or labels else None, labels, element])
 
     def handle_endtag(self, tag):
         if tag == "body":
@@ -95,7 +99,7 @@ class _Page(HTMLParser):
                 return
 
     def _close(self, x):
-        tag, a, parts, labels = x
+        tag, a, parts, labels, _ = x
         if parts is None:
             return
         text = "".join(parts).strip()
@@ -134,57 +138,20 @@ class _Page(HTMLParser):
         )
 
 
-def selector(css: str) -> list | None:
-    """A list of alternatives; each is a chain of (tag, id, classes, attributes) that nest. None for what isn't supported.
-
-    Supported: tag, *, #id, .class, [attr], [attr=value], descendant by space, alternatives by comma.
-    """
-    import re
-
-    out = []
-    for one in css.split(","):
-        chain = []
-        for step in one.split():
-            m = re.fullmatch(r"([A-Za-z][\w-]*|\*)?((?:[#.][\w-]+|\[[\w-]+(?:=(?:\"[^\"]*\"|'[^']*'|[^\]]*))?\])*)", step)
-            if not m or not step:
-                return None
-            bits = re.findall(r"([#.])([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]", m[2])
-            chain.append(((m[1] or "*").lower(), [b[1] for b in bits if b[0] == "#"], [b[1] for b in bits if b[0] == "."], [(b[2], b[3] or None) for b in bits if b[2]]))
-        if not chain:
-            return None
-        out.append(chain)
-    return out
-
-
-def _fits(step, tag, a) -> bool:
-    name, ids, classes, attrs = step
-    return (name in ("*", tag)) and all(a.get("id") == i for i in ids) and set(classes) <= set(a.get("class", "").split()) and all(k in a and (v is None or a[k] == v) for k, v in attrs)
-
-
-def _matches(chain, tag, a, above) -> bool:
-    if not _fits(chain[-1], tag, a):
-        return False
-    k = len(chain) - 2
-    for x in reversed(above):
-        if k >= 0 and _fits(chain[k], x[0], x[1]):
-            k -= 1
-    return k < 0
-
-
 def parse_html(html: str | None, url: str, root: str, selectors: dict | None = None) -> tuple:
     page = _Page(url or "", root or "", selectors or {})
     try:
         page.feed(html or "")
         page.close()
         return page.record()
-    except Exception:  # a page that can't be parsed is a row with parse_ok = false
+    except (AssertionError, ValueError):  # what the parser raises for broken declarations: a row with parse_ok = false
         return (None,) * 6 + ([],) * 10 + (0, 0, 0, None, [], [], False)
 
 
 def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema, keep: int, root: str | None, selectors: dict) -> Iterator[pa.RecordBatch]:
     from urllib.parse import urlsplit
 
-    chosen = {k: selector(v) for k, v in selectors.items()}
+    chosen = {k: css.parse(v) for k, v in selectors.items()}
 
     def host(u):
         try:
@@ -199,9 +166,15 @@ def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema, keep: int, root
 
 
 def parse_pages(pages: DataFrame, root_domain: str | None = None, selectors: dict[str, str] | None = None, html: str = "html", url: str = "url") -> DataFrame:
-    """``pages`` without the HTML, with the parsed record; links are internal to ``root_domain`` or to the page's own host."""
+    """``pages`` without the HTML, with the parsed record; links are internal to ``root_domain`` or to the page's own host.
+
+    ``selectors`` picks texts by label (see :mod:`crawlspan.operators.selectors`): one that is no selector gives NULL, one that
+    can't be run raises here.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    for v in (selectors or {}).values():
+        css.parse(v)
     spark = pages.sparkSession
     keep = [c for c in pages.columns if c != html]
     final = F.coalesce(F.col("final_url"), F.col(url)) if "final_url" in pages.columns else F.col(url)
