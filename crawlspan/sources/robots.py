@@ -50,7 +50,9 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, agent: str = "*") -> DataF
     """
     own = rules.filter(F.col("agent").isin(agent.lower(), "*")).withColumn("mine", (F.col("agent") == agent.lower()) & F.lit(agent != "*"))
     which = own.groupBy("host").agg(F.max("mine").alias("mine"))
-    chosen = own.join(which, ["host", "mine"]).select(F.col("host").alias("rule_host"), "allow", "pattern_len", _pattern("pattern").alias("regex"))
+    chosen = own.join(which, ["host", "mine"]).select(F.col("host").alias("rule_host"), F.struct("pattern_len", "allow", _pattern("pattern").alias("regex")).alias("rule"))
+    # A host's rules, from one robots file, are one small row, best rule first; a hot host is a skewed left side only.
+    by_host = chosen.groupBy("rule_host").agg(F.sort_array(F.collect_list("rule"), asc=False).alias("rules"))
     keyed = urls.withColumn("rule_host", url_host(F.col("url"))).withColumn("path", path_and_query(F.col("url")))
-    hits = keyed.join(chosen, "rule_host").filter(F.expr("path rlike regex")).groupBy("url").agg(F.max_by("allow", F.struct("pattern_len", "allow")).alias("verdict"))
-    return urls.join(hits, "url", "left").withColumn("allowed", F.coalesce("verdict", F.lit(True))).drop("verdict")
+    hit = F.try_element_at(F.filter("rules", lambda x: F.rlike(F.col("path"), x["regex"])), F.lit(1))["allow"]
+    return keyed.join(by_host, "rule_host", "left").withColumn("allowed", F.coalesce(hit, F.lit(True))).select(*urls.columns, "allowed")
