@@ -78,8 +78,9 @@ def load_frontier(spark: SparkSession, path: str) -> DataFrame:
 def crawl(corpus: DataFrame, seeds: DataFrame, cfg: CrawlConfig = CrawlConfig(), rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, frontier): what a crawl from ``seeds`` reaches in ``corpus`` (parsed pages with url, links, page_id).
 
-    Each wave joins the open entries to the corpus, follows their links and drops what was seen; tables are written between
-    waves. The number of waves is the depth limit at most. ``max_pages`` counts pages that came, exactly.
+    Each wave joins the open entries to the corpus, follows their links and drops what was seen. A wave's entries are
+    written once and never again: what was seen is the waves' tables read together. The number of waves is the depth limit
+    at most. ``max_pages`` counts pages that came, exactly.
     """
     keyed = corpus.drop("depth").withColumn("url_hash", hash_url(normalize_url(F.col("url"), cfg.strip_slash)))
     keyed = cut(keyed.groupBy("url_hash").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "url_hash"]), "page_id").alias("x")).select("url_hash", "x.*"))
@@ -101,7 +102,7 @@ def crawl(corpus: DataFrame, seeds: DataFrame, cfg: CrawlConfig = CrawlConfig(),
         front = cut(dedup(expand(got, cfg), seen))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
+        seen = seen.unionByName(front)
     pages = waves[0]
     for w in waves[1:]:
         pages = pages.unionByName(w)
