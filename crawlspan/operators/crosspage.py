@@ -33,8 +33,14 @@ def dup_h1s(pages: DataFrame) -> DataFrame:
     return duplicates(pages, "h1")
 
 
+def duplicate_members(pages: DataFrame, field: str) -> DataFrame:
+    """crawl_id, value, page_id: every page of every duplicate group, as rows, however large the group is."""
+    return pages.select("crawl_id", F.col(field).alias("value"), "page_id").join(duplicates(pages, field).select("crawl_id", "value"), ["crawl_id", "value"])
+
+
 def duplicate_issues(pages: DataFrame, field: str, cap: int | None = LISTED) -> DataFrame:
-    """One issue for each page of a duplicate group."""
+    """One issue for each page of a duplicate group. An issue lists ``cap`` ids of its group; :func:`duplicate_members` has
+    all of them as rows, ``None`` lists all in every issue (the square of a group's size)."""
     rule, category, name = FIELDS[field]
     groups = duplicates(pages, field)
     members = pages.select("crawl_id", "page_id", "url", F.col(field).alias("value")).join(groups, ["crawl_id", "value"])

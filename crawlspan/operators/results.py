@@ -92,12 +92,19 @@ def outbound_links(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def page_detail(pages: DataFrame, issues: DataFrame, links: DataFrame, page_id: int) -> DataFrame:
-    """One page with its issues (by severity and category) and its links in and out."""
+    """One page with its issues and its links in and out, as rows told apart by ``kind`` (page, issue, inbound, outbound): a
+    page that all others link to has as many rows, not one row with as long a list."""
     page = pages.filter(F.col("page_id") == page_id)
-    found = issues.filter(F.col("page_id") == page_id).groupBy("crawl_id").agg(F.sort_array(F.collect_list(F.struct("severity", "category", "rule_id", "message"))).alias("issues"))
-    into = inbound_links(page, links).groupBy("crawl_id").agg(F.sort_array(F.collect_list(F.struct("source_page", "anchor_text"))).alias("inbound"))
-    out = links.filter(F.col("source_page") == page_id).groupBy("crawl_id").agg(F.sort_array(F.collect_list(F.struct("target_url", "anchor_text"))).alias("outbound"))
-    return page.join(found, "crawl_id", "left").join(into, "crawl_id", "left").join(out, "crawl_id", "left")
+    none = F.lit(None).cast("string")
+    text = lambda *names: [F.col(n).cast("string").alias(n) if n in names else none.alias(n) for n in ("url", "anchor_text", "rule_id", "severity", "category", "message")]
+    link = lambda df, kind: df.select("crawl_id", F.lit(kind).alias("kind"), F.col("source_page"), F.col("target_url").alias("url"), "anchor_text").select("crawl_id", "kind", "source_page", *text("url", "anchor_text"))
+    rows = [
+        page.select("crawl_id", F.lit("page").alias("kind"), F.col("page_id").alias("source_page"), *text("url")),
+        issues.filter(F.col("page_id") == page_id).select("crawl_id", F.lit("issue").alias("kind"), F.col("page_id").alias("source_page"), *text("rule_id", "severity", "category", "message")),
+        link(inbound_links(page, links).select("crawl_id", "source_page", "target_url", "anchor_text"), "inbound"),
+        link(links.filter(F.col("source_page") == page_id), "outbound"),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 def order_by_severity(issues: DataFrame) -> DataFrame:

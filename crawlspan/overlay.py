@@ -10,15 +10,25 @@ from crawlspan.functions.urls import hash_url
 from crawlspan.operators.parse import h1_first, parse_pages
 from crawlspan.operators.rules import evaluate_rules
 from crawlspan.sources.pages import page_state
+from crawlspan.sources.scratch import exists, scratch_dir
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
 
 
+_parsed: dict[tuple[str, str], str] = {}
+
+
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = raw_pages(spark, sf_dir).withColumn("html_bytes", F.octet_length("html"))
-    return parse_pages(df)
+    """The parsed pages, as a table of the shared folder. A session parses a corpus once; queries then read the columns
+    that they need, and those that need none of the record never touch the parser."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _parsed or not exists(spark, f"{_parsed[key]}/_SUCCESS"):
+        path = scratch_dir(spark)
+        parse_pages(raw_pages(spark, sf_dir).withColumn("html_bytes", F.octet_length("html"))).write.parquet(path)
+        _parsed[key] = path
+    return spark.read.parquet(_parsed[key])
 
 
 def _crawls() -> F.Column:
@@ -32,7 +42,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(q % 37 == 0, None).when(q % 11 == 0, 404).when(q % 13 == 0, 500).when(q % 17 == 0, 301).otherwise(200)
     both = parsed_pages(spark, sf_dir).withColumn("c", _crawls()).select("*", "c.*").drop("c").filter(F.col("page_id") % 10 != F.col("gone"))
     title = F.when((F.col("crawl_id") == "compare") & (F.col("page_id") % 7 == 0), F.concat("title", F.lit(" v2"))).otherwise(F.col("title"))
-    text = F.when(F.col("page_id") % 3 == 0, None).when(F.col("page_id") % 3 == 1, "").otherwise(F.concat(F.lit("Description of page "), F.col("page_id").cast("string")))
+    text = F.when(F.col("page_id") % 3 == 0, None).when(F.col("page_id") % 3 == 1, "").otherwise(F.concat(F.lit("Description of page "), F.expr("cast(page_id div 6 as string)")))
     both = both.withColumns({"status_code": status, "title": title, "meta_desc": text, "meta_description": text, "h1": h1_first()})
     both = both.withColumns(
         {
@@ -104,7 +114,7 @@ crawled AS (
                 WHEN (page_id + c.shift) % 17 = 0 THEN 301 ELSE 200 END AS status_code,
            (page_id * 37) % 5000 AS response_time_ms, html_bytes * 100 AS body_size,
            CASE WHEN c.crawl_id = 'compare' AND page_id % 7 = 0 THEN title || ' v2' ELSE title END AS title,
-           CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Description of page ' || page_id END AS meta_desc, h1, word_count
+           CASE page_id % 3 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'Description of page ' || page_id // 6 END AS meta_desc, h1, word_count
     FROM parsed, (VALUES ('base', 0, 0), ('compare', 1, 1)) AS c(crawl_id, gone, shift)
     WHERE page_id % 10 <> c.gone
 )"""

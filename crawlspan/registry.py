@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlspan import overlay as o
+from crawlspan import rich as ri
 from crawlspan.functions import text as tx
 from crawlspan.functions import urls as ur
 from crawlspan.model import CrawlConfig
@@ -56,20 +58,26 @@ _add("src3_body_cap_hash", lambda s, d: sp.with_body_hash(o.raw_pages(s, d)).sel
 
 
 def _sitemap_docs(s: SparkSession, d: str) -> DataFrame:
-    """Sitemap files written from the pages: one for each hundredth of the ids, named by two index files."""
+    """Sitemap files written from the pages: one for each 200 ids, named by index files of 1,000 files each."""
     p = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
     esc = F.regexp_replace("url", "&", "&amp;")
-    entry = F.concat(F.lit("<url><loc>"), esc, F.lit("</loc><lastmod>2024-01-01</lastmod>"), F.when(F.col("page_id") % 3 == 0, F.lit("<priority>high</priority>")).otherwise(F.lit("<priority>0.5</priority>")), F.lit("</url>"))
+    priority = F.when(F.col("page_id") % 3 == 0, F.lit("<priority>high</priority>")).otherwise(F.lit("<priority>0.5</priority>"))
+    entry = F.concat(F.lit("<url><loc>"), esc, F.lit("</loc><lastmod>2024-01-01</lastmod>"), priority, F.lit("</url>"))
     body = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.concat_ws("", F.collect_list("e")), F.lit("</urlset>"))
-    files = p.select(F.pmod(F.xxhash64("page_id"), F.lit(500)).alias("k"), entry.alias("e")).groupBy("k").agg(body.alias("body")).select(F.concat(F.lit("https://maps.example/s"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), "body")
-    item = F.concat(F.lit("<sitemap><loc>"), F.col("url"), F.lit("</loc></sitemap>"))
-    index = files.groupBy().agg(F.concat(F.lit("<sitemapindex>"), F.concat_ws("", F.collect_list(item)), F.lit("</sitemapindex>")).alias("body")).select(F.lit("https://maps.example/sitemap.xml").alias("url"), "body")
-    return files.unionByName(index)
+    named = lambda kind, k: F.concat(F.lit(f"https://maps.example/{kind}"), k.cast("string"), F.lit(".xml")).alias("url")
+    files = p.select(F.expr("page_id div 200").alias("k"), entry.alias("e")).groupBy("k").agg(body.alias("body"))
+    item = F.concat(F.lit("<sitemap><loc>"), named("s", F.col("k")), F.lit("</loc></sitemap>"))
+    index = p.select(F.expr("page_id div 200").alias("k")).distinct().select(F.expr("k div 1000").alias("i"), item.alias("e")).groupBy("i").agg(F.concat(F.lit("<sitemapindex>"), F.concat_ws("", F.collect_list("e")), F.lit("</sitemapindex>")).alias("body"))
+    return files.select(named("s", F.col("k")), "body").unionByName(index.select(named("index", F.col("i")), "body"))
 
 
 _add("src4_sitemap_entries", lambda s, d: sm.sitemap_entries(_sitemap_docs(s, d)).select("url", "lastmod", "priority"), "SELECT url, '2024-01-01' AS lastmod, CASE WHEN page_id % 3 <> 0 THEN 0.5::DOUBLE END AS priority FROM pages")
-_add("src5_sitemap_index", lambda s, d: sm.sitemap_children(_sitemap_docs(s, d)))
-_add("src6_sitemap_expand", lambda s, d: sm.expand_sitemaps(_sitemap_docs(s, d).filter("url like '%/sitemap.xml'"), _sitemap_docs(s, d)).select("url", "priority"), "SELECT url, CASE WHEN page_id % 3 <> 0 THEN 0.5::DOUBLE END AS priority FROM pages")
+_add(
+    "src5_sitemap_index",
+    lambda s, d: sm.sitemap_children(_sitemap_docs(s, d)),
+    "SELECT DISTINCT 'https://maps.example/index' || page_id // 200000 || '.xml' AS source_url, 'https://maps.example/s' || page_id // 200 || '.xml' AS url FROM pages",
+)
+_add("src6_sitemap_expand", lambda s, d: sm.expand_sitemaps(_sitemap_docs(s, d).filter("url like '%/index%'"), _sitemap_docs(s, d)).select("url", "priority"), "SELECT url, CASE WHEN page_id % 3 <> 0 THEN 0.5::DOUBLE END AS priority FROM pages")
 
 
 @query("src7_sitemap_gzip", "SELECT url FROM pages")
@@ -115,6 +123,22 @@ _add("snk4_export_order", lambda s, d: sk.export_frame(o.issues(s, d), "issues",
 _add("snk5_report_frames", lambda s, d: sk.report_frames({"pages": _pages(s, d), "issues": o.issues(s, d), "links": o.links(s, d)})["issues"].groupBy("ruleId").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT rule_id AS ruleId, count(*) AS n FROM found GROUP BY 1", I))
 
 
+@query("snk5_report_sheets", o.sql("SELECT 'pages' AS sheet, count(*) AS n FROM crawled UNION ALL SELECT 'issues', count(*) FROM found UNION ALL SELECT 'links', count(*) FROM linked UNION ALL SELECT 'images', 0", L, I))
+def _sheets(s: SparkSession, d: str) -> DataFrame:
+    frames = sk.report_frames({"pages": _pages(s, d), "issues": o.issues(s, d), "links": o.links(s, d)})
+    return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("sheet")).groupBy().agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n")) for name, df in frames.items()))
+
+
+@query("snk6_7_bundle_tables", o.sql("SELECT 'crawls' AS name, 2 AS n UNION ALL SELECT 'pages', count(*) FROM crawled UNION ALL SELECT 'links', count(*) FROM linked UNION ALL SELECT 'issues', count(*) FROM found", L, I))
+def _bundle_tables(s: SparkSession, d: str) -> DataFrame:
+    """The base crawl saved and opened beside the other crawl: all tables are whole again."""
+    t = {"crawls": o.crawls(s, d), "pages": _pages(s, d), "links": o.links(s, d), "issues": o.issues(s, d)}
+    path = scratch_dir(s)
+    sk.save_crawl(t, "base", path)
+    opened = sk.open_crawl(s, path, {n: x.filter("crawl_id <> 'base'") for n, x in t.items()})
+    return reduce(DataFrame.unionByName, (df.groupBy().agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n")) for name, df in opened.items()))
+
+
 @query("snk6_7_bundle", o.sql("SELECT crawl_id, page_id, url, title FROM crawled WHERE crawl_id = 'base'"))
 def _bundle(s: SparkSession, d: str) -> DataFrame:
     t = {"crawls": o.crawls(s, d), "pages": _pages(s, d), "links": o.links(s, d), "issues": o.issues(s, d)}
@@ -135,14 +159,22 @@ _add("snk9_delete_crawl", lambda s, d: sk.delete_crawl({"crawls": o.crawls(s, d)
 _add("snk10_page_children", lambda s, d: sk.attach_page_id(o.issues(s, d).select("crawl_id", "url", "rule_id"), _pages(s, d)), o.sql("SELECT crawl_id, url, rule_id, page_id FROM found", I))
 
 
-@query("snk11_exporter")
+_RULES = ", ".join(f"('{r.id}', {k})" for k, r in enumerate(rl.BUILTIN))
+
+
+@query("snk11_exporter", o.sql(f"""
+    SELECT '# Site audit' AS line UNION ALL SELECT '## Issues by severity' UNION ALL SELECT '## First issues'
+    UNION ALL SELECT '- ' || severity || ': ' || count(*) FROM told WHERE rule_id <> 'links.redirect_chain' GROUP BY severity
+    UNION ALL SELECT line FROM (
+        SELECT '- **' || severity || '** ' || rule_id || ': ' || message AS line FROM told JOIN (VALUES {_RULES}) AS r(rule_id, place) USING (rule_id) WHERE rule_id <> 'links.redirect_chain'
+        ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id * 100 + place, message LIMIT 50)""", ri.RICH_SQL))
 def _markdown(s: SparkSession, d: str) -> DataFrame:
+    """The report of the pages' issues, exported and read back."""
     s.dataSource.register(sk.MarkdownExport)
-    path = scratch_dir(s).removeprefix("file://")
-    lines = cut(sk.markdown_summary(o.issues(s, d)))
-    if ":" not in path:
-        lines.write.format("crawlspan_markdown").mode("append").option("path", path).save()
-    return lines
+    path = scratch_dir(s)
+    issues = rl.evaluate_rules(ri.parsed_rich(s, d), html_only=True).withColumn("issue_id", F.col("page_id") * 100 + F.col("rule_order"))
+    sk.markdown_summary(issues).write.format("crawlspan_markdown").mode("append").option("path", path).save()
+    return s.read.text(path).withColumnRenamed("value", "line")
 
 
 _add("snk12_crawl_registry", lambda s, d: sk.finish_crawl(sk.register_crawl(_registry(s, d), "compare", "https://start.example/"), _pages(s, d), "compare").select("crawl_id", "status", "urls_crawled", "urls_errored"), o.sql("SELECT 'compare' AS crawl_id, 'completed' AS status, count(status_code) AS urls_crawled, count(*) - count(status_code) AS urls_errored FROM crawled WHERE crawl_id = 'compare' UNION ALL SELECT 'base', 'completed', count(status_code), count(*) - count(status_code) FROM crawled WHERE crawl_id = 'base'"))
@@ -155,15 +187,73 @@ def _registry(s: SparkSession, d: str) -> DataFrame:
 # Extraction --------------------------------------------------------------------------------------------------------
 _parsed = o.parsed_pages
 _add("ext1_7_14_titles", lambda s, d: _parsed(s, d).select("page_id", "title", ps.h1_first().alias("h1"), "word_count"), o.sql("SELECT page_id, title, h1, word_count FROM parsed"))
-_add("ext2_6_head_tags", lambda s, d: _parsed(s, d).select("page_id", "meta_description", "meta_robots", "viewport", "canonical", "base_url", F.size("scripts").alias("scripts"), F.size("stylesheets").alias("stylesheets"), "render_blocking_scripts", "render_blocking_stylesheets", F.size("images").alias("images")).filter("meta_description is null and canonical is null").select("page_id", "scripts", "stylesheets", "images"), "SELECT page_id, 0 AS scripts, 0 AS stylesheets, 0 AS images FROM pages")
+_rich = ri.parsed_rich
+_add(
+    "ext2_6_head_tags",
+    lambda s, d: _rich(s, d).select("page_id", "meta_description", "meta_robots", "viewport", "canonical", "base_url"),
+    o.sql("SELECT page_id, meta_description, meta_robots, viewport, canonical, base_url FROM rich", ri.RICH_SQL),
+)
+_add("ext7_headings", lambda s, d: ps.headings_table(_rich(s, d)), o.sql(
+    """SELECT page_id, 1 AS level, unnest(range(len(h1s))) AS place, unnest(h1s) AS heading FROM rich
+    UNION ALL SELECT page_id, 2, 0, 'Two ' || page_id FROM rich WHERE page_id % 5 IN (2, 3) UNION ALL SELECT page_id, 3, 0, 'Deep ' || page_id FROM rich WHERE page_id % 5 = 1
+    UNION ALL SELECT page_id, 3, 0, 'Three ' || page_id FROM rich WHERE page_id % 5 = 3 UNION ALL SELECT page_id, 4, 0, 'Four ' || page_id FROM rich WHERE page_id % 5 = 2
+    UNION ALL SELECT page_id, 6, 0, 'Six ' || page_id FROM rich WHERE page_id % 5 = 4""",
+    ri.RICH_SQL,
+))
+_add(
+    "ext9_13_assets",
+    lambda s, d: _rich(s, d).select(
+        "page_id", F.array_join(F.transform("images", lambda x: F.concat_ws("|", x["src"], F.coalesce(x["alt"], F.lit("none")), x["has_srcset"].cast("string"))), " ").alias("images"),
+        F.array_join("scripts", " ").alias("scripts"), F.array_join("stylesheets", " ").alias("stylesheets"), "render_blocking_scripts", "render_blocking_stylesheets",
+    ),
+    o.sql(
+        """SELECT page_id, array_to_string(list_transform(images, lambda x: x.src || '|' || coalesce(x.alt, 'none') || '|' || x.srcset), ' ') AS images,
+        array_to_string(scripts, ' ') AS scripts, array_to_string(stylesheets, ' ') AS stylesheets, render_blocking_scripts, render_blocking_stylesheets FROM rich""",
+        ri.RICH_SQL,
+    ),
+)
 _add("ext8_links", lambda s, d: _parsed(s, d).select("page_id", F.size("links").alias("n_links"), F.array_join(F.transform("links", lambda x: F.coalesce(x["anchor_text"], F.lit(""))), "|").alias("anchors")), r"SELECT page_id, len(a) AS n_links, array_to_string(list_transform(a, lambda x: trim(replace(replace(replace(replace(x, '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), '&amp;', '&'))), '|') AS anchors FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a href=[^>]*>(.*?)</a>', 1) AS a FROM pages)".replace('\\"', '"'))
-_add("ext15_body_text", lambda s, d: _parsed(s, d).select("page_id", "body_text").withColumn("bytes", F.octet_length("body_text")).select("page_id", "bytes"))
-_add("ext16_custom_extractions", lambda s, d: ps.parse_pages(o.raw_pages(s, d), selectors={"menu": "nav li a", "lead": "article h1", "bad": "a >> b"}).select("page_id", F.size(F.col("custom_extractions")["menu"]).alias("menu"), F.col("custom_extractions")["lead"][0].alias("lead"), F.col("custom_extractions")["bad"].isNull().alias("bad_is_null")))
+#: The text of the body, entities read, white space single.
+_BODY = r"""plain_body AS (
+    SELECT page_id, list_filter(regexp_split_to_array(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<body[^>]*>(.*)', 1), '(?s)</body>.*', ''),
+           '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+'), lambda x: x <> '') AS words FROM pages
+),
+counted AS (SELECT page_id, words, list_transform(words, lambda x: strlen(x) + 1) AS sizes FROM plain_body),
+within AS (SELECT page_id, words, len(list_filter(range(1, len(words) + 1), lambda k: list_sum(sizes[1:k]) <= 8001)) AS n FROM counted)"""
+_add("ext15_body_text", lambda s, d: _parsed(s, d).select("page_id", "body_text"), f"WITH {_BODY} SELECT page_id, nullif(array_to_string(words[1:n], ' '), '') AS body_text FROM within")
+_PICKS = {"menu": "nav > ul > li:nth-child(2) > a[href^='/']", "lead": "article h1", "second": "h1:not(article h1)", "after": "h3 + h4, h2 + h4", "bad": "a >> b"}
+_NAV = r"""list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a href=[^>]*>(.*?)</a>', 1), lambda x: trim(replace(replace(x, '&quot;', '"'), '&amp;', '&')))"""
+_add(
+    "ext16_custom_extractions",
+    lambda s, d: ps.parse_pages(ri.raw_rich(s, d), selectors=_PICKS).select("page_id", *(F.array_join(F.col("custom_extractions")[k], "|").alias(k) for k in _PICKS)),
+    o.sql(
+        f"""SELECT page_id, coalesce(({_NAV})[2], '') AS menu, coalesce(h1, '') AS lead, CASE WHEN page_id % 4 = 2 THEN 'Second ' || page_id ELSE '' END AS second,
+        CASE WHEN page_id % 5 = 2 THEN 'Four ' || page_id ELSE '' END AS after, NULL AS bad FROM parsed JOIN pages USING (page_id)"""
+    ),
+)
 _add("ext17_links_table", lambda s, d: ps.links_table(_parsed(s, d)).groupBy("source_page", "link_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_internal").alias("internal")), "SELECT page_id AS source_page, 'a' AS link_type, len(regexp_extract_all(html, '<a href=')) AS n, len(regexp_extract_all(html, '<a href=')) AS internal FROM pages WHERE html LIKE '%<a href=%'")
-_add("ext18_images_table", lambda s, d: ps.images_table(ps.links_table(_parsed(s, d))).agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM pages WHERE html LIKE '%<img %'")
+_add(
+    "ext17_other_links",
+    lambda s, d: ps.links_table(_rich(s, d)).filter("link_type <> 'a'").select("source_page", "link_type", "target_url"),
+    o.sql(
+        """SELECT page_id AS source_page, 'script' AS link_type, unnest(scripts) AS target_url FROM rich UNION ALL SELECT page_id, 'link', unnest(stylesheets) FROM rich
+        UNION ALL SELECT page_id, 'img', unnest(list_transform(images, lambda x: x.src)) FROM rich UNION ALL SELECT page_id, 'canonical', canonical FROM rich WHERE canonical IS NOT NULL
+        UNION ALL SELECT page_id, 'redirect', 'https://hop.example/' || unnest(range(1, hops + 1)) FROM rich""",
+        ri.RICH_SQL,
+    ),
+)
+_add(
+    "ext18_images_table",
+    lambda s, d: ps.images_table(ps.links_table(_rich(s, d))).select("source_page", "target_url", "anchor_text"),
+    o.sql("SELECT page_id AS source_page, x.src AS target_url, x.alt AS anchor_text FROM (SELECT page_id, unnest(images) AS x FROM rich)", ri.RICH_SQL),
+)
 _add("ext19_headings", lambda s, d: ps.headings_table(_parsed(s, d)), o.sql("SELECT page_id, 1 AS level, 0 AS place, h1 AS heading FROM parsed WHERE h1 IS NOT NULL"))
 _add("ext20_js_candidates", lambda s, d: ps.js_candidates(_parsed(s, d), always=["/en/9"], never=[r"\?page="]).select("page_id", "js_candidate"), r"SELECT page_id, NOT regexp_matches(url, '\?page=') AND regexp_matches(url, '/en/9') AS js_candidate FROM pages")
-_add("ext21_jsonld", lambda s, d: rl.jsonld_rules(o.raw_pages(s, d), ps.jsonld_blocks(o.raw_pages(s, d))).select("page_id", "rule_id", "severity"), "SELECT page_id, 'jsonld.missing_schema' AS rule_id, 'info' AS severity FROM pages WHERE html NOT LIKE '%application/ld+json%'")
+_add("ext21_jsonld", lambda s, d: rl.jsonld_rules(ri.raw_rich(s, d), ps.jsonld_blocks(ri.raw_rich(s, d))).select("page_id", "rule_id", "severity", "message"), """
+    SELECT page_id, 'jsonld.missing_schema' AS rule_id, 'info' AS severity, 'Page has no JSON-LD structured data.' AS message FROM pages WHERE page_id % 5 = 0
+    UNION ALL SELECT page_id, 'jsonld.invalid_json', 'error', 'JSON-LD block is not valid JSON.' FROM pages WHERE page_id % 5 = 2
+    UNION ALL SELECT page_id, 'jsonld.missing_context', 'warning', 'JSON-LD block has no @context.' FROM pages WHERE page_id % 5 = 3
+    UNION ALL SELECT page_id, 'jsonld.missing_type', 'warning', 'JSON-LD block has no @type.' FROM pages WHERE page_id % 5 = 4""")
 
 # URL and text functions --------------------------------------------------------------------------------------------
 _urls = lambda s, d: s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
@@ -192,10 +282,23 @@ _add("fn9_truncate_label", lambda s, d: s.read.parquet(f"{d}/documents.parquet")
 _add("fn10_truncate_words", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.truncate_words(F.col("text"), 20).alias("head")), r"SELECT doc_id, CASE WHEN len(w) > 20 THEN array_to_string(w[1:20], ' ') || ' [... truncated]' ELSE text END AS head FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents)")
 _add("fn11_literal_search", lambda s, d: rs.pages_filter(_pages(s, d), search="?PAGE=").select("crawl_id", "page_id"), o.sql("SELECT crawl_id, page_id FROM crawled WHERE contains(lower(url), '?page=')"))
 _add("fn12_compute_cost", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", tx.compute_cost(F.col("n_chars"), F.lit(500), F.lit(0.003), F.lit(0.015)).alias("cost")), "SELECT doc_id, (n_chars * 0.003::DOUBLE + 500 * 0.015::DOUBLE) / 1000 AS cost FROM documents")
-_add("fn13_detail_json", lambda s, d: xp.broken_internal(o.links(s, d), _pages(s, d)).select("crawl_id", "page_id", "detail_json"))
+_add(
+    "fn13_detail_json",
+    lambda s, d: xp.broken_internal(o.links(s, d), _pages(s, d)).select("crawl_id", "page_id", "detail_json"),
+    o.sql(
+        """SELECT l.crawl_id, source_page AS page_id, '{"anchor_text":' || coalesce('"' || anchor_text || '"', 'null') || ',"status_code":' || status_code || ',"target_url":"' || target_url || '"}' AS detail_json
+        FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.url = l.target_url WHERE is_internal AND status_code >= 400""",
+        L,
+    ),
+)
 _add("fn14_json_valid", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", tx.json_valid(F.col("props")).alias("ok")), "SELECT event_id, json_valid(props) AS ok FROM events")
 
 # Rules -------------------------------------------------------------------------------------------------------------
+_add(
+    "rul1_all_rules",
+    lambda s, d: rl.evaluate_rules(_rich(s, d), config={"rules": {"links.redirect_chain": {"params": {"min_hops": 2}}}}, html_only=True).select("page_id", "rule_id", "severity", "category", "message", F.col("detail_json").alias("detail")),
+    o.sql("SELECT page_id, rule_id, severity, category, message, detail FROM told", ri.RICH_SQL),
+)
 _add("rul1_evaluate_rules", lambda s, d: o.issues(s, d).select("crawl_id", "page_id", "rule_id", "severity", "category"), o.sql("SELECT crawl_id, page_id, rule_id, severity, category FROM found", I))
 for _rule, _sql in {
     "meta.title_length": "SELECT crawl_id, page_id, 'Title is too ' || CASE WHEN length(title) < 30 THEN 'short (' || length(title) || ' chars, minimum 30' ELSE 'long (' || length(title) || ' chars, maximum 60' END || ' recommended).' AS message FROM html WHERE length(title) < 30 OR length(title) > 60",
@@ -212,6 +315,8 @@ _add("rul3_rule_catalog", lambda s, d: rl.rule_catalog(s).join(o.issues(s, d).gr
 for _name, _f, _c in (("xp1_dup_titles", xp.dup_titles, "title"), ("xp2_dup_descriptions", xp.dup_descriptions, "meta_desc"), ("xp3_dup_h1s", xp.dup_h1s, "h1")):
     _add(_name, lambda s, d, f=_f: f(_pages(s, d)).select("crawl_id", "value", F.col("count").alias("n")), o.sql(f"SELECT crawl_id, {_c} AS value, count(*) AS n FROM crawled WHERE coalesce({_c}, '') <> '' GROUP BY 1, 2 HAVING count(*) > 1"))
 _add("xp123_emission", lambda s, d: xp.duplicate_issues(_pages(s, d), "title", None).select("crawl_id", "page_id", "message"), o.sql("""SELECT crawl_id, page_id, 'Duplicate title: "' || CASE WHEN length(title) > 80 THEN left(title, 77) || '...' ELSE title END || '" is shared by ' || n || ' page(s).' AS message FROM (SELECT *, count(*) OVER (PARTITION BY crawl_id, title) AS n FROM crawled WHERE coalesce(title, '') <> '') WHERE n > 1"""))
+for _c in ("title", "meta_desc", "h1"):
+    _add(f"xp123_members_{_c}", lambda s, d, c=_c: xp.duplicate_members(_pages(s, d), c), o.sql(f"SELECT crawl_id, {_c} AS value, page_id FROM (SELECT *, count(*) OVER (PARTITION BY crawl_id, {_c}) AS n FROM crawled WHERE coalesce({_c}, '') <> '') WHERE n > 1"))
 _BAD = "SELECT crawl_id, url AS target_url, status_code FROM crawled WHERE status_code >= 400"
 _add("xp4_broken_internal", lambda s, d: xp.broken_internal(o.links(s, d), _pages(s, d)).select("crawl_id", "page_id", "target_url", "rule_id", "severity"), o.sql(f"SELECT crawl_id, source_page AS page_id, target_url, 'links.broken_internal' AS rule_id, 'error' AS severity FROM linked JOIN ({_BAD}) USING (crawl_id, target_url) WHERE is_internal", L))
 _add("xp5_orphan_pages", lambda s, d: xp.orphan_pages(_pages(s, d), o.links(s, d)).select("crawl_id", "page_id", "rule_id"), o.sql("SELECT crawl_id, page_id, 'links.orphan_page' AS rule_id FROM crawled AS p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM linked AS l WHERE l.crawl_id = p.crawl_id AND l.target_url = p.url AND is_internal)", L))
@@ -228,7 +333,18 @@ _add("qry1b_status_class", lambda s, d: rs.status_class(_pages(s, d), "4xx").sel
 _add("qry1c_content_class", lambda s, d: rs.content_class(_pages(s, d), "html").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT count(*) AS n FROM crawled"))
 _add("qry2_pages_sort", lambda s, d: rs.paged(_pages(s, d), "pages", "responseTimeMs", True, 10, 50, ["page_id", "crawl_id"]).select("crawl_id", "page_id", "response_time_ms"), o.sql("SELECT crawl_id, page_id, response_time_ms FROM crawled ORDER BY response_time_ms DESC, page_id, crawl_id LIMIT 50 OFFSET 10"))
 _add("qry3_pages_count", lambda s, d: _pages(s, d).groupBy("crawl_id").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT crawl_id, count(*) AS n FROM crawled GROUP BY 1"))
-_add("qry4_page_detail", lambda s, d: rs.page_detail(_pages(s, d), o.issues(s, d), o.links(s, d), 1).select("crawl_id", "page_id", F.coalesce(F.size("issues"), F.lit(0)).alias("issues"), F.size(F.coalesce("inbound", F.array())).alias("inbound"), F.size(F.coalesce("outbound", F.array())).alias("outbound")))
+_add(
+    "qry4_page_detail",
+    lambda s, d: rs.page_detail(_pages(s, d), o.issues(s, d), o.links(s, d), 1).select("crawl_id", "kind", "source_page", "url", "anchor_text", "rule_id", "severity", "category"),
+    o.sql(
+        """SELECT crawl_id, 'page' AS kind, page_id AS source_page, url, NULL AS anchor_text, NULL AS rule_id, NULL AS severity, NULL AS category FROM crawled WHERE page_id = 1
+        UNION ALL SELECT crawl_id, 'issue', page_id, NULL, NULL, rule_id, severity, category FROM found WHERE page_id = 1
+        UNION ALL SELECT l.crawl_id, 'inbound', source_page, target_url, anchor_text, NULL, NULL, NULL FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.url = l.target_url WHERE p.page_id = 1
+        UNION ALL SELECT crawl_id, 'outbound', source_page, target_url, anchor_text, NULL, NULL, NULL FROM linked WHERE source_page = 1""",
+        L,
+        I,
+    ),
+)
 _add("qry4b_detail_issue_order", lambda s, d: rs.order_by_severity(o.issues(s, d).filter("page_id = 2")).select("crawl_id", "rule_id", "severity"), o.sql("SELECT crawl_id, rule_id, severity FROM found WHERE page_id = 2", I))
 _add("qry5_inbound_links", lambda s, d: rs.inbound_links(_pages(s, d), o.links(s, d)).groupBy("crawl_id", "page_id").agg(F.count(F.lit(1)).alias("inbound")), o.sql("SELECT p.crawl_id, p.page_id, count(*) AS inbound FROM crawled AS p JOIN linked AS l ON l.crawl_id = p.crawl_id AND l.target_url = p.url GROUP BY 1, 2", L))
 _add("qry6_outbound_links", lambda s, d: rs.outbound_links(_pages(s, d), o.links(s, d)).select("crawl_id", "source_page", "source_url", "target_url"), o.sql("SELECT l.crawl_id, source_page, p.url AS source_url, target_url FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.page_id = l.source_page", L))
@@ -283,10 +399,8 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
 _CFG = CrawlConfig(max_depth=3, respect_robots=False)
 _seeds = lambda s, d: fr.seed(_corpus(s, d).filter("page_id between 1 and 3").select("url"), _CFG)
 _add("frt1_seed", lambda s, d: _seeds(s, d).select("depth", "priority"), o.sql("SELECT 0 AS depth, 100 AS priority FROM crawled WHERE crawl_id = 'base' AND page_id BETWEEN 1 AND 3"))
-_add("frt2_sitemap_seed", lambda s, d: fr.seed_sitemaps(o.sitemap(s, d).filter("crawl_id = 'base'"), CrawlConfig(include=("/en/",), exclude=(r"\?",))).groupBy("depth", "priority").agg(F.count(F.lit(1)).alias("n")))
+_add("frt2_sitemap_seed", lambda s, d: fr.seed_sitemaps(o.sitemap(s, d).filter("crawl_id = 'base'"), CrawlConfig(include=("/en/",), exclude=(r"\?",))).groupBy("depth", "priority").agg(F.count(F.lit(1)).alias("n")), o.sql(r"SELECT 0 AS depth, 150 AS priority, count(*) AS n FROM mapped WHERE crawl_id = 'base' AND url LIKE '%/en/%' AND regexp_replace(url, '#.*', '') NOT LIKE '%?%'", S))
 _add("frt3_expand", lambda s, d: fr.expand(_corpus(s, d), _CFG).groupBy("depth", "priority").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT depth + 1 AS depth, 99 - depth AS priority, count(*) AS n FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.page_id = l.source_page WHERE l.crawl_id = 'base' AND is_internal AND NOT nofollow AND depth < 3 GROUP BY 1, 2", L))
-_add("frt4_dedup", lambda s, d: fr.dedup(fr.expand(_corpus(s, d), _CFG), _seeds(s, d)).select("depth", "priority"))
-_add("frt5_pop", lambda s, d: fr.next_wave(fr.dedup(fr.expand(_corpus(s, d), _CFG)), 20).select("url", "depth", "priority"))
 _BFS = f"""canon AS (
     SELECT page_id, url, min(page_id) OVER (PARTITION BY normal) AS own FROM crawled JOIN ({_NORM}) USING (page_id) WHERE crawl_id = 'base'
 ),
@@ -296,6 +410,23 @@ walk AS (
             SELECT own, 0 FROM canon WHERE page_id BETWEEN 1 AND 3
             UNION SELECT t.own, w.depth + 1 FROM w JOIN linked AS l ON l.crawl_id = 'base' AND l.source_page = w.page_id AND is_internal AND NOT nofollow JOIN canon AS t ON t.url = l.target_url WHERE w.depth < 3
         ) SELECT * FROM w) GROUP BY page_id)"""
+#: The first sighting of each normalised URL: the most urgent link, then the shallowest, then the smallest source.
+_FIRST = f"""named AS (SELECT n.page_id, url, normal FROM ({_NORM}) AS n JOIN pages USING (page_id)),
+sighted AS (
+    SELECT normal, depth, priority FROM (
+        SELECT t.normal, p.depth + 1 AS depth, 99 - p.depth AS priority, row_number() OVER (PARTITION BY t.normal ORDER BY p.depth, l.source_page) AS place
+        FROM linked AS l JOIN crawled AS p ON p.crawl_id = 'base' AND p.page_id = l.source_page JOIN named AS t ON t.url = l.target_url
+        WHERE l.crawl_id = 'base' AND is_internal AND NOT nofollow AND p.depth < 3) WHERE place = 1)"""
+_add(
+    "frt4_dedup",
+    lambda s, d: fr.dedup(fr.expand(_corpus(s, d), _CFG), _seeds(s, d)).select("url", "depth", "priority"),
+    o.sql("SELECT normal AS url, depth, priority FROM sighted WHERE normal NOT IN (SELECT normal FROM named JOIN crawled USING (page_id) WHERE crawl_id = 'base' AND page_id BETWEEN 1 AND 3)", L, _FIRST),
+)
+_add(
+    "frt5_pop",
+    lambda s, d: fr.next_wave(fr.dedup(fr.expand(_corpus(s, d), _CFG)), 20).select("url", "depth", "priority"),
+    o.sql("SELECT normal AS url, depth, priority FROM sighted ORDER BY priority DESC, depth, normal LIMIT 20", L, _FIRST),
+)
 _add("frt6_page_limit", lambda s, d: fr.crawl(_corpus(s, d), _seeds(s, d), CrawlConfig(max_depth=3, max_pages=10))[0].agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT least(10, count(*)) AS n FROM walk", L, _BFS))
 _add("frt7_robots_filter", lambda s, d: rb.robots_allowed(_urls(s, d), rb.robots_rules(_robots_docs(s, d))).select("page_id", "allowed"), rf"""SELECT page_id, CASE WHEN pq LIKE '/%?page=%' THEN false WHEN pq LIKE '/en/9%' THEN true WHEN pq LIKE '/en/%' THEN false ELSE true END AS allowed FROM (SELECT page_id, {_PATH} || regexp_extract(url, '^https?://[^?#]*(\?[^#]*)', 1) AS pq FROM pages)""")
 _add("frt8_schedule", lambda s, d: fr.fetch_schedule(_urls(s, d).withColumn("priority", F.lit(100)).withColumn("depth", F.lit(0)), 500, rb.robots_extras(_robots_docs(s, d)).filter("agent = '*'")).select("page_id", "place", "start_ms", F.col("wave")), f"SELECT page_id, place, place * 1000 AS start_ms, place // 2 AS wave FROM (SELECT page_id, row_number() OVER (PARTITION BY {_HOST} ORDER BY url) - 1 AS place FROM pages)")
@@ -337,6 +468,23 @@ def _ingest(s: SparkSession, d: str) -> DataFrame:
     return st.drain_then_analyse(done, lambda: s.read.parquet(f"{out}/links/*").groupBy(F.col("source_page").alias("page_id")).agg(F.count(F.lit(1)).alias("links")))
 
 
+def _streamed(table: str) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        out = scratch_dir(s)
+        done = st.ingest_stream(st.table_stream(s, d, "pages"), out)
+        return st.drain_then_analyse(done, lambda: s.read.parquet(f"{out}/{table}/*"))
+
+    return run
+
+
+_add("str1_stream_pages", lambda s, d: _streamed("pages")(s, d).select("page_id", "title", ps.h1_first().alias("h1"), "word_count"), o.sql("SELECT page_id, title, h1, word_count FROM parsed"))
+_add("str1_stream_issues", lambda s, d: _streamed("issues")(s, d).select("page_id", "rule_id", "severity"), o.sql("""
+    SELECT page_id, 'meta.title_missing' AS rule_id, 'error' AS severity FROM parsed WHERE coalesce(title, '') = ''
+    UNION ALL SELECT page_id, 'meta.title_length', 'warning' FROM parsed WHERE length(title) < 30 OR length(title) > 60
+    UNION ALL SELECT page_id, unnest(['meta.desc_missing', 'meta.canonical_missing', 'meta.viewport_missing']), 'warning' FROM parsed
+    UNION ALL SELECT page_id, 'content.h1_missing', 'warning' FROM parsed WHERE h1 IS NULL
+    UNION ALL SELECT page_id, 'content.thin_content', 'warning' FROM parsed WHERE word_count BETWEEN 1 AND 199
+    UNION ALL SELECT page_id, 'security.http_page', 'warning' FROM parsed WHERE url LIKE 'http://%'"""))
 _add("str2_stream_dedup", lambda s, d: st.drained(st.stream_dedup(st.table_stream(s, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])), "SELECT DISTINCT user_id, event_type FROM events")
 _add("str3_progress", lambda s, d: st.drained(st.progress(st.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", F.col("value") < 0), "complete").select("event_type", "crawled", "errored"), "SELECT event_type, count(*) FILTER (NOT (value < 0)) AS crawled, count(*) FILTER (value < 0) AS errored FROM events GROUP BY 1")
 _add("str4_windowed_rate", lambda s, d: st.drained(st.windowed_rate(st.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts"), "complete").select(F.unix_timestamp("start").alias("start_s"), "n"), "SELECT (floor(epoch(ts))::BIGINT // 3600) * 3600 AS start_s, count(*) AS n FROM events GROUP BY 1")
@@ -351,7 +499,7 @@ def _external_stream(s: SparkSession, d: str) -> DataFrame:
     return st.drained(st.external_dedup_stream(stream))
 
 
-@query("str7_drain_then_analyse")
+@query("str7_drain_then_analyse", o.sql("SELECT 'stream' AS crawl_id, title AS value, count(*) AS count FROM parsed WHERE coalesce(title, '') <> '' GROUP BY title HAVING count(*) > 1"))
 def _drained(s: SparkSession, d: str) -> DataFrame:
     out = scratch_dir(s)
     done = st.ingest_stream(st.table_stream(s, d, "pages"), out)

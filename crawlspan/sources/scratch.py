@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a session without that setting (a test) gets a local one."""
+    """A new folder below ``spark.checkpoint.dir``. Only a session on one machine (a test) may lack the setting; it gets a
+    local folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("crawlspan.scratch.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="crawlspan-")
         spark.conf.set("crawlspan.scratch.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
@@ -22,3 +25,8 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

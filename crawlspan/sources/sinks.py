@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -105,14 +107,16 @@ def latest(df: DataFrame, keys: list[str], stamp: str) -> DataFrame:
 def markdown_summary(issues: DataFrame, most: int = 50) -> DataFrame:
     """Lines (place, line) of a Markdown report: header, counts by severity, the first issues."""
     counts = issues.groupBy("severity").count().select((F.lit(10) + severity_rank()).cast("long").alias("place"), F.concat(F.lit("- "), F.col("severity"), F.lit(": "), F.col("count").cast("string")).alias("line"))
-    first = issues.orderBy(severity_rank(), "issue_id").limit(most)
-    lines = first.select((F.lit(100) + F.row_number().over(Window.orderBy(severity_rank(), "issue_id"))).cast("long").alias("place"), F.concat(F.lit("- **"), F.col("severity"), F.lit("** "), F.col("rule_id"), F.lit(": "), F.col("message")).alias("line"))
+    order = (severity_rank(), "issue_id", "message")
+    first = issues.orderBy(*order).limit(most)
+    lines = first.select((F.lit(100) + F.row_number().over(Window.orderBy(*order))).cast("long").alias("place"), F.concat(F.lit("- **"), F.col("severity"), F.lit("** "), F.col("rule_id"), F.lit(": "), F.col("message")).alias("line"))
     head = issues.sparkSession.createDataFrame([(0, "# Site audit"), (9, "## Issues by severity"), (99, "## First issues")], "place long, line string")
     return head.unionByName(counts).unionByName(lines)
 
 
 class MarkdownExport(DataSource):
-    """``df.write.format("crawlspan_markdown")``: each task writes its rows' ``line`` column as a file of a folder."""
+    """``df.write.format("crawlspan_markdown")``: each task writes its rows' ``line`` column as a file of a folder, on whatever
+    file system the folder's URI names."""
 
     @classmethod
     def name(cls) -> str:
@@ -127,13 +131,18 @@ class MarkdownExport(DataSource):
 
 class _MarkdownWriter(DataSourceWriter):
     def __init__(self, path: str) -> None:
-        self.path = path.removeprefix("file://")
+        self.path = path
 
     def write(self, rows):
-        import os
         import uuid
 
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/part-{uuid.uuid4().hex}.md", "w", encoding="utf-8") as f:
-            f.writelines(f"{line}\n" for _, line in sorted((r["place"], r["line"]) for r in rows))
+        from pyarrow.fs import FileSystem
+
+        uri = self.path.replace("s3a://", "s3://", 1).replace("file:/", "file:///", 1) if re.match("s3a://|file:/[^/]", self.path) else self.path
+        fs, folder = FileSystem.from_uri(uri)
+        fs.create_dir(folder, recursive=True)
+        text = "".join(f"{line}\n" for _, line in sorted((r["place"], r["line"]) for r in rows))
+        if text:
+            with fs.open_output_stream(f"{folder}/part-{uuid.uuid4().hex}.md") as f:
+                f.write(text.encode())
         return WriterCommitMessage()

@@ -7,7 +7,7 @@ from crawlspan import registry
 from crawlspan.functions import text as tx
 from crawlspan.functions import urls as ur
 from crawlspan.model import CrawlConfig
-from crawlspan.operators import analysis, crosspage, diff, extend, parse, rules
+from crawlspan.operators import analysis, crosspage, diff, extend, parse, rules, selectors
 from crawlspan.plans import frontier
 from crawlspan.sources import pages as sp
 from crawlspan.sources import robots, sitemaps, sinks
@@ -51,6 +51,14 @@ def test_parse_edges():
         ("https://example.com/page/", "https://example.com/page"),
         ("https://example.com/", "https://example.com/"),
         ("https://example.com/a/../b/./c", "https://example.com/b/c"),
+        ("https://example.com/a/%2E%2e/b/%2e/c", "https://example.com/b/c"),
+        ("https://Me@Example.com/ä b?q=%61&p=a+b&r=x%26y#f", "https://Me@example.com/%C3%A4%20b?p=a%20b&q=a&r=x&y"),
+        ("https://example.com/?q=%C3%A9é'%3D", "https://example.com/?q=%C3%A9%C3%A9%27="),
+        ("https://example.com/%3D%25?x=100%", "https://example.com/%3D%25?x=100%"),
+        ("https://Bücher.example:443/", "https://xn--bcher-kva.example/"),
+        ("https://example.com/a/?x=1", "https://example.com/a/?x=1"),
+        ("https://example.com/a?x=b/", "https://example.com/a?x=b"),
+        ("https://example.com/a?", "https://example.com/a?"),
         ("not a url", "not a url"),
     ],
 )
@@ -235,3 +243,28 @@ def test_budget(spark):
     df = spark.range(100).selectExpr("'c' as crawl_id", "id as page_id")
     got = sorted(r["page_id"] for r in analysis.budget_cut(df, F.lit(10), 100).collect())
     assert got == list(range(9))
+
+
+PICKED = """<html><body><div id=top class="a b"><p lang=en-GB>one</p><p class=b>two</p></div><div><ul><li>1</li><li>2</li><li data-x="Hello World">3</li><li>4</li></ul>
+<h2>h</h2><span>s</span><p>three</p><p title=y>four</p></div></body></html>"""
+
+
+@pytest.mark.parametrize(
+    ("css", "want"),
+    [
+        ("div > p", ["one", "two", "three", "four"]), ("#top.a > p", ["one", "two"]), ("div.b p + .b", ["two"]), ("h2 + span", ["s"]), ("h2 ~ p", ["three", "four"]), ("h2 + p", []), ("html > p", []),
+        ("li:nth-child(2n+1)", ["1", "3"]), ("li:nth-child(even), h2", ["2", "4", "h"]), ("li:nth-child(-n+2)", ["1", "2"]), ("li:first-child", ["1"]), ("ul li:nth-of-type(4)", ["4"]), ("p:nth-of-type(1)", ["one", "three"]),
+        ("[data-x^=hello i]", ["3"]), ("[data-x$='World']", ["3"]), ("[data-x~=World][data-x*='o W']", ["3"]), ("[data-x=World]", []), ("[lang|=en]", ["one"]), ("[title]", ["four"]),
+        ("li:not([data-x]):not(:first-child)", ["2", "4"]), (":is(h2, span)", ["h", "s"]), (":root > body > div:nth-child(1) .b", ["two"]),
+        ("body *|x", None), ("p >", None), ("> p", None), ("p..b", None), ("li:nth-child(x)", None), ("", None), ("[a", None), ("p:nonsense", None),
+    ],
+)
+def test_selectors(css, want):
+    got = parse.parse_html(PICKED, "https://x.example/", "x.example", {"k": selectors.parse(css)})
+    assert dict(dict(zip(parse.NAMES, got, strict=True))["custom_extractions"])["k"] == want
+
+
+def test_selectors_that_need_later_elements(spark):
+    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
+    with pytest.raises(selectors.Unsupported):
+        parse.parse_pages(pages, selectors={"x": "li:last-child"})
