@@ -28,11 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import Settled, settle, small_batches
+from crawlspan.llm.common import Settled, Steps, kept, small_batches
+from crawlspan.llm.members import belongs
 
 MISS = 1e-7
 #: Cached word hashes of a worker.
-WORDS = 250_000
+WORDS = 150_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -44,13 +45,10 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def word_hashes(text: str | None) -> np.ndarray:
     """Hashes of the words of a text; A-Z are lower-cased, the six ASCII spaces separate."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(kept("word hashes", _WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -135,16 +133,17 @@ def components(edges: DataFrame) -> DataFrame:
     hangs from the smallest of its component. No step brings links to the driver; a hot node is a skewed join side only.
     """
     links = Settled(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    mark = None
+    mark, step = None, Steps()
     while True:
         e = links.df
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = settle(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
-        large = settle(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
-        low = settle(large.groupBy("a").agg(F.min("b").alias("low")))
+        low = step(both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low")))
+        large = step(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct())
+        low = step(large.groupBy("a").agg(F.min("b").alias("low")))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("low"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
         nxt = Settled(small)
         now = nxt.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        step.free()
         links.drop()
         links = nxt
         if mark == tuple(now):
@@ -160,20 +159,20 @@ class NearDedup:
         self.rows = rows or (5 if percent >= 85 else 4)
         self.bands = bands_for(percent / 100, self.rows)
 
-    def _linked(self, pairs: DataFrame, signatures: DataFrame, sets: DataFrame) -> DataFrame:
+    def _linked(self, pairs: DataFrame, signatures: DataFrame, sets: DataFrame, step: Steps) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough; signatures that agree six deviations too seldom spare a
         pair the full check."""
         n, t = self.rows * self.bands, self.percent / 100
         least = n * t - 6 * math.sqrt(n * t * (1 - t))
         sig = lambda k: signatures.select(F.col("node").alias(k), F.col("signature").alias(f"s{k}"))
         agree = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda x: x))
-        pairs = settle(settle(pairs.distinct()).join(sig("a"), "a").join(sig("b"), "b").filter(agree >= least).select("a", "b"))
+        pairs = step(step(pairs.distinct()).join(sig("a"), "a").join(sig("b"), "b").filter(agree >= least).select("a", "b"))
         items = lambda k: sets.select(F.col("node").alias(k), F.col("items").alias(f"i{k}"))
         shared = F.size(F.array_intersect("ia", "ib"))
         near = pairs.join(items("a"), "a").join(items("b"), "b").select("a", "b", shared.alias("shared"), (F.size("ia") + F.size("ib")).alias("both"))
         return near.filter(100 * F.col("shared") >= self.percent * (F.col("both") - F.col("shared"))).select("a", "b").distinct()
 
-    def _across(self, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    def _across(self, nodes: DataFrame, sets: DataFrame, step: Steps) -> DataFrame:
         """Pairs (a, b) of ``nodes`` (node, component) of different components that can be similar enough, by prefixes.
 
         With shingles in order of rarity, similar sets share one of the first |x| - 2t/(1+t)|x| + 1 of the smaller and
@@ -181,10 +180,10 @@ class NearDedup:
         """
         p = self.percent
         each = sets.join(nodes, "node").select("node", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
-        seen = settle(each.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")))
+        seen = step(each.groupBy("item").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high")))
         place = F.row_number().over(Window.partitionBy("node").orderBy("df", "item"))
         ranked = each.join(seen, "item").withColumn("at", place).filter((F.col("low") != F.col("high")) & (F.col("at") <= F.col("n") - F.ceil(p * F.col("n") / 100) + 1))
-        ranked = settle(ranked.select("item", "node", "component", "n", "at"))
+        ranked = step(ranked.select("item", "node", "component", "n", "at"))
         x, y = ranked.filter(F.col("at") <= F.col("n") - F.ceil(2 * p * F.col("n") / (100 + p)) + 1).alias("x"), ranked.alias("y")
         sizes = (F.col("x.n") <= F.col("y.n")) & (p * F.col("y.n") <= 100 * F.col("x.n"))
         room = (100 + p) * (1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))) >= p * (F.col("x.n") + F.col("y.n"))
@@ -194,40 +193,57 @@ class NearDedup:
     def groups(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id, n_shingles, component_id, kept for each row of ``docs``."""
         small_batches(docs.sparkSession)
+        step = Steps()
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        sketch = settle(rows.mapInArrow(partial(_sketch, width=self.width, rows=self.rows, bands=self.bands, seed=self.seed), "doc_id long, n long, h1 long, h2 long, buckets array<long>, signature array<smallint>"))
-        named = sketch.filter("doc_id is not null")
+        sketch = step(rows.mapInArrow(partial(_sketch, width=self.width, rows=self.rows, bands=self.bands, seed=self.seed), "doc_id long, n long, h1 long, h2 long, buckets array<long>, signature array<smallint>"))
+        each = step(sketch.select("doc_id", "n", "h1", "h2"))
+        named = each.filter("doc_id is not null")
         # One class for each set; its node is its smallest id. Copies leave after this, however many they are.
-        classes = settle(named.filter("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")))
-        in_bucket = settle(classes.select("node", F.explode("buckets").alias("bucket")).distinct())
-        full_buckets = settle(in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"))
-        shared = settle(in_bucket.join(full_buckets, "bucket"))
-        popular = settle(shared.groupBy("node").agg(F.sum("size").alias("popular")))
-        leaders = settle(shared.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader")))
-        members = settle(shared.select("bucket", "node").join(leaders, "bucket"))
-        nodes = settle(members.select("node").distinct())
-        signatures = settle(classes.select("node", "signature").join(nodes, "node", "left_semi"))
-        sets = settle(rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(partial(_sets, width=self.width), "node long, items array<long>"))
-        links = settle(self._linked(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), signatures, sets))
+        some = sketch.filter("n > 0 and doc_id is not null")
+        classes = step(some.groupBy("h1", "h2").agg(F.min("doc_id").alias("node"), F.first("buckets").alias("buckets"), F.first("signature").alias("signature")))
+        step.free(each, classes)
+        in_bucket = step(classes.select("node", F.explode(F.array_distinct("buckets")).alias("bucket")))
+        full_buckets = in_bucket.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        shared = step(in_bucket.join(full_buckets, "bucket"))
+        step.free(each, classes, shared)
+        popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
+        leaders = step(shared.join(popular, "node").groupBy("bucket").agg(F.max_by("node", F.struct("popular", -F.col("node"))).alias("leader")))
+        members = step(shared.select("bucket", "node").join(leaders, "bucket"))
+        step.free(each, classes, members)
+        nodes = step(members.select("node").distinct())
+        signatures = step(classes.select("node", "signature").join(nodes, "node", "left_semi"))
+        sets = step(rows.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(partial(_sets, width=self.width), "node long, items array<long>"))
+        links = step(self._linked(members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")), signatures, sets, step))
         # Rows under one id with different texts join their classes.
         again = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("doc_id")
         same = named.filter("n > 0").join(again, "doc_id").join(classes.select("h1", "h2", "node"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
-        links = settle(links.unionByName(same))
-        found = settle(components(links))
+        links = step(links.unionByName(same))
+        found = step(components(links))
         # Members of different components in one bucket, other than those that met its leader already.
-        placed = members.filter("node <> leader").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-        placed = settle(placed)
-        mixed_up = settle(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket"))
-        rest = settle(placed.join(mixed_up, "bucket").select("node", "component").distinct())
-        more = settle(self._linked(self._across(rest, sets), signatures, sets))
+        placed = step(members.filter("node <> leader").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")))
+        mixed_up = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+        rest = step(placed.join(mixed_up, "bucket").select("node", "component").distinct())
+        step.free(each, classes, signatures, sets, links, found, rest)
+        more = step(self._linked(self._across(rest, sets, step), signatures, sets, step))
         if not more.isEmpty():
-            found = settle(components(links.unionByName(more)))
-        placed_class = settle(classes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")))
-        out = named.filter("n > 0").select("doc_id", "n", "h1", "h2").join(placed_class, ["h1", "h2"]).select("doc_id", "n", "component")
-        out = out.unionByName(sketch.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
+            found = step(components(links.unionByName(more)))
+        placed_class = step(classes.select("h1", "h2", "node").join(found, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component")))
+        step.free(each, placed_class)
+        out = named.filter("n > 0").join(placed_class, ["h1", "h2"]).select("doc_id", "n", "component")
+        out = out.unionByName(each.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component")))
         return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
     def drop_near_copies(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` without the rows whose component has a smaller id; all columns stay."""
-        gone = settle(self.groups(docs, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("gone")).distinct())
-        return docs.join(gone, F.col(f"`{id_col}`").cast("long") == gone["gone"], "left_anti")
+        """``docs`` without the rows whose component has a smaller id; all columns stay.
+
+        Filters of ids tell where each row stands; only the few rows that they leave open shuffle.
+        """
+        step = Steps()
+        told = step(self.groups(docs, id_col, text_col).filter("doc_id is not null").select(F.col("doc_id").alias("id"), "kept"))
+        gone, stay = step(told.filter("not kept").select("id").distinct()), told.filter("kept").select("id")
+        doomed = belongs(gone, stay, id_col)
+        step.free(gone)
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        marked = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), doomed.alias("doomed"))
+        open_rows = marked.filter("doomed is null").join(gone, "id", "left_anti")
+        return marked.filter("not doomed").select("row.*").unionByName(open_rows.select("row.*"))
