@@ -13,16 +13,18 @@ result. A source without words has target 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import partial
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import settle
+from crawlspan.llm.common import Steps, kept, settle, small_table
+from crawlspan.llm.members import belongs
 
 #: Words of a text: runs of anything but the six ASCII spaces.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -97,79 +99,121 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
     return p
 
 
-def _fly(key: tuple, pdf: pd.DataFrame, *, seed: int, level: int) -> pd.DataFrame:
+def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table, seed: int, level: int) -> pa.Table:
     """The flight over one block, largest documents first, so that small ones are left to land: the same rows give the
     same draw."""
-    pdf = pdf.drop(columns="block").sort_values(["size", "at", "doc_id"], ascending=[False, True, True], kind="stable", na_position="last")
-    rng = np.random.default_rng([seed, level, int(key[0]) & 0xFFFFFFFF, int(key[1])])
-    pdf["p"] = flight(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), rng, land=bool(pdf["blocks"].iloc[0] == 1))
-    return pdf
+    kept("nothing", int)
+    rows = rows.drop_columns("block").combine_chunks()
+    size, ids = rows["size"].to_numpy(), rows["doc_id"]
+    order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), rows["at"].to_numpy(), -size))
+    rows, size = rows.take(order), size[order].astype(float)
+    rng = np.random.default_rng([seed, level, key[0].as_py() & 0xFFFFFFFF, key[1].as_py()])
+    p = flight(rows["p"].to_numpy(), size, rng, land=rows["blocks"][0].as_py() == 1)
+    return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p))
+
+
+def _flyer(seed: int, level: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    def fly(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        return _fly(key, rows, seed, level)
+
+    return fly
 
 
 _ROW = "doc_id long, src long, size long, at long, p double, blocks long"
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken for every row of ``docs``; ``copies`` is how often it is taken."""
+@dataclass(frozen=True)
+class Draw:
+    """What a mix takes. ``rows``: doc_id, src, size, source_size, target, sure of each row (lazy); ``extra``: doc_id, src,
+    size, extra, how many of the rows alike in these are taken once more than ``sure`` times; ``plan``: a row per source."""
+
+    rows: DataFrame
+    extra: DataFrame
+    plan: DataFrame
+
+
+def draw(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Draw:
+    """Balances the extra copies of ``docs`` by the cube method."""
     spark = docs.sparkSession
-    sized = settle(
-        docs.select(
-            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
-        )
-    )
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
+    sized = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("rows")).collect()  # a row per source
     goal = targets([(r["source"], r["source_size"]) for r in per_source], weights)
     order = sorted((r["source"] for r in per_source if r["source"] is not None)) + [None]
-    plan = spark.createDataFrame(
-        [(order.index(r["source"]), r["source"], r["source_size"], float(goal[r["source"]]), float(goal[r["source"]] / r["source_size"]) if r["source_size"] else 0.0, int(r["rows"])) for r in per_source],
+    times = lambda r: float(goal[r["source"]] / r["source_size"]) if r["source_size"] else 0.0
+    plan = small_table(
+        spark,
+        [(order.index(r["source"]), r["source"], r["source_size"], float(goal[r["source"]]), times(r), int(r["rows"])) for r in per_source],
         "src long, source string, source_size long, target double, times double, rows long",
-    )
+    ).withColumn("sure", F.floor(F.col("times") + 1e-12))
     rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", "src", "size", "source_size", "target", "rows",
-        F.floor(F.col("times") + 1e-12).alias("sure"),
+        "doc_id", "src", "size", "source_size", "target", "rows", "sure",
         F.xxhash64(F.lit(seed), "doc_id", "size").alias("at"),
-        F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("times") - F.floor(F.col("times") + 1e-12))).otherwise(0.0).alias("p"),
+        F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("times") - F.col("sure"))).otherwise(0.0).alias("p"),
     )
     # Level by level: blocks fly, the few that stay fractional in each block meet in fewer blocks.
     open_rows = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).filter("p > 0 and p < 1").select("doc_id", "src", "size", "at", "p", "blocks")
-    done, level = [], 0
+    step, done, level = Steps(), [], 0
     while True:
         dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("at", F.lit(level)), F.greatest("blocks", F.lit(1))))
-        flown = settle(dealt.groupBy("src", "block").applyInPandas(partial(_fly, seed=seed, level=level), _ROW))
-        done.append(flown.filter("p = 0 or p = 1"))
+        flown = step(dealt.groupBy("src", "block").applyInArrow(_flyer(seed, level), _ROW))
+        done.append(flown.filter("p = 1"))
         rest = flown.filter("p > 0 and p < 1")
         counts = rest.groupBy("src").count().collect()  # a row per source
         if not counts:
             break
-        fewer = spark.createDataFrame([(r["src"], -(-r["count"] // BLOCK)) for r in counts], "src long, blocks long")
+        fewer = small_table(spark, [(r["src"], -(-r["count"] // BLOCK)) for r in counts], "src long, blocks long")
         open_rows = rest.drop("blocks").join(fewer, "src").select("doc_id", "src", "size", "at", "p", "blocks")
         level += 1
-    drawn = done[0]
-    for x in done[1:]:
-        drawn = drawn.unionByName(x)
-    # Rows repeated in full are interchangeable, so the extra copies are counted per (id, source, size) and dealt in order.
-    extra = settle(drawn.groupBy("doc_id", "src", "size").agg(F.sum("p").cast("long").alias("extra")).filter("extra > 0"))
-    same = rows.groupBy("doc_id", "src", "size", "source_size", "target", "sure").agg(F.count(F.lit(1)).alias("times"))
+    # Rows repeated in full are interchangeable, so the extra copies are counted per (id, source, size).
+    extra = settle(reduce(DataFrame.unionByName, done).groupBy("doc_id", "src", "size").agg(F.count(F.lit(1)).alias("extra")))
+    step.free()
+    return Draw(rows.select("doc_id", "src", "size", "source_size", "target", "sure"), extra, plan)
+
+
+def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, src, size, ...) with ``extra``, null where none is drawn."""
     e = extra.select(F.col("doc_id").alias("d"), F.col("src").alias("s"), F.col("size").alias("z"), "extra")
-    same = same.join(e, same["doc_id"].eqNullSafe(e["d"]) & (same["src"] == e["s"]) & (same["size"] == e["z"]), "left")
-    each = same.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return rows.join(e, rows["doc_id"].eqNullSafe(e["d"]) & (rows["src"] == e["s"]) & (rows["size"] == e["z"]), "left").drop("d", "s", "z")
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, copies, src, taken for every row of ``docs``; ``copies`` is how often it is taken."""
+    drawn = draw(docs, weights, seed, id_col, text_col, source_col)
+    same = drawn.rows.groupBy("doc_id", "src", "size", "source_size", "target", "sure").agg(F.count(F.lit(1)).alias("times"))
+    each = _with_extra(same, drawn.extra).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     copies = F.col("sure") + F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)
     return each.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, copies).otherwise(0).cast("long").alias("copies"), "src").withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it, all columns kept."""
-    drawn = settle(mix(docs, weights, seed).filter("copies > 0").groupBy("doc_id", "size", "src").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows_taken")))
-    return take(docs, drawn)
-
+def apply_mix(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with each row as often as the mix takes it, all columns kept.
 
-def take(docs: DataFrame, drawn: DataFrame) -> DataFrame:
-    """Repeats rows of ``docs`` by ``drawn``; rows repeated in full share the copies of their (id, size)."""
-    names = docs.columns
-    size = F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("d"), size.alias("z"))
-    one = drawn.groupBy("doc_id", "size").agg(F.sum("copies").alias("copies"), F.sum("rows_taken").alias("rows_taken"))
-    one = settle(one)
-    out = rows.join(one, rows["d"].eqNullSafe(one["doc_id"]) & (rows["z"] == one["size"]))
-    each = F.ceil(F.col("copies") / F.col("rows_taken")).cast("int")
-    return out.select("row", F.explode(F.array_repeat(F.lit(0), each)).alias("nth")).select("row.*")
+    Filters of ids tell which rows are taken once more, so that texts stay where they are. Rows that the filters leave
+    open, and rows that share an id of which only some are taken once more, are numbered and matched exactly.
+    """
+    drawn, step = draw(docs, weights, seed, id_col, text_col, source_col), Steps()
+    some = drawn.rows.filter("size > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("times"))
+    more = drawn.extra.groupBy("doc_id").agg(F.sum("extra").alias("extra"))
+    told = step(some.join(more, "doc_id", "left").select(F.col("doc_id").alias("id"), F.coalesce("extra", F.lit(0)).alias("extra"), "times"))
+    once_more = belongs(told.filter("extra > 0").select("id"), told.filter("extra < times").select("id"), id_col)
+    step.free()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("from"), text.alias("of"), once_more.alias("once_more"))
+    plan = drawn.plan.select("src", F.col("source").alias("s"), "sure")
+    rows = rows.filter(F.col("of").rlike(WORDS))
+    rows = rows.join(F.broadcast(plan), rows["from"].eqNullSafe(plan["s"]))  # a row per source
+    repeat = lambda df, extra: df.select("row", F.explode(F.array_repeat(F.lit(0), (F.col("sure") + extra).cast("int"))).alias("nth")).select("row.*")
+    plain = repeat(rows.filter("once_more is not null"), F.col("once_more").cast("int"))
+    left = settle(rows.filter("once_more is null").select("row", "doc_id", "src", F.regexp_count("of", F.lit(WORDS)).cast("long").alias("size"), "sure", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    # Rows alike are numbered part by part, so that many of them don't meet in one task.
+    alike = ["doc_id", "src", "size"]
+    parts = left.groupBy(*alike, "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy(*alike).orderBy("part")) - F.col("n"))
+    parts = parts.select(*(F.col(c).alias(f"of_{c}") for c in (*alike, "part")), "before")
+    numbered = left.withColumn("nth", F.row_number().over(Window.partitionBy(*alike, "part").orderBy("at")))
+    numbered = numbered.join(parts, reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in (*alike, "part"))))
+    numbered = numbered.select("row", *alike, "sure", (F.col("before") + F.col("nth")).alias("nth"))
+    exact = _with_extra(numbered, drawn.extra)
+    return plain.unionByName(repeat(exact, F.when(F.col("nth") <= F.coalesce("extra", F.lit(0)), 1).otherwise(0)))
