@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import Settled, settle, small_batches
+from crawlspan.llm.common import Steps, kept, settle, small_batches
+from crawlspan.llm.members import belongs
 
 #: Bytes that do not count when texts are compared.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -35,13 +36,17 @@ def digest(text: str | None) -> bytes:
     return hashlib.sha256((text or "").encode("utf-8", "surrogatepass").translate(None, SPACES)).digest()
 
 
-def _slots(digests: list[bytes], slots: int) -> np.ndarray:
-    """(rows, HASHES) slots: three words of each digest."""
-    words = np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 4)[:, :HASHES]
+def _slots(digests: pa.Array, slots: int) -> np.ndarray:
+    """(rows, HASHES) slots: three words of each digest, read where they lie in the column."""
+    if not len(digests):
+        return np.empty((0, HASHES), np.int64)
+    places = np.frombuffer(digests.buffers()[1], np.int64 if pa.types.is_large_binary(digests.type) else np.int32)[digests.offset : digests.offset + len(digests) + 1]
+    words = np.frombuffer(digests.buffers()[2], np.uint8)[places[0] : places[-1]].view("<u8").reshape(-1, 4)[:, :HASHES]
     return (words % np.uint64(slots)).astype(np.int64)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept("nothing", int)
     for b in batches:
         texts = b.column(1).to_pylist()
         yield pa.RecordBatch.from_arrays(
@@ -56,7 +61,7 @@ def _seen(batches: Iterator[pa.RecordBatch], slots: int) -> Iterator[pa.RecordBa
     for b in batches:
         if not b.num_rows:
             continue
-        at = np.sort(_slots(b.column(0).to_pylist(), slots), axis=1)
+        at = np.sort(_slots(b.column(0), slots), axis=1)
         first = np.ones(at.shape, np.bool_)
         first[:, 1:] = at[:, 1:] != at[:, :-1]
         at, n = np.unique(at[first], return_counts=True)  # a row counts once in a slot
@@ -106,17 +111,38 @@ def repeat_filter(digests: DataFrame, rows: int) -> np.ndarray:
     return again
 
 
-def _maybe(batches: Iterator[pa.RecordBatch], again) -> Iterator[pa.RecordBatch]:
-    """Adds ``maybe``: whether all slots of the digest were seen again."""
-    bits = again.value
-    slots = len(bits) * 8
-    for b in batches:
-        if b.num_rows:
-            at = _slots(b.column(b.schema.names.index("sha")).to_pylist(), slots)
-            hit = ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
-        else:
-            hit = np.zeros(0, np.bool_)
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], names=[*b.schema.names, "maybe"])
+def seen_again(again, many: bool = False):
+    """A function of a digest column: whether all its slots were seen again. With ``many``, of a column of digest arrays."""
+
+    def hit(digests: pa.Array) -> pa.Array:
+        bits = again.value
+        at = _slots(digests, len(bits) * 8)
+        return pa.array(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1), pa.bool_())
+
+    def one(digests: pa.Array) -> pa.Array:
+        return hit(digests)
+
+    def each(lists: pa.Array) -> pa.Array:
+        ends = lists.offsets.to_numpy()
+        return pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype(np.int32)), hit(lists.flatten())) if len(lists) else pa.array([], pa.list_(pa.bool_()))
+
+    return F.arrow_udf(each, "array<boolean>") if many else F.arrow_udf(one, "boolean")
+
+
+def _tested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n_chars, sha of each row, and whether its digest may repeat."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    digests = settle(rows.mapInArrow(_digests, "doc_id long, n_chars long, sha binary"))
+    again = spark.sparkContext.broadcast(repeat_filter(digests, digests.count()))
+    return digests.withColumn("maybe", seen_again(again)(F.col("sha")))
+
+
+def _groups(some: DataFrame) -> DataFrame:
+    """sha, keep_id, group_size, most of each digest; copies shuffle once to be counted, a row of each task at most."""
+    order = F.struct("n_chars", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))))
+    return some.groupBy("sha").agg(F.max_by("doc_id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("n_chars").alias("most"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,20 +150,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Of equal texts the one with the most code points stays, then the smallest id; of rows repeated in full, one stays.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    digests = Settled(rows.mapInArrow(_digests, "doc_id long, n_chars long, sha binary")).df
-    again = spark.sparkContext.broadcast(repeat_filter(digests, digests.count()))
-    tested = Settled(digests.mapInArrow(partial(_maybe, again=again), "doc_id long, n_chars long, sha binary, maybe boolean")).df
+    tested = settle(_tested(docs, id_col, text_col))
     alone = tested.filter(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
-    some = tested.filter("maybe").drop("maybe")
-    order = F.struct("n_chars", F.coalesce(-F.col("doc_id"), F.lit(-(2**63))))
-    # Copies shuffle once to be counted, each group as one row for a task at most.
-    groups = settle(some.groupBy("sha").agg(F.max_by("doc_id", order).alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.max("n_chars").alias("most")))
+    some = tested.filter("maybe")
+    groups = settle(_groups(some))
     # Rows repeated in full under one id tie: the first of them stays, so they are counted as one row with a multiplicity.
-    same = some.groupBy("sha", "doc_id", "n_chars").agg(F.count(F.lit(1)).alias("times"))
-    same = settle(same)
+    same = settle(some.groupBy("sha", "doc_id", "n_chars").agg(F.count(F.lit(1)).alias("times")))
     joined = same.join(groups, "sha").withColumn("wins", F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most")))
     out = joined.select("doc_id", "keep_id", "group_size", "wins", F.lower(F.hex("sha")).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
     out = out.select("doc_id", "keep_id", "group_size", (F.col("wins") & (F.col("nth") == 1)).alias("kept"), "text_sha256")
@@ -145,33 +163,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns. Texts that can have no copy never shuffle."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    sha = F.pandas_udf(_sha_series, "binary")
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("i"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"), sha(F.col(text_col)).alias("sha"))
-    digests = Settled(marked.select("sha")).df
-    again = spark.sparkContext.broadcast(repeat_filter(digests, digests.count()))
-    test = F.pandas_udf(partial_series(again), "boolean")
-    marked = marked.withColumn("maybe", test("sha"))
-    order = F.struct("n", F.coalesce(-F.col("i"), F.lit(-(2**63))))
-    alone = marked.filter(~F.col("maybe")).select("row.*")
-    kept = marked.filter("maybe").groupBy("sha").agg(F.max_by("row", order).alias("row")).select("row.*")
-    return alone.unionByName(kept)
+    """The rows of ``docs`` that stay, with all their columns.
 
-
-def _sha_series(texts):
-    return texts.map(digest, na_action=None) if len(texts) else texts
-
-
-def partial_series(again):
-    def maybe(shas):
-        import pandas as pd
-
-        bits = again.value
-        if not len(shas):
-            return pd.Series([], dtype=bool)
-        at = _slots([bytes(x) for x in shas], len(bits) * 8)
-        return pd.Series(((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1))
-
-    return maybe
+    Texts are hashed once; only digests that may repeat shuffle. Filters of ids then tell which rows go, so that texts stay
+    where they are but for rows that the filters leave open, or that share an id with a row that goes.
+    """
+    step = Steps()
+    tested = step(_tested(docs, id_col, text_col))
+    some = tested.filter("maybe")
+    groups = step(_groups(some))
+    judged = step(some.join(groups, "sha").groupBy("doc_id", "n_chars", "keep_id", "most").agg(F.count(F.lit(1)).alias("times")))
+    wins = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == F.col("most"))
+    inside = step(judged.filter(~wins | (F.col("times") > 1)).select(F.col("doc_id").alias("id")).dropna())
+    outside = tested.filter("not maybe").select("doc_id").unionByName(judged.filter(wins).select("doc_id")).select(F.col("doc_id").alias("id")).dropna()
+    doomed = belongs(inside, outside, id_col)
+    step.free(groups)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    text = F.col(f"`{text_col}`").cast("string")
+    marked = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").cast("long").alias("i"), text.alias("text"), doomed.alias("doomed"))
+    left = settle(marked.filter("doomed is null").select("row", "i", "text"))
+
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array(map(digest, texts.to_pylist()), pa.binary())
+
+    digest_of = F.arrow_udf(digests, "binary")
+    left = left.select("row", "i", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), digest_of("text").alias("sha")).join(groups, "sha", "left")
+    alone = left.filter("most is null")
+    one = left.filter(F.col("i").eqNullSafe(F.col("keep_id")) & (F.col("n") == F.col("most"))).groupBy("sha").agg(F.first("row").alias("row"))
+    return marked.filter("not doomed").select("row.*").unionByName(alone.select("row.*")).unionByName(one.select("row.*"))
