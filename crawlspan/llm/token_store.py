@@ -4,9 +4,13 @@ Each document's ids are cut into chunks where a rolling hash of the last ids say
 ``chunks/`` holds each distinct chunk once under its SHA-256, ``recipes/`` the documents in ascending id order as lists of
 chunk keys with a Merkle root each, ``manifest/`` one row per recipe range with the Merkle root over its documents.
 
-Chunks that the two-pass Bloom filter proves unique are written where they are made; only those that may repeat shuffle.
-Reading back hashes every stored chunk, checks it against its key and the keys against the roots, and combines chunk
-checksums by recipe, so that no payload has to move to its document. :func:`read_documents` rebuilds the ids themselves.
+``root/`` holds the Merkle root over the ranges. Each document is encoded and cut once. Chunks that the two-pass Bloom filter
+proves unique are written where they are made; only those that may repeat shuffle.
+
+Reading back verifies the store from the top down: ranges against the root, documents against their range, chunk keys
+against their document, and the content of every stored chunk against its key. Whatever is damaged, missing or added raises
+ValueError (in a task or on the driver). Checksums of chunks are combined by recipe, so that no payload has to move to its
+document; :func:`read_documents` rebuilds the ids themselves.
 
 Defined cases: a null text is empty and has the end id only; null ids sort first; rows under one id are stored as rows of
 their own, ordered by content; an empty table makes an empty store.
@@ -25,11 +29,12 @@ from functools import lru_cache, partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import Settled, shared_dir, small_batches
-from crawlspan.llm.exact_dedup import _maybe, repeat_filter
+from crawlspan.llm.common import Settled, kept, shared_dir, small_batches
+from crawlspan.llm.exact_dedup import repeat_filter, seen_again
 
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash sees.
 SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
@@ -37,18 +42,20 @@ SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
 WORDS, LONG_WORD = 250_000, 48
 #: Words of Latin-1 letters alone.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
-#: What parts from marks after it; other letters may end in a combining mark once they are lower-cased or composed.
-PLAIN_END = re.compile("[0-9A-Za-zÀ-ÖØ-öø-ÿ]").match
-#: Marks that are a token run of their own after a letter or digit.
-MARKS = ".,!?;:%$#&*"
+#: Marks at the end of a word that are a token run of their own; other letters than these before them may end in a
+#: combining mark once they are lower-cased or composed.
+MARKS = "([0-9A-Za-zÀ-ÖØ-öø-ÿ])([.,!?;:%$#&*]+)( |$)"
+#: Documents of a recipe range, about.
+RANGE = 50_000
 
 
 class WordEncoder:
     """Encodes by the tokenizers library, white-space separated word by word, and keeps the ids of words seen lately.
 
     The tokenizer must drop white space and never look across it, make a digit a token of its own, part letters from
-    marks, and lower-case; the caller chooses it so. New words go to it together, parted by the digit 0, and marks at the
-    end of a word go apart from it. If the file says that it lower-cases and writes bytes as characters, words of Latin-1
+    marks, and lower-case; the caller chooses it so. Marks at the end of a word are parted from it; a batch is split, its
+    words numbered and its ids put together by Arrow, so that Python sees each different word of a batch once. New words go
+    to the tokenizer together, parted by the digit 0. If the file says that it lower-cases and writes bytes as characters, words of Latin-1
     letters alone go to its merges with both done to all of them at once; composing leaves such words as they are.
     """
 
@@ -86,36 +93,36 @@ class WordEncoder:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, new: set[str]) -> None:
-        """Adds the words ``new``; what they end in and what stands before it are words too."""
-        parts = {w: (stem, w[len(stem) :]) for w in new if (stem := w.rstrip(MARKS)) and len(stem) < len(w) and PLAIN_END(stem[-1])}
-        alone = {x for pair in parts.values() for x in pair if x not in self.words} | new.difference(parts)
-        alone.discard("")
-        letters = [w for w in alone if LETTERS(w)] if self.merges else []
-        others = alone.difference(letters)
+        letters = [w for w in new if LETTERS(w)] if self.merges else []
+        others = new.difference(letters)
         zeros = [w for w in others if "0" in w]
         others = list(others.difference(zeros))
         for some, ids in ((letters, self._ids(letters, self.merges)), (others, self._ids(others, self.tokenizer)), (zeros, self._plain(zeros))):
             self.words.update(zip(some, ids, strict=True))
-        get = self.words.__getitem__
-        self.words.update({w: get(a) + get(b) for w, (a, b) in parts.items()})
 
-    def encode(self, texts: list[str | None], end: int) -> list[bytes]:
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    def encode(self, texts: list[str | None] | pa.Array, end: int) -> list[bytes]:
+        """The ids of each text with the end id, as integers of ``type``."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = pc.replace_substring(pc.fill_null(column, ""), "\n", " ")
+        split = pc.split_pattern(pc.replace_substring_regex(column, MARKS, r"\1 \2\3"), " ")
+        coded = split.flatten().dictionary_encode()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.words) > WORDS:
             self.words, self.older = {}, self.words
         self.words[""] = b""
-        new = set().union(*split).difference(self.words)
+        new = set(different).difference(self.words)
         again = {w: self.older[w] for w in new if w in self.older}
         self.words.update(again)
         self._learn(new.difference(again))
-        get, last = self.words.__getitem__, np.array([end], self.type).tobytes()
-        out = [b"".join(map(get, s)) + last for s in split]
+        found = list(map(self.words.__getitem__, different))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ids = pa.Array.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(np.r_[0, np.cumsum(sizes)]), pa.py_buffer(b"".join(found))]).take(coded.indices)
         for w in [x for x in new if len(x) > LONG_WORD]:
-            stem = w.rstrip(MARKS)
-            for x in (w, stem, w[len(stem) :]):
-                if len(x) > LONG_WORD:
-                    self.words.pop(x, None)
-        return out
+            self.words.pop(w, None)
+        places = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        ends = places[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist() if len(split) else [0]
+        raw, last = memoryview(ids.buffers()[2] or b""), np.array([end], self.type).tobytes()
+        return [bytes(raw[i:j]) + last for i, j in zip(ends, ends[1:], strict=False)]
 
 
 def _merges_alone(path: str):
@@ -144,48 +151,42 @@ def _byte_chars() -> str:
 _BYTE_CHARS = _byte_chars()
 
 
-@lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return kept(("words", path), lambda: WordEncoder(path))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
-    e = word_encoder(path)
-    for b in batches:
-        ids = e.encode(b.column(1).to_pylist(), end)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([int(e.type[-1])] * len(ids), pa.int32())], names=["doc_id", "ids", "width"])
-
+def cuts(ids: np.ndarray, starts: list[int]) -> list[list[int]]:
+    """Ends of the chunks of each of several id streams that stand one after the other, by content.
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream, by content."""
-    n = len(ids)
-    h = np.zeros(n, np.uint32)
+    The rolling hash runs on from one stream to the next, where no chunk can end yet: SHORTEST is more than ROLLING.
+    """
+    h = np.zeros(len(ids), np.uint32)
     x = (ids.astype(np.uint32) + np.uint32(1)) * np.uint32(2654435761)
     x ^= x >> np.uint32(15)
-    for i in range(min(ROLLING, n)):
-        h[i:] = h[i:] + x[: n - i] * np.uint32((0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF)
-    out, at = [], 0
-    for c in (np.flatnonzero((h >> np.uint32(11)) % np.uint32(USUAL) == 0) + 1).tolist():
-        while c - at > LONGEST:
+    for i in range(min(ROLLING, len(ids))):
+        h[i:] += x[: len(ids) - i] * np.uint32((0x9E3779B1 * (2 * i + 1)) & 0xFFFFFFFF)
+    marks = np.flatnonzero((h >> np.uint32(11)) % np.uint32(USUAL) == 0) + 1
+    of = np.searchsorted(marks, starts).tolist()
+    marks = marks.tolist()
+    out = []
+    for start, end, i, j in zip(starts, [*starts[1:], len(ids)], of, [*of[1:], len(marks)], strict=True):
+        ends, at = [], start
+        for c in marks[i:j]:
+            while c - at > LONGEST:
+                at += LONGEST
+                ends.append(at)
+            if c - at >= SHORTEST and c <= end:
+                ends.append(c)
+                at = c
+        while end - at > LONGEST:
             at += LONGEST
-            out.append(at)
-        if c - at >= SHORTEST:
-            out.append(c)
-            at = c
-    while n - at > LONGEST:
-        at += LONGEST
-        out.append(at)
-    if at < n:
-        out.append(n)
+            ends.append(at)
+        if at < end:
+            ends.append(end)
+        out.append([e - start for e in ends])
     return out
 
 
-def chunks_of(ids: bytes, width: int) -> list[bytes]:
-    """The chunks, each led by its width so that equal bytes of different widths differ."""
-    ends = cuts(np.frombuffer(ids, f"<u{width}"))
-    return [bytes([width]) + ids[a * width : b * width] for a, b in zip([0, *ends], ends, strict=False)]
-
-
 def merkle(leaves: list[bytes]) -> bytes:
     """Root over digests; an odd one out moves up as it is."""
     level = [hashlib.sha256(b"\0" + x).digest() for x in leaves] or [hashlib.sha256(b"").digest()]
@@ -194,26 +195,58 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to ``rows`` and ``size`` bytes: fewer of their words are different."""
+    some: list[pa.RecordBatch] = []
     for b in batches:
-        n, keys, roots = [], [], []
-        for ids, width in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            k = [hashlib.sha256(c).digest() for c in chunks_of(ids, width)]
-            n.append(len(ids) // width)
-            keys.append(k)
-            roots.append(merkle(k))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(roots, pa.binary())], names=["doc_id", "n_tokens", "chunk_keys", "root"])
+        if some and (sum(x.num_rows for x in some) + b.num_rows > rows or sum(x.nbytes for x in some) + b.nbytes > size):
+            yield pa.concat_batches(some)
+            some = []
+        some.append(b)
+    if some:
+        yield pa.concat_batches(some)
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        data = [c for ids, width in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True) for c in chunks_of(ids, width)]
-        yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(c).digest() for c in data], pa.binary()), pa.array(data, pa.binary())], names=["sha", "data"])
+_STAGED = "doc_id long, n_tokens long, root binary, chunk_keys array<binary>, chunks array<binary>"
+
+
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
+    """Recipes, and the chunks themselves: each led by its width, so that equal bytes of different widths differ."""
+    e = word_encoder(path)
+    width = int(e.type[-1])
+    lead = bytes([width])
+    for b in joined(batches):
+        docs = e.encode(b.column(1), end)
+        n = [len(d) // width for d in docs]
+        starts = np.cumsum([0, *n[:-1]]).tolist() if n else []
+        chunks = [[lead + d[i * width : j * width] for i, j in zip([0, *ends], ends, strict=False)] for d, ends in zip(docs, cuts(np.frombuffer(b"".join(docs), e.type), starts), strict=True)]
+        keys = [[hashlib.sha256(c).digest() for c in some] for some in chunks]
+        yield pa.RecordBatch.from_arrays(
+            [b.column(0), pa.array(n, pa.int64()), pa.array(map(merkle, keys), pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(chunks, pa.list_(pa.binary()))],
+            names=["doc_id", "n_tokens", "root", "chunk_keys", "chunks"],
+        )
+
+
+_PART = "part int, documents long, n_tokens long, root binary"
 
 
 def _part_root(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The manifest row of a range (about RANGE documents), after checking each document's root."""
     pdf = pdf.sort_values(["doc_id", "root"], na_position="first", kind="stable")
-    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "documents": [len(pdf)], "n_tokens": [int(pdf["n_tokens"].sum())], "root": [merkle([bytes(x) for x in pdf["root"]])]})
+    roots = [bytes(x) for x in pdf["root"]]
+    for root, keys in zip(roots, pdf["chunk_keys"], strict=True):
+        if merkle([bytes(k) for k in keys]) != root:
+            raise ValueError("chunk keys don't make their document's root")
+    return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "documents": [len(pdf)], "n_tokens": [int(pdf["n_tokens"].sum())], "root": [merkle(roots)]})
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    return recipes.select("part", "doc_id", "n_tokens", "root", "chunk_keys").groupBy("part").applyInPandas(_part_root, _PART)
+
+
+def _top(parts: list) -> bytes:
+    """The root over the manifest rows: one row a range."""
+    return merkle([hashlib.sha256(f"{r['part']} {r['documents']} {r['n_tokens']} ".encode() + bytes(r["root"])).digest() for r in sorted(parts, key=lambda r: r["part"])])
 
 
 def write_store(docs: DataFrame, path: str, end_id: int, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -222,14 +255,18 @@ def write_store(docs: DataFrame, path: str, end_id: int, out: str | None = None,
     small_batches(spark)
     out = out or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    staged = Settled(rows.mapInArrow(partial(_encode, path=path, end=end_id), "doc_id long, ids binary, width int"), codec="zstd")
-    recipes = staged.df.mapInArrow(_recipes, "doc_id long, n_tokens long, chunk_keys array<binary>, root binary")
-    recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{out}/recipes")
-    kept = _recipe_table(spark, out)
-    kept.select("part", "doc_id", "n_tokens", "root").groupBy("part").applyInPandas(_part_root, "part int, documents long, n_tokens long, root binary").write.parquet(f"{out}/manifest")
-    keys = kept.select(F.explode("chunk_keys").alias("sha"))
+    staged = Settled(rows.mapInArrow(partial(_encode, path=path, end=end_id), _STAGED), codec="zstd")
+    n = staged.df.count()
+    ranges = max(1, min(n // 2000, 2 * spark.sparkContext.defaultParallelism), n // RANGE)
+    recipes = staged.df.select("doc_id", "n_tokens", "chunk_keys", "root").repartitionByRange(ranges, "doc_id", "root").sortWithinPartitions("doc_id", "root")
+    recipes.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{out}/recipes")
+    _part_roots(_recipe_table(spark, out)).write.parquet(f"{out}/manifest")
+    parts = spark.read.schema(_PART).parquet(f"{out}/manifest").collect()
+    spark.createDataFrame([(bytearray(_top(parts)),)], "root binary").coalesce(1).write.parquet(f"{out}/root")
+    keys = staged.df.select(F.explode("chunk_keys").alias("sha"))
     again = spark.sparkContext.broadcast(repeat_filter(keys, keys.count()))
-    made = staged.df.mapInArrow(_chunks, "sha binary, data binary").mapInArrow(partial(_maybe, again=again), "sha binary, data binary, maybe boolean")
+    made = staged.df.select(F.arrays_zip("chunk_keys", "chunks", seen_again(again, many=True)(F.col("chunk_keys")).alias("maybe")).alias("chunks"))
+    made = made.select(F.inline("chunks")).toDF("sha", "data", "maybe")
     once = made.filter("not maybe").select("sha", "data")
     # Of chunks under one key any copy will do: they are equal.
     once.unionByName(made.filter("maybe").groupBy("sha").agg(F.first("data").alias("data"))).write.option("compression", "zstd").parquet(f"{out}/chunks")
@@ -288,43 +325,65 @@ def joined_crc(parts: list[tuple[int, int]]) -> int:
     return total
 
 
-def _combine(parts: pd.Series, roots: pd.Series) -> pd.Series:
-    out = []
-    for p, root in zip(parts, roots, strict=True):
-        if any(x["crc"] is None for x in p):
-            raise ValueError("a chunk is missing")
-        if merkle([bytes(x["key"]) for x in p]) != bytes(root):
-            raise ValueError("chunks don't make the document's root")
-        out.append(joined_crc([(x["crc"], 4 * x["n"]) for x in p]))
-    return pd.Series(out, dtype="int64")
+def check_recipes(spark: SparkSession, store: str) -> DataFrame:
+    """The recipes of a store, after holding them against its manifest and the manifest against the root."""
+    recipes = _recipe_table(spark, store)
+    manifest = spark.read.schema(_PART).parquet(f"{store}/manifest").collect()  # a row per range
+    top = spark.read.schema("root binary").parquet(f"{store}/root").collect()
+    if [bytes(r["root"]) for r in top] != [_top(manifest)]:
+        raise ValueError("the manifest doesn't make the store's root")
+    row = lambda r: (r["part"], r["documents"], r["n_tokens"], bytes(r["root"]))
+    if sorted(map(row, manifest)) != sorted(map(row, _part_roots(recipes).collect())):
+        raise ValueError("recipes don't make their manifest")
+    return recipes
 
 
 def read_digests(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store alone."""
-    recipes = _recipe_table(spark, store)
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files of a store alone, verified."""
+    recipes = check_recipes(spark, store)
     # The place of a range is the sum of those before it: one row for each range. Inside a range ids run on.
-    manifest = spark.read.schema("part int, documents long, n_tokens long, root binary").parquet(f"{store}/manifest")
+    manifest = spark.read.schema(_PART).parquet(f"{store}/manifest")
     before = manifest.select("part", (F.sum("n_tokens").over(Window.orderBy("part")) - F.col("n_tokens")).alias("before"))
     row = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root", "nth")
     each = recipes.withColumn("nth", F.monotonically_increasing_id())
-    placed = each.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")).withColumn("row", F.row_number().over(row))
-    placed = Settled(placed.select("part", "row", "doc_id", "start", "n_tokens", "chunk_keys", "root")).df
+    placed = each.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens"))
+    placed = placed.withColumn("row", F.row_number().over(row)).select("part", "row", "doc_id", "start", "n_tokens", F.posexplode("chunk_keys").alias("seq", "key"))
     sums = Settled(spark.read.schema("sha binary, data binary").parquet(f"{store}/chunks").mapInArrow(_read, "key binary, n int, crc long")).df
-    parts = placed.select("part", "row", F.posexplode("chunk_keys").alias("seq", "key")).join(sums, "key", "left")
-    parts = parts.groupBy("part", "row").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "n", "crc"))).alias("parts"))
-    joined = placed.select("part", "row", "doc_id", "start", "n_tokens", "root").join(parts, ["part", "row"])
-    combine = F.pandas_udf(_combine_series, "long")
-    return joined.select("doc_id", "start", "n_tokens", combine(F.col("parts"), F.col("root")).alias("ids_crc32"))
+    # A chunk that many documents have is a skewed key of the left side, which adaptive execution splits.
+    parts = placed.join(sums, "key", "left").groupBy("part", "row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("start").alias("start"), F.first("n_tokens").alias("n_tokens"),
+        F.sort_array(F.collect_list(F.struct("seq", F.coalesce("n", F.raise_error(F.lit("a chunk is missing")).cast("int")).alias("n"), "crc"))).alias("parts"),
+    )
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda total, x: total + x["n"]) == F.col("n_tokens")
+    parts = parts.withColumn("parts", F.when(whole, F.col("parts")).otherwise(F.raise_error(F.lit("chunks and tokens differ in number"))))
+    combine = F.pandas_udf(_combine, "long")
+    return parts.select("doc_id", "start", "n_tokens", combine(F.col("parts")).alias("ids_crc32"))
 
 
-def _combine_series(parts, roots):
-    return _combine(parts, roots)
+def _combine(parts: pd.Series) -> pd.Series:
+    return pd.Series([joined_crc([(x["crc"], 4 * x["n"]) for x in p]) for p in parts], dtype="int64")
+
+
+def _rebuild(parts: pd.Series, n: pd.Series) -> pd.Series:
+    out = []
+    for p, tokens in zip(parts, n, strict=True):
+        if any(x["data"] is None for x in p):
+            raise ValueError("a chunk is missing")
+        if any(hashlib.sha256(x["data"]).digest() != bytes(x["key"]) for x in p):
+            raise ValueError("a chunk is damaged")
+        ids = np.concatenate([np.frombuffer(x["data"], f"<u{x['data'][0]}", offset=1) for x in p]).astype(np.int32)
+        if len(ids) != tokens:
+            raise ValueError("chunks and tokens differ in number")
+        out.append(ids)
+    return pd.Series(out, dtype="object")
 
 
 def read_documents(spark: SparkSession, store: str) -> DataFrame:
-    """doc_id and ids (``array<int>``) of each document, rebuilt from its chunks."""
+    """doc_id and ids (``array<int>``) of each document, rebuilt from its chunks and verified."""
+    small_batches(spark)
     data = spark.read.schema("sha binary, data binary").parquet(f"{store}/chunks").withColumnRenamed("sha", "key")
-    rows = _recipe_table(spark, store).withColumn("row", F.monotonically_increasing_id())
-    parts = rows.select("row", "doc_id", F.posexplode("chunk_keys").alias("seq", "key")).join(data, "key")
-    join = F.pandas_udf(lambda p: p.map(lambda xs: np.concatenate([np.frombuffer(x["data"], f"<u{x['data'][0]}", offset=1) for x in xs]).astype(np.int32)), "array<int>")
-    return parts.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "data"))).alias("parts")).select("doc_id", join("parts").alias("ids"))
+    rows = check_recipes(spark, store).withColumn("row", F.monotonically_increasing_id())
+    parts = rows.select("row", "doc_id", "n_tokens", F.posexplode("chunk_keys").alias("seq", "key")).join(data, "key", "left")
+    parts = parts.groupBy("row", "doc_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("seq", "key", "data"))).alias("parts"))
+    rebuild = F.pandas_udf(_rebuild, "array<int>")
+    return parts.select("doc_id", rebuild(F.col("parts"), F.col("n_tokens")).alias("ids"))
