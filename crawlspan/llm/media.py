@@ -7,6 +7,7 @@ places from pixel to pixel is walked.
 
 The encoder writes RGB samples under a fixed prefix code made for text bytes, with runs of one pixel as back-references.
 A payload is stored as rows of 192 pixels; a payload too tall for one image gets wider rows, its length stands in the file.
+:func:`decode` gives the pixel arrays of any lossless files; features and digests are computed from these arrays.
 
 Defined cases: a null text counts as empty (one block of padding); equal texts give equal files; a damaged file raises.
 """
@@ -303,7 +304,7 @@ def _undo_predictor(x: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
     height, width = x.shape
     modes = (modes >> np.uint32(8)) & np.uint32(15)
     ch = _channels(x).copy()
-    ch[0, 0, 3] += np.uint8(255)
+    ch[0, 0, 3] = (int(ch[0, 0, 3]) + 255) & 255
     ch[0] = np.add.accumulate(ch[0], axis=0, dtype=np.uint8)  # the first row goes by the left neighbour
     for y in range(1, height):
         row_modes = modes[y >> block]
@@ -358,6 +359,11 @@ def read_webp(data: bytes) -> tuple[np.ndarray, dict[bytes, bytes]]:
     width, height, _, version = bits.read(14) + 1, bits.read(14) + 1, bits.read(1), bits.read(3)
     if version:
         raise ValueError("unknown version")
+    return _channels(read_stream(bits, width, height))[..., [2, 1, 0, 3]], parts
+
+
+def read_stream(bits: Bits, width: int, height: int) -> np.ndarray:
+    """(height, width) 32-bit pixels of a lossless stream after its header: transforms, then the coded image."""
     undo, coded = [], width
     while bits.read(1):
         kind = bits.read(2)
@@ -383,7 +389,7 @@ def read_webp(data: bytes) -> tuple[np.ndarray, dict[bytes, bytes]]:
             x = (x & np.uint32(0xFF00FF00)) | (((x & np.uint32(0x00FF00FF)) + (green << np.uint32(16)) + green) & np.uint32(0x00FF00FF))
         else:
             x = _undo_palette(x, table, arg)
-    return _channels(x)[..., [2, 1, 0, 3]], parts
+    return x
 
 
 def huffman_lengths(weights: list[float], most: int = MOST_BITS) -> np.ndarray:
@@ -568,28 +574,59 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
+_DECODED = "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, width int, height int, pixels array<int>"
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        files = b.column(2).to_pylist()
+        rows, images = [], []
+        for data in files:
+            x, more = read_webp(data)
+            height, width = x.shape[:2]
+            size = struct.unpack("<Q", more[b"SIZE"])[0] if b"SIZE" in more else 3 * width * height
+            rows.append((len(data), hashlib.sha256(data).hexdigest(), size, width, height))
+            images.append(np.ascontiguousarray(x[..., [2, 1, 0, 3]]).view("<i4").ravel())
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
+        ends = np.cumsum([0, *map(len, images)]).astype(np.int32)
+        pixels = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(images) if images else np.empty(0, np.int32), pa.int32()))
+        names = [x.split()[0] for x in _DECODED.split(", ")]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pixels], names=names)
+
+
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
-        for media in b.column(2).to_pylist():
-            rgb, payload = from_image(media)
-            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), features(rgb)))
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        values, ends = b.column(7).values.to_numpy(), b.column(7).offsets.to_numpy()
+        for size, i, j in zip(b.column(4).to_pylist(), ends, ends[1:], strict=False):
+            rgb = np.ascontiguousarray(values[i:j].view(np.uint8).reshape(-1, 4)[:, 2::-1])
+            payload = rgb.tobytes()[:size]
+            rows.append((hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), rgb))
+        shapes = zip(b.column(6).to_pylist(), b.column(5).to_pylist(), strict=True)
+        shas, sums, texts = [r[0] for r in rows], [r[1] for r in rows], [features(r[2].reshape(h, w, 3)) for r, (h, w) in zip(rows, shapes, strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+            [b.column(0), b.column(1), b.column(4), pa.array(shas, pa.string()), pa.array(sums, pa.int64()), b.column(2), b.column(3), pa.array(texts, pa.string())],
+            names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
         )
 
 
 def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes and ``media``: each text's bytes as a lossless WebP file."""
-    small_batches(docs.sparkSession, 64)
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
+def decode(media: DataFrame) -> DataFrame:
+    """``media`` (doc_id, n_bytes, media) with its pixels in place of the file: width, height and ``pixels``, one integer of
+    alpha, red, green, blue for each pixel, row by row; ``payload_bytes`` is the length of what the file stores."""
+    small_batches(media.sparkSession)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(_decode, _DECODED)
+
+
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of stored media, from their decoded pixels."""
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Digests and features of stored media, from their decoded pixel arrays."""
+    return decode(media).mapInArrow(_look, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
