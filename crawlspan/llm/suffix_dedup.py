@@ -2,13 +2,12 @@
 
 Only suffixes at minimisers are kept: the K-word runs with the smallest hash among SPAN neighbouring ones. K + SPAN - 1
 equals the shortest passage, so each copy of a passage keeps the same suffix at least once. Suffixes whose first K words
-occur in one document only drop out by counting; the others get the words around them and are sorted as one table, range
-by range. Neighbours in that order share the longest beginnings; each pair is extended to the right and to the left, and
-counts if it comes to LEAST words. That is all for a suffix that occurs twice. Where more rows share one, two that match
-need not be neighbours in any order: for these each run of LEAST words whose minimiser the suffix is gets a hash, and the
-hashes of two documents or more are found by counting. A match of LEAST words has one minimiser, so none is missed. Rows of
-one hot passage sort by their surroundings and ids over many tasks, and its hashes are joined where the rows lie; nothing
-is gathered for a group.
+occur in one document only drop out by counting. Those that occur twice get the words around them and are sorted as one table,
+range by range; neighbours with the same beginning are extended to the right and to the left, word by word, and count if
+they come to LEAST words. Where more rows share a suffix, two that match need not be neighbours in any order: for these
+each run of LEAST words whose minimiser the suffix is gets a hash, and the hashes of two documents or more are found by
+counting. A match of LEAST words has one minimiser, so none is missed. Hashes of a hot passage are joined where its rows
+lie; nothing is gathered for a group. Words and runs are compared by hashes of 64 bits throughout.
 
 Words are runs between the six ASCII spaces, A-Z as a-z. Defined cases: null texts and texts of fewer than LEAST words have
 no passage; rows without id are left out; rows under one id are one document, and repeats inside a document alone do not count.
@@ -24,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import settle, small_batches
-from crawlspan.llm.near_dedup import mixed, window_hashes, word_hashes
+from crawlspan.llm.common import Steps, settle, small_batches
+from crawlspan.llm.near_dedup import window_hashes, word_hashes
 
 #: Words of the shortest passage, of a suffix's first part, and neighbouring suffixes of which one is kept.
 LEAST, K = 50, 25
 SPAN = LEAST - K + 1
-#: Words carried on each side of a suffix, two bytes each; a passage's first and last minimiser are nearer to its ends.
-AROUND = SPAN - 1
+#: Words carried on each side of a suffix, as hashes of WIDE bytes; a passage's first and last minimiser are nearer to its ends.
+AROUND, WIDE = SPAN - 1, 8
 #: Rows from which on a window's hash is sent to all tasks rather than its rows to one; there are rows / HOT such hashes at most.
 HOT = 4096
 
@@ -54,14 +53,14 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The suffixes of a document whose hashes are in ``keys``, with the words after, and those before, nearest first.
 
-    Those in ``many`` also get their windows: the start of the first, and the hashes.
+    Those in ``many`` get their windows instead: the start of the first, and the hashes.
     """
     for b in batches:
         docs, keys, places, after, before, starts, windows = [], [], [], [], [], [], []
         for doc, text, wanted, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
             words = word_hashes(text)
             at, h, first = minimisers(words)
-            short = (mixed(words) >> np.uint64(48)).astype(">u2")
+            wide = words.astype(">u8")
             hit = np.isin(h, np.array(wanted, np.int64))
             dense = np.isin(h, np.array(many, np.int64))[hit]
             whole = window_hashes(words, LEAST).view(np.int64) if dense.any() else None
@@ -70,20 +69,20 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 docs.append(doc)
                 keys.append(k)
                 places.append(p)
-                after.append(short[p + K : p + K + AROUND].tobytes())
-                before.append(short[max(0, p - AROUND) : p][::-1].tobytes())
+                after.append(b"" if m else wide[p + K : p + K + AROUND].tobytes())
+                before.append(b"" if m else wide[max(0, p - AROUND) : p][::-1].tobytes())
                 starts.append(i)
                 windows.append(whole[i:j] if m else None)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(keys, pa.int64()), pa.array(places, pa.int32()), pa.array(after, pa.binary()), pa.array(before, pa.binary()), pa.array(starts, pa.int32()), pa.array(windows, pa.list_(pa.int64()))], names=["doc", "key", "at", "after", "before", "first", "windows"])
 
 
 def shared(x: bytes, y: bytes) -> int:
-    """Words that two runs of two-byte words have in common at the start."""
+    """Words that two runs of word hashes have in common at the start."""
     n = min(len(x), len(y))
     x, y = x[:n], y[:n]
     if x == y:
-        return n // 2
-    return (n - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8) // 2
+        return n // WIDE
+    return (n - ((int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_length() + 7) // 8) // WIDE
 
 
 def _extend(x: tuple, y: tuple) -> list[tuple[int, int, int, int]]:
@@ -141,8 +140,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spans(suffixes: DataFrame) -> DataFrame:
-    """Spans (doc, start, end, other) from the sorted order: by key, the words after, and the id."""
-    ranged = suffixes.select("doc", "key", "at", "after", "before").repartitionByRange("key", "after", "doc", "at").sortWithinPartitions("key", "after", "doc", "at")
+    """Spans (doc, start, end, other) of the suffixes that occur twice, from the sorted order."""
+    ranged = suffixes.filter("windows is null").select("doc", "key", "at", "after", "before").repartitionByRange("key", "doc", "at").sortWithinPartitions("key", "doc", "at")
     found = settle(ranged.mapInArrow(_neighbours, _OUT))
     edges = found.filter("kind > 0").orderBy("part", "kind").collect()  # two rows a task
     ends = [(r["kind"], (r["doc"], r["key"], r["at"], bytes(r["after"]), bytes(r["before"]))) for r in edges]
@@ -167,12 +166,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     others; ``other_doc_id`` is the smallest of those that it was compared with."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
-    marks = settle(texts.mapInArrow(_marks, "doc long, keys array<long>").filter(F.size("keys") > 0))
+    step = Steps()
+    marks = step(texts.mapInArrow(_marks, "doc long, keys array<long>").filter(F.size("keys") > 0))
     each = marks.select("doc", F.explode("keys").alias("key"))
-    repeated = settle(each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", (F.col("n") > 2).alias("many")))
-    wanted = settle(each.join(repeated, "key").groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")))
-    suffixes = settle(texts.join(wanted, "doc").select("doc", "text", "keys", "many").mapInArrow(_suffixes, "doc long, key long, at int, after binary, before binary, first int, windows array<long>"))
-    spans = _spans(suffixes).unionByName(_window_spans(suffixes))
+    repeated = step(each.groupBy("key").agg(F.min("doc").alias("low"), F.max("doc").alias("high"), F.count(F.lit(1)).alias("n")).filter("low <> high").select("key", (F.col("n") > 2).alias("many")))
+    wanted = step(each.join(repeated, "key").groupBy("doc").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("many"), F.col("key"))).alias("many")))
+    suffixes = step(texts.join(wanted, "doc").select("doc", "text", "keys", "many").mapInArrow(_suffixes, "doc long, key long, at int, after binary, before binary, first int, windows array<long>"))
+    step.free(suffixes)
+    spans = step(_spans(suffixes).unionByName(_window_spans(suffixes)))
+    step.free(spans)
     # Overlapping and touching spans of a document become one.
     by_doc = Window.partitionBy("doc").orderBy("start", "end")
     reach = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
