@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import ahocorasick
 import numpy as np
@@ -23,10 +23,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import small_batches
+from crawlspan.llm.common import kept, small_batches
 
 #: Entries of the caches of a worker, for pieces and for token pairs; they bound its memory, not its results.
-PIECES, PAIRS = 250_000, 1_000_000
+PIECES, PAIRS = 150_000, 120_000
 #: Longer pieces (characters) are not cached.
 LONG_PIECE = 64
 
@@ -52,7 +52,7 @@ class BytePairEncoder:
         self.shorter = self._prefixes()
         self.halves: list[tuple[int, int]] = [(i, i) for i in range(len(self.tokens))]
         self.joined: dict[tuple[int, int], int] = {}
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}  # by both tokens in one number
         self._split_tokens()
         self.pieces = _Pieces(self)
 
@@ -101,11 +101,12 @@ class BytePairEncoder:
                         return True
 
     def fits(self, a: int, b: int) -> bool:
-        known = self.stable.get((a, b))
+        pair = a << 32 | b
+        known = self.stable.get(pair)
         if known is None:
             if len(self.stable) >= PAIRS:
                 self.stable.clear()
-            known = self.stable[a, b] = self._compatible(a, b)
+            known = self.stable[pair] = self._compatible(a, b)
         return known
 
     def encode_piece(self, piece: str) -> list[int]:
@@ -159,10 +160,9 @@ class _Pieces(dict):
         return ids
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> BytePairEncoder:
     """One encoder for each worker process."""
-    return BytePairEncoder(path, pattern)
+    return kept(("bpe", path, pattern), lambda: BytePairEncoder(path, pattern))
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -184,6 +184,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return rows.mapInArrow(partial(_round_trip, path=path, pattern=pattern), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def _ids(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    e = encoder(path, pattern)
+    for b in batches:
+        docs = [e.encode(text) for text in b.column(1).to_pylist()]
+        n = np.array([len(d) // 4 for d in docs], np.int64)
+        ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(docs), "<i4"), pa.int32()))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), ids], names=["doc_id", "n_tokens", "ids"])
+
+
+def token_ids(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens and ids (``array<int>``) of each row."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return rows.mapInArrow(partial(_ids, path=path, pattern=pattern), "doc_id long, n_tokens long, ids array<int>")
+
+
 def encode_column(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``docs`` with an ``array<int>`` column of ids."""
     small_batches(docs.sparkSession)

@@ -5,8 +5,8 @@ its class, id and role, amounts of text and links), a pair potential ties each e
 from the leaves to the root and back, which gives each element's exact marginal; text directly inside elements of marginal
 one half or more is the page's text.
 
-Both potentials are trained from labelled pages: a bounded, hash-ordered sample (MOST_PAGES) of pages that mark their main
-text themselves with one ``article`` or ``main`` element. What lies inside it, but for navigation, forms, notices and the
+Both potentials are trained from labelled pages: a bounded, hash-ordered sample (MOST_PAGES of less than LONGEST_PAGE characters)
+of pages that mark their main text themselves with one ``article`` or ``main`` element. What lies inside it, but for navigation, forms, notices and the
 like, is labelled content. Scripts, styles and other parts that hold no page text never enter the tree.
 
 Defined cases: a null or empty page gives an empty text; unclosed, wrongly nested and cut-off markup is repaired as it
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from crawlspan.llm.common import small_batches
 
-MOST_PAGES = 1500
+#: The bound of the training sample: pages, and characters of a page (longer pages are extracted, not learnt from).
+MOST_PAGES, LONGEST_PAGE = 1500, 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select datalist head title textarea".split())
@@ -294,7 +295,7 @@ def _fit(pdf):
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> tuple[list[float], tuple[float, float]]:
     """Trains on a bounded sample; one task reads it."""
-    marked = pages.select(F.col(id_col).cast("long").alias("i"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < 1_000_000))
+    marked = pages.select(F.col(id_col).cast("long").alias("i"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < LONGEST_PAGE))
     # The sample is drawn on ids alone; only its own pages travel.
     drawn = marked.select(F.xxhash64("i").alias("at"), "i").dropna().distinct().orderBy("at", "i").limit(MOST_PAGES)
     sample = marked.join(F.broadcast(drawn), "i").select("at", "html")  # MOST_PAGES ids at most

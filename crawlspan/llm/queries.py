@@ -15,8 +15,9 @@ from crawlspan.llm.common import held_out, table
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.with_score(docs, model)
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    found = docs.withColumn("found", toxicity.verdict(spark, model, F.col("text")))
+    worst = F.expr("substring(text, found.worst_start + 1, found.worst_end - found.worst_start)")
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "found.score", (F.col("found.score") >= 0.5).cast("int").alias("predicted"), "found.offending", "found.worst_start", "found.worst_end", worst.alias("worst_sentence"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
