@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from crawlspan.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from crawlspan.llm.common import settle, table
@@ -17,8 +16,7 @@ from crawlspan.llm.common import settle, table
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under one half; the model learns from the labels of ``sf_dir``."""
-    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_score(docs, model, out="toxicity_score").filter("toxicity_score < 0.5").drop("toxicity_score")
+    return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.encode_column(docs.select("doc_id", "text"), path, pattern).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    return bpe.token_ids(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
