@@ -4,7 +4,8 @@ A piece of text (one match of the pattern) is encoded without replaying merges.
 run through an Aho-Corasick automaton of the vocabulary, which gives the longest token that starts at each place. The
 encoder takes the longest token whose pair with its left neighbour is stable, falls back to shorter prefixes, and steps
 back when none fits; each place is given up at most once, so the work is linear. A pair is stable when replaying the
-merges over both tokens would not join or cut them differently; answers are kept, as are the ids of whole pieces.
+merges over both tokens would not join or cut them differently; answers are kept, as are the ids of whole pieces. That
+backtracking over stable pairs gives the very ids of the merges is a published result on byte-pair encoding.
 
 Defined cases: a null text is an empty one, with no ids; very long pieces take linear time and bypass the piece cache.
 """

@@ -11,7 +11,7 @@ from typing import TypeVar
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 T = TypeVar("T")
 
@@ -84,7 +84,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A few rows of the driver's as a table, without Python workers."""
-    kinds = to_arrow_schema(spark.createDataFrame(pa.table({"x": pa.array([], pa.int8())})).selectExpr(*(f"cast(null as {x.split()[1]}) as {x.split()[0]}" for x in schema.split(", "))).schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
     cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(cols, kinds, strict=True)], names=kinds.names))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import Steps, settle, small_batches
+from crawlspan.llm.common import Steps, settle, small_batches, small_table
 from crawlspan.llm.near_dedup import window_hashes, word_hashes
 
 #: Words of the shortest passage, of a suffix's first part, and neighbouring suffixes of which one is kept.
@@ -147,7 +147,7 @@ def _spans(suffixes: DataFrame) -> DataFrame:
     ends = [(r["kind"], (r["doc"], r["key"], r["at"], bytes(r["after"]), bytes(r["before"]))) for r in edges]
     more = [s for (j, x), (k, y) in zip(ends, ends[1:], strict=False) if (j, k) == (2, 1) and x[1] == y[1] and x[0] != y[0] for s in _extend(x, y)]
     spans = found.filter("kind = 0").select("doc", "start", "end", "other")
-    return spans.unionByName(suffixes.sparkSession.createDataFrame(more, "doc long, start int, end int, other long")) if more else spans
+    return spans.unionByName(small_table(suffixes.sparkSession, more, "doc long, start int, end int, other long")) if more else spans
 
 
 def _window_spans(suffixes: DataFrame) -> DataFrame:

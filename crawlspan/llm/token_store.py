@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crawlspan.llm.common import Settled, kept, shared_dir, small_batches
+from crawlspan.llm.common import Settled, kept, shared_dir, small_batches, small_table
 from crawlspan.llm.exact_dedup import repeat_filter, seen_again
 
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash sees.
@@ -262,7 +262,7 @@ def write_store(docs: DataFrame, path: str, end_id: int, out: str | None = None,
     recipes.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(f"{out}/recipes")
     _part_roots(_recipe_table(spark, out)).write.parquet(f"{out}/manifest")
     parts = spark.read.schema(_PART).parquet(f"{out}/manifest").collect()
-    spark.createDataFrame([(bytearray(_top(parts)),)], "root binary").coalesce(1).write.parquet(f"{out}/root")
+    small_table(spark, [(_top(parts),)], "root binary").coalesce(1).write.parquet(f"{out}/root")
     keys = staged.df.select(F.explode("chunk_keys").alias("sha"))
     again = spark.sparkContext.broadcast(repeat_filter(keys, keys.count()))
     made = staged.df.select(F.arrays_zip("chunk_keys", "chunks", seen_again(again, many=True)(F.col("chunk_keys")).alias("maybe")).alias("chunks"))
