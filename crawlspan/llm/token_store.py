@@ -39,7 +39,7 @@ from crawlspan.llm.exact_dedup import repeat_filter, seen_again
 #: Ids in a chunk: at least, about, at most; ids that the rolling hash sees.
 SHORTEST, USUAL, LONGEST, ROLLING = 64, 256, 1024, 8
 #: Cached words of a worker's newer and of its older half; longer ones (characters) are not cached.
-WORDS, LONG_WORD = 250_000, 48
+WORDS, LONG_WORD = 120_000, 48
 #: Words of Latin-1 letters alone.
 LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Marks at the end of a word that are a token run of their own; other letters than these before them may end in a
@@ -195,7 +195,7 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def joined(batches: Iterator[pa.RecordBatch], rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def joined(batches: Iterator[pa.RecordBatch], rows: int = 1024, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches put together up to ``rows`` and ``size`` bytes: fewer of their words are different."""
     some: list[pa.RecordBatch] = []
     for b in batches:
