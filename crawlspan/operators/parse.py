@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
-from html.parser import HTMLParser
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 from crawlspan.functions.urls import resolve
 from crawlspan.operators import selectors as css
-from crawlspan.operators.selectors import Element, matches
+from crawlspan.operators.dom import HEADINGS, Node, Tree
+from crawlspan.operators.selectors import Matcher
 
 #: Bytes of body text that are kept.
 BODY_BYTES = 8000
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 LINK = "struct<href:string,anchor_text:string,rel:string,is_internal:boolean,is_nofollow:boolean>"
 IMAGE = "struct<src:string,alt:string,has_srcset:boolean>"
 PARSED = (
@@ -38,119 +38,79 @@ def cut_text(text: str, most: int = BODY_BYTES) -> str | None:
     return t or None
 
 
-class _Page(HTMLParser):
-    """Collects the record while tags go by; an open-element stack serves headings, links and selectors."""
+class _Page(Tree):
+    """Collects what tags alone tell while they go by, and reads titles, headings, links and texts off the whole tree."""
 
-    def __init__(self, url: str, root: str, selectors: dict) -> None:
-        super().__init__(convert_charrefs=True)
-        self.url, self.root, self.base = url, root, None
+    def __init__(self, url: str, root: str) -> None:
+        super().__init__()
+        self.url, self.domain, self.base = url, root, None
         self.meta: dict[str, str | None] = {}
-        self.title: list[str] = []
-        self.heads: dict[str, list[str]] = {f"h{i}": [] for i in range(1, 7)}
-        self.links, self.images, self.scripts, self.styles, self.jsonld = [], [], [], [], []
+        self.images, self.scripts, self.styles = [], [], []
         self.canonical, self.block_scripts, self.block_styles = None, 0, 0
-        self.body: list[str] = []
-        self.in_body = self.titled = False
-        self.open: list[list] = []  # tag, attributes, text parts or None, labels, element for selectors
-        self.selectors, self.picked = selectors, {k: ([] if v else None) for k, v in selectors.items()}
-        self.page = Element("", {})
 
-    def at(self, href: str | None) -> str | None:
+    def resolved(self, href: str | None) -> str | None:
         return resolve(resolve(self.url, self.base) if self.base else self.url, href)
 
-    def handle_starttag(self, tag, attrs):
-        a = {}
-        for k, v in attrs:
-            a.setdefault(k, v if v is not None else "")
-        rel = a.get("rel", "").lower()
-        if tag == "meta" and "name" in a and "content" in a:
-            self.meta[a["name"].lower()] = a["content"]
-        elif tag == "base" and a.get("href"):
-            self.base = a["href"]
-        elif tag == "link" and "href" in a:
+    def seen(self, tag, attrs):
+        rel = attrs.get("rel", "").lower()
+        if tag == "meta" and "name" in attrs and "content" in attrs:
+            self.meta[attrs["name"].lower()] = attrs["content"]
+        elif tag == "base" and attrs.get("href"):
+            self.base = attrs["href"]
+        elif tag == "link" and "href" in attrs:
             if rel == "canonical":
-                self.canonical = self.at(a["href"]) or self.canonical
+                self.canonical = self.resolved(attrs["href"]) or self.canonical
             if "stylesheet" in rel:
-                if u := self.at(a["href"]):
+                if u := self.resolved(attrs["href"]):
                     self.styles.append(u)
-                self.block_styles += a.get("media", "").lower() in ("", "all")
-        elif tag == "script" and a.get("src"):
-            if u := self.at(a["src"]):
+                self.block_styles += attrs.get("media", "").lower() in ("", "all")
+        elif tag == "script" and attrs.get("src"):
+            if u := self.resolved(attrs["src"]):
                 self.scripts.append(u)
-            self.block_scripts += not ("async" in a or "defer" in a or a.get("type", "").lower() == "module")
-        elif tag == "img" and "src" in a:
-            self.images.append((self.at(a["src"]) or a["src"], a.get("alt"), "srcset" in a))
-        elif tag == "body":
-            self.in_body = True
-        element = (self.open[-1][4] if self.open else self.page).child(tag, a) if self.selectors else None
-        if tag not in VOID:
-            wanted = tag in self.heads or tag == "a" and "href" in a or tag == "script" and a.get("type", "").lower() == "application/ld+json"
-            labels = [k for k, s in self.selectors.items() if s and matches(s, element)]
-            self.open.append([tag, a, [] if wanted or labels else None, labels, element])
-
-    def handle_endtag(self, tag):
-        if tag == "body":
-            self.in_body = False
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                for x in reversed(self.open[i:]):
-                    self._close(x)
-                del self.open[i:]
-                return
-
-    def _close(self, x):
-        tag, a, parts, labels, _ = x
-        if parts is None:
-            return
-        text = "".join(parts).strip()
-        for k in labels:
-            if text:
-                self.picked[k].append(text)
-        if tag in self.heads and text:
-            self.heads[tag].append(text)
-        elif tag == "a" and "href" in a and (u := self.at(a["href"])):
-            from urllib.parse import urlsplit
-
-            host = (urlsplit(u).hostname or "").lower()
-            self.links.append((u, text or None, a.get("rel"), bool(host) and (host == self.root or host.endswith("." + self.root)), "nofollow" in a.get("rel", "").lower()))
-        elif tag == "script":
-            self.jsonld.append(text)
-
-    def handle_data(self, data):
-        if self.open and self.open[-1][0] == "title":
-            self.title.append(data)
-        if self.in_body:
-            self.body.append(data)
-        for x in self.open:
-            if x[2] is not None:
-                x[2].append(data)
-
-    def record(self) -> tuple:
-        for x in reversed(self.open):
-            self._close(x)
-        body = "".join(self.body)
+            self.block_scripts += not ("async" in attrs or "defer" in attrs or attrs.get("type", "").lower() == "module")
+        elif tag == "img" and "src" in attrs:
+            self.images.append((self.resolved(attrs["src"]) or attrs["src"], attrs.get("alt"), "srcset" in attrs))
+
+    def _link(self, node: Node) -> tuple | None:
+        u = self.resolved(node.attrs["href"])
+        if not u:
+            return None
+        host, rel = (urlsplit(u).hostname or "").lower(), node.attrs.get("rel")
+        return u, self.text(node).strip() or None, rel, bool(host) and (host == self.domain or host.endswith("." + self.domain)), "nofollow" in (rel or "").lower()
+
+    def record(self, selectors: dict) -> tuple:
+        title, heads, links, jsonld = None, {h: [] for h in HEADINGS}, [], []
+        for node in self.walk():
+            if node.tag in heads and (text := self.text(node).strip()):
+                heads[node.tag].append(text)
+            elif node.tag == "a" and "href" in node.attrs and (link := self._link(node)):
+                links.append(link)
+            elif node.tag == "title" and title is None:
+                title = self.text(node).strip()
+            elif node.tag == "script" and node.attrs.get("type", "").lower() == "application/ld+json":
+                jsonld.append(self.text(node).strip())
+        matcher = Matcher(self) if any(selectors.values()) else None
+        picked = [(k, None if v is None else [t for n in matcher.select(v) if (t := self.text(n).strip())]) for k, v in selectors.items()]
+        body = self.text(self.body)
         return (
-            "".join(self.title).strip() or None, self.meta.get("description"), self.meta.get("robots"), self.canonical, self.meta.get("viewport"), self.base,
-            *(self.heads[f"h{i}"] for i in range(1, 7)),
-            [dict(zip(("href", "anchor_text", "rel", "is_internal", "is_nofollow"), x, strict=True)) for x in self.links],
+            title or None, self.meta.get("description"), self.meta.get("robots"), self.canonical, self.meta.get("viewport"), self.base, *heads.values(),
+            [dict(zip(("href", "anchor_text", "rel", "is_internal", "is_nofollow"), x, strict=True)) for x in links],
             [dict(zip(("src", "alt", "has_srcset"), x, strict=True)) for x in self.images],
-            self.scripts, self.styles, self.block_scripts, self.block_styles, len(body.split()), cut_text(body), self.jsonld, list(self.picked.items()), True,
+            self.scripts, self.styles, self.block_scripts, self.block_styles, len(body.split()), cut_text(body), jsonld, picked, True,
         )
 
 
 def parse_html(html: str | None, url: str, root: str, selectors: dict | None = None) -> tuple:
-    page = _Page(url or "", root or "", selectors or {})
+    page = _Page(url or "", root or "")
     try:
         page.feed(html or "")
-        page.close()
-        return page.record()
-    except (AssertionError, ValueError):  # what the parser raises for broken declarations: a row with parse_ok = false
+        page.finish()
+        return page.record(selectors or {})
+    except (AssertionError, ValueError):  # what the tokenizer raises for broken declarations: a row with parse_ok = false
         return (None,) * 6 + ([],) * 10 + (0, 0, 0, None, [], [], False)
 
 
 def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema, keep: int, root: str | None, selectors: dict) -> Iterator[pa.RecordBatch]:
-    from urllib.parse import urlsplit
-
     chosen = {k: css.parse(v) for k, v in selectors.items()}
 
     def host(u):
@@ -168,13 +128,10 @@ def _parse(batches: Iterator[pa.RecordBatch], schema: pa.Schema, keep: int, root
 def parse_pages(pages: DataFrame, root_domain: str | None = None, selectors: dict[str, str] | None = None, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without the HTML, with the parsed record; links are internal to ``root_domain`` or to the page's own host.
 
-    ``selectors`` picks texts by label (see :mod:`crawlspan.operators.selectors`): one that is no selector gives NULL, one that
-    can't be run raises here.
+    ``selectors`` picks texts by label (see :mod:`crawlspan.operators.selectors`): one that is no selector gives NULL.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    for v in (selectors or {}).values():
-        css.parse(v)
     spark = pages.sparkSession
     keep = [c for c in pages.columns if c != html]
     final = F.coalesce(F.col("final_url"), F.col(url)) if "final_url" in pages.columns else F.col(url)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,10 +172,9 @@ def evaluate_rules(parsed: DataFrame, rules: tuple[Rule, ...] | None = None, con
         own = settings.get(rule.id, {})
         if own.get("enabled") is False:
             continue
-        try:
-            issues = rule.fn(**(own.get("params") or {}))
-        except TypeError:
-            issues = rule.fn()
+        known = signature(rule.fn).parameters
+        open_ended = any(p.kind is p.VAR_KEYWORD for p in known.values())
+        issues = rule.fn(**{k: v for k, v in (own.get("params") or {}).items() if open_ended or k in known})
         severity = own.get("severity") or rule.severity
         for cond, message, detail in issues:
             issue = F.struct(

@@ -1,5 +1,7 @@
 """Expectations on small inputs."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from crawlspan import registry
 from crawlspan.functions import text as tx
 from crawlspan.functions import urls as ur
 from crawlspan.model import CrawlConfig
-from crawlspan.operators import analysis, crosspage, diff, extend, parse, rules, selectors
+from crawlspan.operators import analysis, crosspage, diff, dom, extend, parse, rules, selectors
 from crawlspan.plans import frontier
 from crawlspan.sources import pages as sp
 from crawlspan.sources import robots, sitemaps, sinks
@@ -264,7 +266,62 @@ def test_selectors(css, want):
     assert dict(dict(zip(parse.NAMES, got, strict=True))["custom_extractions"])["k"] == want
 
 
-def test_selectors_that_need_later_elements(spark):
-    pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
-    with pytest.raises(selectors.Unsupported):
-        parse.parse_pages(pages, selectors={"x": "li:last-child"})
+@pytest.mark.parametrize(
+    ("css", "want"),
+    [
+        ("li:last-child", ["4"]), ("li:nth-last-child(2)", ["3"]), ("li:nth-last-child(odd)", ["2", "4"]), ("div > :last-child", ["two", "four"]), ("p:last-of-type", ["two", "four"]), ("p:nth-last-of-type(2)", ["one", "three"]),
+        ("ul:only-of-type > li:first-child", ["1"]), ("body > :only-child", []), ("div:has(ul) > p", ["three", "four"]), ("div:has(> p.b) > p", ["one", "two"]), ("h2:has(+ span)", ["h"]), ("h2:has(+ p)", []), ("h2:has(~ p[title])", ["h"]),
+        ("div:has(h2 ~ p) li:last-child", ["4"]), ("div:not(:has(li)) p", ["one", "two"]), ("div:has(li:nth-last-child(2)[data-x], .zzz) h2", ["h"]), ("li:not(:empty):last-child", ["4"]), (":scope > body > div:last-child > h2", ["h"]),
+        ("a:hover", None), ("div:has()", None), ("li:nth-last-child(x)", None), ("li:has(> )", None),
+    ],
+)
+def test_selectors_that_need_later_elements(css, want):
+    test_selectors(css, want)
+
+
+def outline(html):
+    """The body as text: an element is its tag and what it holds."""
+    page = dom.Tree()
+    page.feed(html)
+    page.finish()
+
+    def show(node):
+        out, at = "", node.start
+        for kid in node.kids:
+            out += "".join(page.texts[at : kid.start]) + show(kid)
+            at = kid.end
+        return f"<{node.tag}>{out}{''.join(page.texts[at : node.end])}</>"
+
+    return show(page.body).removeprefix("<body>").removesuffix("</>")
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<h1>A<h2>B</h2>", "<h1>A</><h2>B</>"), ("<h1>A</h3>b", "<h1>A</>b"), ("<a href=1>x<a href=2>y", "<a>x</><a>y</>"), ("<b>1<p>2</b>3</p>4", "<b>1</><p><b>2</>3</>4"),
+        ("<b><i>1<p>2</b>3</i>4</p>5", "<b><i>1</></><i></><p><i><b>2</>3</>4</>5"), ("<b>1<div>2<div>3</b>4</div>5</div>6", "<b>1</><div><b>2</><div><b>3</>4</>5</>6"),
+        ("<p>a<p>b<div>c</p>d", "<p>a</><p>b</><div>c<p></>d</>"), ("<p><i>a<p>b</i>c", "<p><i>a</></><p><i>b</>c</>"), ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "<ul><li>a</><li>b<ul><li>c</></></><li>d</></>"),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", "<table><tbody><tr><td>a</><td>b</></><tr><td>c</></></></>d"), ("<table><td><b>a<td>b</table>", "<table><tbody><tr><td><b>a</></><td>b</></></></>"),
+        ("<dl><dt>a<dd>b<dt>c</dl>", "<dl><dt>a</><dd>b</><dt>c</></>"), ("<select><option>1<option>2</select>3", "<select><option>1</><option>2</></>3"), ("<div/>a<br/>b</br>c", "<div>a<br></>b<br></>c</>"),
+        ("x</b></i></td>y<body class=q>z</body>w", "xyzw"), ("<svg><path/><g/>t</svg>u", "<svg><path></><g></>t</>u"), ("<svg><g><p>out", "<svg><g></></><p>out</>"), ("<textarea><b>x</b></textarea>y", "<textarea><b>x</b></>y"),
+        ("<button>a<button>b", "<button>a</><button>b</>"), ("<form>a<form>b</form>c", "<form>ab</>c"), ("<p><a href=1>t</p><p>u</p>", "<p><a>t</></><p><a>u</></>"), ("<object><b>1</object>2</b>3", "<object><b>1</></>23"),
+    ],
+)
+def test_tree(html, want):
+    assert outline(html) == want
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<a href=1>x" * 20_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, "<p><b>" * 10_000, "<b><div>" * 10_000 + "</b>" * 10_000, "<ul><li>" * 10_000 + "</div>" * 10_000, "<div>" * 10_000 + "<table><p><td>" * 3_000, "<h1>" * 20_000,
+    ],
+    ids=["links", "stray ends", "paragraphs", "crossed", "lists", "cells", "headings"],
+)
+def test_pages_with_many_unclosed_tags(html):
+    """Work grows with the page: each takes well under a second here, and would take minutes if every tag walked the stack."""
+    began = time.process_time()
+    got = dict(zip(parse.NAMES, parse.parse_html(html, "https://x.example/", "x.example", {"k": selectors.parse("div div > p:not(:has(> b))")}), strict=True))
+    assert got["parse_ok"] and time.process_time() - began < 6
+    if html.startswith("<a"):
+        assert len(got["links"]) == 20_000 and {x["anchor_text"] for x in got["links"]} == {"x"}
\ No newline at end of file
