@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlspan import damaged as dm
 from crawlspan import overlay as o
 from crawlspan import rich as ri
 from crawlspan.functions import text as tx
@@ -27,6 +28,7 @@ from crawlspan.sources import sinks as sk
 from crawlspan.sources import sitemaps as sm
 from crawlspan.sources.scratch import cut, scratch_dir
 from crawlspan.streaming import ingest as st
+from crawlspan.streaming import progress as pg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,7 +221,7 @@ _BODY = r"""plain_body AS (
            '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\s+'), lambda x: x <> '') AS words FROM pages
 ),
 counted AS (SELECT page_id, words, list_transform(words, lambda x: strlen(x) + 1) AS sizes FROM plain_body),
-within AS (SELECT page_id, words, len(list_filter(range(1, len(words) + 1), lambda k: list_sum(sizes[1:k]) <= 8001)) AS n FROM counted)"""
+within AS (SELECT page_id, words, len(list_filter(range(1, len(words) + 1), lambda k: list_sum(sizes[1:k]) <= CASE WHEN list_sum(sizes) <= 8001 THEN 8001 ELSE 8000 END)) AS n FROM counted)"""
 _add("ext15_body_text", lambda s, d: _parsed(s, d).select("page_id", "body_text"), f"WITH {_BODY} SELECT page_id, nullif(array_to_string(words[1:n], ' '), '') AS body_text FROM within")
 _PICKS = {"menu": "nav > ul > li:nth-child(2) > a[href^='/']", "lead": "article h1", "second": "h1:not(article h1)", "after": "h3 + h4, h2 + h4", "bad": "a >> b"}
 _NAV = r"""list_transform(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '(?s)<a href=[^>]*>(.*?)</a>', 1), lambda x: trim(replace(replace(x, '&quot;', '"'), '&amp;', '&')))"""
@@ -231,6 +233,17 @@ _add(
         CASE WHEN page_id % 5 = 2 THEN 'Four ' || page_id ELSE '' END AS after, NULL AS bad FROM parsed JOIN pages USING (page_id)"""
     ),
 )
+_LATER = {"last": "nav > ul > li:last-child > a", "but_last": "nav > ul > li:nth-last-child(2) > a", "deep": "body:has(> h6) > h6", "before": "h2:has(+ h4)", "some_before": "h1:has(~ h2)", "state": "a:hover"}
+_add(
+    "ext16_later_elements",
+    lambda s, d: ps.parse_pages(ri.raw_rich(s, d), selectors=_LATER).select("page_id", *(F.array_join(F.col("custom_extractions")[k], "|").alias(k) for k in _LATER)),
+    o.sql(
+        f"""SELECT page_id, coalesce(({_NAV})[-1], '') AS last, coalesce(({_NAV})[-2], '') AS but_last, CASE WHEN page_id % 5 = 4 THEN 'Six ' || page_id ELSE '' END AS deep,
+        CASE WHEN page_id % 5 = 2 THEN 'Two ' || page_id ELSE '' END AS before, CASE WHEN page_id % 4 = 2 AND page_id % 5 IN (2, 3) THEN 'Second ' || page_id ELSE '' END AS some_before, NULL AS state
+        FROM parsed JOIN pages USING (page_id)"""
+    ),
+)
+_add("ext1_16_damaged", dm.damaged, o.sql(dm.DAMAGED_SQL))
 _add("ext17_links_table", lambda s, d: ps.links_table(_parsed(s, d)).groupBy("source_page", "link_type").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_internal").alias("internal")), "SELECT page_id AS source_page, 'a' AS link_type, len(regexp_extract_all(html, '<a href=')) AS n, len(regexp_extract_all(html, '<a href=')) AS internal FROM pages WHERE html LIKE '%<a href=%'")
 _add(
     "ext17_other_links",
@@ -308,7 +321,7 @@ for _rule, _sql in {
     "meta.desc_length": "SELECT crawl_id, page_id, 'Meta description is too short (' || length(meta_desc) || ' chars, minimum 50 recommended).' AS message FROM html WHERE length(meta_desc) < 50",
 }.items():
     _add("rule_" + _rule.replace(".", "_"), lambda s, d, r=_rule: o.issues(s, d).filter(F.col("rule_id") == r).select("crawl_id", "page_id", "message"), o.sql(_sql, I))
-_add("rul2_rule_config", lambda s, d: rl.evaluate_rules(o.pages(s, d), config={"rules": {"meta.title_length": {"params": {"min": 10, "max": 40}, "severity": "error"}, "meta.viewport_missing": {"enabled": False}, "content.thin_content": {"params": {"unknown": 1}}}}, html_only=True).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT rule_id, severity, count(*) AS n FROM (SELECT rule_id, severity FROM found WHERE rule_id NOT IN ('meta.title_length', 'meta.viewport_missing') UNION ALL SELECT 'meta.title_length', 'error' FROM html WHERE length(title) < 10 OR length(title) > 40) GROUP BY ALL", I))
+_add("rul2_rule_config", lambda s, d: rl.evaluate_rules(o.pages(s, d), config={"rules": {"meta.title_length": {"params": {"min": 10, "max": 40}, "severity": "error"}, "meta.viewport_missing": {"enabled": False}, "content.thin_content": {"params": {"min_words": 150, "unknown": 1}}}}, html_only=True).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT rule_id, severity, count(*) AS n FROM (SELECT rule_id, severity FROM found WHERE rule_id NOT IN ('meta.title_length', 'meta.viewport_missing', 'content.thin_content') UNION ALL SELECT 'meta.title_length', 'error' FROM html WHERE length(title) < 10 OR length(title) > 40 UNION ALL SELECT 'content.thin_content', 'warning' FROM html WHERE word_count BETWEEN 1 AND 149) GROUP BY ALL", I))
 _add("rul3_rule_catalog", lambda s, d: rl.rule_catalog(s).join(o.issues(s, d).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "rule_id").select("rule_id", "default_severity", "n"), o.sql("SELECT rule_id, severity AS default_severity, count(*) AS n FROM found GROUP BY ALL", I))
 
 # Across pages ------------------------------------------------------------------------------------------------------
@@ -491,6 +504,40 @@ _add("str4_windowed_rate", lambda s, d: st.drained(st.windowed_rate(st.table_str
 _add("str5_recent_urls", lambda s, d: st.recent_urls(_pages(s, d).filter("crawl_id = 'base'"), 20).select("page_id", "url", "status_code"), o.sql("SELECT page_id, url, status_code FROM crawled WHERE crawl_id = 'base' ORDER BY page_id DESC LIMIT 20"))
 
 
+def _progress(s: SparkSession, d: str) -> DataFrame:
+    """Progress of the events' types as crawls: a row each 50 events that came, or a day after the last row."""
+    events = st.table_stream(s, d, "events").select(
+        F.col("event_type").alias("crawl_id"), "event_id", "ts", F.concat(F.lit("https://events.example/"), F.col("event_id").cast("string")).alias("url"), F.lit(200).alias("status_code"),
+        F.col("user_id").alias("response_time_ms"), (F.col("user_id") % 5 == 0).alias("failed"),
+    )
+    out = scratch_dir(s)
+    return pg.drained_progress(pg.crawl_progress(events, interval_ms=86_400_000), f"{out}/rows", f"{out}/checkpoint")
+
+
+#: The same by steps from row to row: the next row stands at the first event that fills the count or comes a day later.
+_TOLD = """WITH RECURSIVE e AS (
+    SELECT event_type AS crawl_id, event_id, user_id, epoch_us(ts) // 1000 AS ms, row_number() OVER o AS n, count(*) FILTER (user_id % 5 <> 0) OVER o AS crawled, count(*) FILTER (user_id % 5 = 0) OVER o AS errored,
+           min(epoch_us(ts) // 1000) OVER (PARTITION BY event_type) AS first_ms
+    FROM events WINDOW o AS (PARTITION BY event_type ORDER BY epoch_us(ts) // 1000, event_id ROWS UNBOUNDED PRECEDING)
+), w AS (
+    SELECT crawl_id, 0::BIGINT AS n, min(ms) AS ms, 0::BIGINT AS crawled, 0::BIGINT AS before FROM e GROUP BY crawl_id
+    UNION ALL SELECT e.crawl_id, min(e.n), arg_min(e.ms, e.n), arg_min(e.crawled, e.n), any_value(w.crawled)
+    FROM w JOIN e ON e.crawl_id = w.crawl_id AND e.n > w.n AND (e.crawled >= w.crawled + 50 OR e.ms >= w.ms + 86400000) GROUP BY e.crawl_id
+), told AS (SELECT e.*, CASE WHEN e.crawled >= w.before + 50 THEN 'count' ELSE 'interval' END AS reason, ms - first_ms AS elapsed_ms FROM e JOIN (SELECT crawl_id, n, before FROM w WHERE n > 0) AS w USING (crawl_id, n))
+"""
+_add(
+    "str3_progress_stream",
+    lambda s, d: _progress(s, d).select("crawl_id", "reason", "crawled", "errored", "elapsed_ms", F.round("rate", 9).alias("rate")),
+    _TOLD + "SELECT crawl_id, reason, crawled, errored, elapsed_ms, round(CASE WHEN elapsed_ms > 0 THEN 1000.0::DOUBLE * (crawled + errored) / elapsed_ms ELSE 0 END, 9) AS rate FROM told",
+)
+_add(
+    "str5_recent_stream",
+    lambda s, d: _progress(s, d).select("crawl_id", (F.col("crawled") + F.col("errored")).alias("n"), F.posexplode("recent").alias("place", "r")).select("crawl_id", "n", "place", "r.url", "r.response_time_ms"),
+    _TOLD + """SELECT t.crawl_id, t.n, (e.n - greatest(t.n - 20, 0) - 1)::INTEGER AS place, 'https://events.example/' || e.event_id AS url, e.user_id AS response_time_ms
+    FROM told AS t JOIN e ON e.crawl_id = t.crawl_id AND e.n > t.n - 20 AND e.n <= t.n""",
+)
+
+
 @query("str6_external_dedup_stream", o.sql("SELECT DISTINCT crawl_id, target_url FROM linked WHERE NOT is_internal", L))
 def _external_stream(s: SparkSession, d: str) -> DataFrame:
     path = scratch_dir(s)
@@ -538,7 +585,12 @@ def _stub(system: str, user: str, most: int, temperature: float) -> tuple:
 
 
 _answers = lambda s, d: an.complete(an.build_requests(an.with_content_hash(_texts(s, d)), ["meta_desc"]), _stub)
-_add("ai7_complete", lambda s, d: _answers(s, d).select("page_id", "input_tokens", "model"))
+_add(
+    "ai7_complete",
+    lambda s, d: _answers(s, d).select("page_id", "result_json", "input_tokens", "output_tokens", "model"),
+    f"""SELECT doc_id AS page_id, CASE WHEN n % 3 <> 0 THEN '{{"description": "' || n || ' words"}}' ELSE 'oops' END AS result_json, n AS input_tokens, 5 AS output_tokens, 'stub' AS model
+    FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 4 ELSE 5 END + CASE WHEN {_W} > 4000 THEN 4002 ELSE {_W} END AS n FROM documents)""",
+)
 _add("ai8_validate", lambda s, d: an.valid_results(_analyses(s, d)).select("page_id"), "SELECT doc_id AS page_id FROM documents WHERE doc_id % 5 <> 0")
 _add("ai9_usage_ledger", lambda s, d: an.usage_ledger(_analyses(s, d)), f"SELECT 'base' AS crawl_id, 'local' AS provider, 'm' || doc_id % 2 AS model, sum({_W})::BIGINT AS input_tokens, sum(10)::BIGINT AS output_tokens, sum({_W} * 0.5::DOUBLE) AS cost_usd, count(*) AS requests FROM documents GROUP BY doc_id % 2")
 _add("ai10_budget_cut", lambda s, d: an.budget_cut(_texts(s, d), tx.word_count(F.col("body_text")).cast("long"), 50000).select("page_id", "used_before"), f"SELECT * FROM (SELECT doc_id AS page_id, coalesce(sum({_W}) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS used_before FROM documents) WHERE used_before < 45000")
