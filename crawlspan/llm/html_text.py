@@ -10,7 +10,8 @@ of pages that mark their main text themselves with one ``article`` or ``main`` e
 like, is labelled content. Scripts, styles and other parts that hold no page text never enter the tree.
 
 Defined cases: a null or empty page gives an empty text; unclosed, wrongly nested and cut-off markup is repaired as it
-comes; without labelled pages fixed starting weights are used.
+comes; without labelled pages fixed starting weights are used; a null id stays null; repeated rows each give a row; an empty
+table gives none; other columns, whatever their names, are ignored. Work grows with the page, whatever stays unclosed.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,12 +34,12 @@ from crawlspan.llm.common import small_batches
 MOST_PAGES, LONGEST_PAGE = 1500, 1_000_000
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe svg math object canvas audio video select datalist head title textarea".split())
+SKIPPED = frozenset("script style noscript template iframe svg annotation annotation-xml select datalist head title textarea".split())
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Open elements that a start tag ends.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: How far up an implied end may reach.
 WALLS = frozenset("table ul ol dl div article section aside main body html nav header footer form blockquote td th".split())
 FURNITURE = frozenset("nav aside footer header form button dialog menu search label input fieldset".split())
@@ -55,6 +56,7 @@ _ATTR = re.compile(r"(class|id|role|rel|itemprop|hidden|aria-hidden|style)(?:\s*
 #: The end tags of SKIPPED; a longer name (``header``) is another tag.
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in SKIPPED}
 _SPACE = re.compile(r"\s+")
+_HEADER_WORD = re.compile(r"(?i)(?<![^\s_-])head(?:er)?(?![^\s_-])")
 #: Pair potential and weights before training: like follows like.
 START_PAIR = (0.93, 0.80)
 #: Features of furniture; what they hold is furniture too, unless it is the main element.
@@ -69,21 +71,22 @@ class Dom:
     def __init__(self, html: str | None) -> None:
         self.parent, self.tag, self.attrs = [-1], ["#root"], [""]
         self.pieces: list[tuple[int, str]] = []  # (element, text); a negative element -1 - e is a break at block e
-        text, stack, at = html or "", [0], 0
+        self.stack = [0]
+        self.places: dict[str, list[int]] = defaultdict(list)  # where open elements stand on the stack, by tag
+        self.walls: list[int] = []
+        text, at = html or "", 0
         endless: set[str] = set()  # names with no end tag in the rest
         for m in iter(lambda: _TOKEN.search(text, at), None):
             if m.start() > at:
-                self.pieces.append((stack[-1], text[at : m.start()]))
+                self.pieces.append((self.stack[-1], text[at : m.start()]))
             at = m.end()
             name = m[2] or m[5]
             if not name:
                 continue
             name, closing = name.lower(), m[1] or m[4]
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+                if self.places.get(name):
+                    self._cut(self.places[name][-1])
                 if name in BLOCKS:
                     self.pieces.append((-1, ""))
                 continue
@@ -97,31 +100,42 @@ class Dom:
                 at = len(text) if end < 0 and name in ("script", "style") else at if end < 0 else (text.find(">", end) + 1 or len(text))
                 continue
             if name == "p" or name in BLOCKS and name not in ENDS:
-                self._end(stack, {"p"})
+                self._end(("p",))
             elif name in ENDS:
-                self._end(stack, ENDS[name])
+                self._end(ENDS[name])
             if name in BLOCKS:
                 self.pieces.append((-1, ""))
             if name in VOID:
                 if name in ("br", "hr"):
-                    self.pieces.append((stack[-1], " "))
+                    self.pieces.append((self.stack[-1], " "))
                 continue
-            self.parent.append(stack[-1])
+            self.parent.append(self.stack[-1])
             self.tag.append(name)
             self.attrs.append(m[3] or m[6] or "")
             if not (m[0].endswith("/>") and name not in BLOCKS):
-                stack.append(len(self.tag) - 1)
+                self.places[name].append(len(self.stack))
+                if name in WALLS:
+                    self.walls.append(len(self.stack))
+                self.stack.append(len(self.tag) - 1)
         if at < len(text):
-            self.pieces.append((stack[-1], text[at:]))
-
-    def _end(self, stack: list[int], names: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            t = self.tag[stack[k]]
-            if t in names:
-                del stack[k:]
-                return
-            if t in WALLS:
-                return
+            self.pieces.append((self.stack[-1], text[at:]))
+        self.in_main = [False] * len(self.tag)  # below an article or main element
+        for i in range(1, len(self.tag)):
+            self.in_main[i] = self.in_main[self.parent[i]] or self.tag[self.parent[i]] in MAIN
+
+    def _cut(self, place: int) -> None:
+        """Ends the element at ``place`` of the stack and all above it."""
+        while len(self.stack) > place:
+            name = self.tag[self.stack.pop()]
+            self.places[name].pop()
+            if name in WALLS:
+                self.walls.pop()
+
+    def _end(self, names: tuple[str, ...]) -> None:
+        """Ends the nearest open element of these names, unless a wall stands before it."""
+        place = max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+        if place and place >= (self.walls[-1] if self.walls else 0):
+            self._cut(place)
 
     def measures(self) -> list[list[int]]:
         """Active feature numbers of each element."""
@@ -154,11 +168,11 @@ class Dom:
                 f.append(18)
             if t in PROSE:
                 f.append(2)
-            elif t in FURNITURE:
+            elif t in FURNITURE and not self._own_header(i):
                 f.append(3)
             elif t in ("ul", "ol", "li", "dl", "table", "tr", "tbody"):
                 f.append(9)
-            elif t in ("div", "section", "#root", "html", "body"):
+            elif t in ("div", "section", "header", "#root", "html", "body"):
                 f.append(10)
             elif t not in BLOCKS:
                 f.append(8)
@@ -166,7 +180,7 @@ class Dom:
                 f.append(19)
             if self.attrs[i]:
                 found = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs[i])}
-                names = f"{found.get('class', '')} {found.get('id', '')}"
+                names = self._names(i, f"{found.get('class', '')} {found.get('id', '')}")
                 role = found.get("role", "").lower()
                 if BAD.search(names):
                     f.append(4)
@@ -187,19 +201,23 @@ class Dom:
 
     def labels(self) -> list[int] | None:
         """Content as the page itself marks it, if it does so once."""
-        tops = [i for i, t in enumerate(self.tag) if t in MAIN and not any(self.tag[j] in MAIN for j in self.ancestors(i))]
+        tops = [i for i, t in enumerate(self.tag) if t in MAIN and not self.in_main[i]]
         if len(tops) != 1:
             return None
         y = [0] * len(self.tag)
         y[tops[0]] = 1
         for i in range(tops[0] + 1, len(self.tag)):
-            bad = self.tag[i] in FURNITURE or (self.attrs[i] and BAD.search(" ".join(x or y or z for n, x, y, z in _ATTR.findall(self.attrs[i]) if n.lower() in ("class", "id"))))
-            y[i] = int(y[self.parent[i]] and not bad)
+            names = " ".join(x or y or z for n, x, y, z in _ATTR.findall(self.attrs[i]) if n.lower() in ("class", "id")) if self.attrs[i] else ""
+            bad = self.tag[i] in FURNITURE and not self._own_header(i) or BAD.search(self._names(i, names))
+            y[i] = int(bool(y[self.parent[i]] and not bad))
         return y
 
-    def ancestors(self, i: int) -> Iterator[int]:
-        while (i := self.parent[i]) >= 0:
-            yield i
+    def _own_header(self, i: int) -> bool:
+        """The header of an article itself, which holds its title; the model judges it by what is in it."""
+        return self.tag[i] == "header" and self.in_main[i]
+
+    def _names(self, i: int, names: str) -> str:
+        return _HEADER_WORD.sub(" ", names) if self._own_header(i) else names
 
     def text(self, chosen: list[bool]) -> str:
         """Chosen text, white space single inside blocks, blocks by line."""
@@ -295,7 +313,7 @@ def _fit(pdf):
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> tuple[list[float], tuple[float, float]]:
     """Trains on a bounded sample; one task reads it."""
-    marked = pages.select(F.col(id_col).cast("long").alias("i"), F.col(html_col).cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < LONGEST_PAGE))
+    marked = pages.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{html_col}`").cast("string").alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[\\s>]") & (F.length("html") < LONGEST_PAGE))
     # The sample is drawn on ids alone; only its own pages travel.
     drawn = marked.select(F.xxhash64("i").alias("at"), "i").dropna().distinct().orderBy("at", "i").limit(MOST_PAGES)
     sample = marked.join(F.broadcast(drawn), "i").select("at", "html")  # MOST_PAGES ids at most
@@ -306,5 +324,5 @@ def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id") -> tu
 def extract_pages(pages: DataFrame, weights: list[float], pair: tuple[float, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars for each page."""
     small_batches(pages.sparkSession)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     return rows.mapInArrow(partial(_text, weights=list(weights), pair=pair), "page_id long, url string, text string, n_chars long")
