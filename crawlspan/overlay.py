@@ -10,20 +10,20 @@ from crawlspan.functions.urls import hash_url
 from crawlspan.operators.parse import h1_first, parse_pages
 from crawlspan.operators.rules import evaluate_rules
 from crawlspan.sources.pages import page_state
-from crawlspan.sources.scratch import exists, scratch_dir
+from crawlspan.sources.scratch import exists, file_state, scratch_dir
 
 
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
 
 
-_parsed: dict[tuple[str, str], str] = {}
+_parsed: dict[tuple, str] = {}
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parsed pages, as a table of the shared folder. A session parses a corpus once; queries then read the columns
-    that they need, and those that need none of the record never touch the parser."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    that they need, and those that need none of the record never touch the parser. Files that change are parsed anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, f"{sf_dir}/pages.parquet"))
     if key not in _parsed or not exists(spark, f"{_parsed[key]}/_SUCCESS"):
         path = scratch_dir(spark)
         parse_pages(raw_pages(spark, sf_dir).withColumn("html_bytes", F.octet_length("html"))).write.parquet(path)

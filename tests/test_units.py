@@ -324,4 +324,36 @@ def test_pages_with_many_unclosed_tags(html):
     got = dict(zip(parse.NAMES, parse.parse_html(html, "https://x.example/", "x.example", {"k": selectors.parse("div div > p:not(:has(> b))")}), strict=True))
     assert got["parse_ok"] and time.process_time() - began < 6
     if html.startswith("<a"):
-        assert len(got["links"]) == 20_000 and {x["anchor_text"] for x in got["links"]} == {"x"}
\ No newline at end of file
+        assert len(got["links"]) == 20_000 and {x["anchor_text"] for x in got["links"]} == {"x"}
+
+def test_changed_pages_are_parsed_anew(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    titles = lambda: registry.QUERIES["ext1_7_14_titles"](spark, str(tmp_path)).select("page_id", "title").collect()
+    pages.filter("page_id < 20").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(titles()) == 20
+    pages.filter("page_id < 7").withColumn("html", F.lit("<title>New</title>")).write.mode("overwrite").parquet(f"{tmp_path}/pages.parquet")
+    assert {r["title"] for r in titles()} == {"New"} and len(titles()) == 7
+
+
+def test_rule_parameters_one_by_one(spark):
+    """Known parameters count beside unknown ones; an error inside a rule is not taken for an unknown parameter."""
+    html = "<title>t</title><body>" + "word " * 100
+    config = lambda **p: {"rules": {"content.thin_content": {"params": p}}}
+    assert "content.thin_content" in issues_of(spark, html)
+    assert "content.thin_content" not in issues_of(spark, html, config(min_words=50))
+    assert "content.thin_content" not in issues_of(spark, html, config(min_words=50, unknown=1))
+    assert "content.thin_content" in issues_of(spark, html, config(unknown=1))
+
+    def broken(min_words=1):
+        raise TypeError("inside")
+
+    df = spark.createDataFrame([(1, "https://test.local/", html)], "page_id long, url string, html string")
+    with pytest.raises(TypeError, match="inside"):
+        rules.evaluate_rules(parse.parse_pages(df), (rules.Rule("x.y", "n", "content", "info", broken),), {"rules": {"x.y": {"params": {"min_words": 2}}}})
+
+
+def test_text_cut_at_a_word_that_ends_the_limit():
+    """A word that ends at the last byte stays only if nothing follows it."""
+    assert parse.cut_text("a" * 7990 + " " + "b" * 9) == "a" * 7990 + " " + "b" * 9
+    assert parse.cut_text("a" * 7990 + " " + "b" * 9 + " c") == "a" * 7990
+    assert parse.cut_text("a" * 7990 + " " + "b" * 8 + " c") == "a" * 7990 + " " + "b" * 8
