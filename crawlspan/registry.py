@@ -27,6 +27,7 @@ from crawlspan.sources import robots as rb
 from crawlspan.sources import sinks as sk
 from crawlspan.sources import sitemaps as sm
 from crawlspan.sources.scratch import cut, scratch_dir
+from crawlspan.sources.store import CrawlStore, crawl_sizes
 from crawlspan.streaming import ingest as st
 from crawlspan.streaming import progress as pg
 
@@ -149,15 +150,27 @@ def _bundle(s: SparkSession, d: str) -> DataFrame:
     return sk.open_crawl(s, path, {n: x.filter("crawl_id = 'none'") for n, x in t.items()})["pages"].select("crawl_id", "page_id", "url", "title")
 
 
-_add(
-    "snk8_upsert_pages",
-    lambda s, d: sk.upsert_pages(
-        _pages(s, d).filter("crawl_id = 'base'").select("crawl_id", F.sha2("url", 256).alias("url_hash"), "url", "depth", "status_code", "title"),
-        _pages(s, d).filter("crawl_id = 'compare'").select(F.lit("base").alias("crawl_id"), F.sha2("url", 256).alias("url_hash"), "url", (F.col("depth") + 1).alias("depth"), "status_code", "title", F.lit(1).alias("seq")),
-    ).select("url", "depth", "status_code", "title"),
-    o.sql("SELECT url, coalesce(b.depth, c.depth + 1) AS depth, CASE WHEN c.url IS NOT NULL THEN c.status_code ELSE b.status_code END AS status_code, CASE WHEN c.url IS NOT NULL THEN c.title ELSE b.title END AS title FROM (SELECT * FROM crawled WHERE crawl_id = 'base') AS b FULL JOIN (SELECT * FROM crawled WHERE crawl_id = 'compare') AS c USING (url)"),
-)
-_add("snk9_delete_crawl", lambda s, d: sk.delete_crawl({"crawls": o.crawls(s, d), "pages": _pages(s, d)}, "base")["pages"].select("crawl_id", "page_id"), o.sql("SELECT crawl_id, page_id FROM crawled WHERE crawl_id <> 'base'"))
+@query("snk8_upsert_pages", o.sql("SELECT url, coalesce(b.depth, c.depth + 1) AS depth, CASE WHEN c.url IS NOT NULL THEN c.status_code ELSE b.status_code END AS status_code, CASE WHEN c.url IS NOT NULL THEN c.title ELSE b.title END AS title FROM (SELECT * FROM crawled WHERE crawl_id = 'base') AS b FULL JOIN (SELECT * FROM crawled WHERE crawl_id = 'compare') AS c USING (url)"))
+def _upserted(s: SparkSession, d: str) -> DataFrame:
+    """The base crawl stored, the other crawl's pages upserted into it, and the table read back."""
+    names = ["crawl_id", "url_hash", "url", "depth", "status_code", "title"]
+    both = _pages(s, d).withColumn("url_hash", F.sha2("url", 256))
+    store = CrawlStore(s, scratch_dir(s))
+    store.put({"pages": both.filter("crawl_id = 'base'").select(*names)})
+    store.upsert(both.filter("crawl_id = 'compare'").withColumns({"crawl_id": F.lit("base"), "depth": F.col("depth") + 1, "seq": F.lit(1)}).select(*names, "seq"))
+    return store.read("pages").select("url", "depth", "status_code", "title")
+
+
+@query("snk9_delete_crawl", o.sql("SELECT crawl_id, 'pages' AS \"table\", count(*) AS n FROM crawled WHERE crawl_id <> 'base' GROUP BY 1 UNION ALL SELECT crawl_id, 'links', count(*) FROM linked WHERE crawl_id <> 'base' GROUP BY 1 UNION ALL SELECT 'compare', 'crawls', 1", L))
+def _deleted(s: SparkSession, d: str) -> DataFrame:
+    """Both crawls stored, one deleted and its files removed, and all tables read back."""
+    store = CrawlStore(s, scratch_dir(s))
+    store.put({"crawls": o.crawls(s, d), "pages": _pages(s, d), "links": o.links(s, d)})
+    store.delete("base")
+    store.vacuum()
+    return crawl_sizes(store)
+
+
 _add("snk10_page_children", lambda s, d: sk.attach_page_id(o.issues(s, d).select("crawl_id", "url", "rule_id"), _pages(s, d)), o.sql("SELECT crawl_id, url, rule_id, page_id FROM found", I))
 
 

@@ -71,12 +71,6 @@ def upsert_pages(base: DataFrame, updates: DataFrame, seq: str = "seq") -> DataF
     return out.select("crawl_id", "url_hash", "url", "depth", "row.*").select(*base.columns)
 
 
-def delete_crawl(tables: dict[str, DataFrame], crawl_id: str) -> dict[str, DataFrame]:
-    if tables["crawls"].filter(F.col("crawl_id") == crawl_id).isEmpty():
-        raise ValueError(f"no crawl {crawl_id}")
-    return {n: df.filter(F.col("crawl_id") != crawl_id) for n, df in tables.items()}
-
-
 def attach_page_id(children: DataFrame, pages: DataFrame) -> DataFrame:
     """Children that name their page by URL get its id."""
     return children.join(pages.select("crawl_id", "url", "page_id"), ["crawl_id", "url"])
