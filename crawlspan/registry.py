@@ -185,10 +185,9 @@ _RULES = ", ".join(f"('{r.id}', {k})" for k, r in enumerate(rl.BUILTIN))
         ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, page_id * 100 + place, message LIMIT 50)""", ri.RICH_SQL))
 def _markdown(s: SparkSession, d: str) -> DataFrame:
     """The report of the pages' issues, exported and read back."""
-    s.dataSource.register(sk.MarkdownExport)
     path = scratch_dir(s)
     issues = rl.evaluate_rules(ri.parsed_rich(s, d), html_only=True).withColumn("issue_id", F.col("page_id") * 100 + F.col("rule_order"))
-    sk.markdown_summary(issues).write.format("crawlspan_markdown").mode("append").option("path", path).save()
+    sk.export_lines(sk.markdown_summary(issues), path)
     return s.read.text(path).withColumnRenamed("value", "line")
 
 

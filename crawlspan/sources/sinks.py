@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import re
+import uuid
+from dataclasses import dataclass
+from itertools import chain
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -108,9 +112,19 @@ def markdown_summary(issues: DataFrame, most: int = 50) -> DataFrame:
     return head.unionByName(counts).unionByName(lines)
 
 
+def export_lines(lines: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes (place, line) rows as text files below ``path`` whose names sort as the places do."""
+    lines.sparkSession.dataSource.register(MarkdownExport)
+    ordered = lines.select("place", "line").repartitionByRange("place").sortWithinPartitions("place")
+    ordered.write.format("crawlspan_markdown").mode("overwrite" if overwrite else "append").option("path", path).save()
+
+
 class MarkdownExport(DataSource):
-    """``df.write.format("crawlspan_markdown")``: each task writes its rows' ``line`` column as a file of a folder, on whatever
-    file system the folder's URI names."""
+    """``df.write.format("crawlspan_markdown")``: the ``line`` column as files of a folder, on whatever file system its URI names.
+
+    Each attempt of a task writes to a staging folder of the job. The driver moves the files of the attempts that counted to
+    their names, ordered by their first ``place``, and removes the staging folder; an aborted job leaves nothing behind.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -120,23 +134,57 @@ class MarkdownExport(DataSource):
         return "place long, line string"
 
     def writer(self, schema, overwrite):
-        return _MarkdownWriter(self.options["path"])
+        return _MarkdownWriter(self.options["path"], uuid.uuid4().hex, overwrite)
 
 
-class _MarkdownWriter(DataSourceWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+@dataclass
+class _Written(WriterCommitMessage):
+    """What an attempt wrote: its staged file, or None for a task without rows, and its first place."""
 
-    def write(self, rows):
-        import uuid
+    file: str | None
+    first: int
 
+
+class _MarkdownWriter(DataSourceWriter):
+    def __init__(self, path: str, job: str, overwrite: bool) -> None:
+        self.path, self.job, self.overwrite = path, job, overwrite
+
+    def _open(self):
+        """File system, folder, staging folder."""
         from pyarrow.fs import FileSystem
 
         uri = self.path.replace("s3a://", "s3://", 1).replace("file:/", "file:///", 1) if re.match("s3a://|file:/[^/]", self.path) else self.path
         fs, folder = FileSystem.from_uri(uri)
+        return fs, folder, f"{folder}/_staging-{self.job}"
+
+    def write(self, rows):
+        fs, _, staging = self._open()
+        first = next(rows, None)
+        if first is None:
+            return _Written(None, 0)
+        fs.create_dir(staging, recursive=True)
+        name = f"{staging}/{uuid.uuid4().hex}"
+        with fs.open_output_stream(name) as f:
+            for r in chain((first,), rows):
+                f.write(f"{r['line']}\n".encode())
+        return _Written(name, first["place"])
+
+    def commit(self, messages):
+        fs, folder, staging = self._open()
         fs.create_dir(folder, recursive=True)
-        text = "".join(f"{line}\n" for _, line in sorted((r["place"], r["line"]) for r in rows))
-        if text:
-            with fs.open_output_stream(f"{folder}/part-{uuid.uuid4().hex}.md") as f:
-                f.write(text.encode())
-        return WriterCommitMessage()
+        if self.overwrite:
+            for old in fs.get_file_info(FileSelector(folder)):
+                if old.path.endswith(".md"):
+                    fs.delete_file(old.path)
+        written = sorted((m for m in messages if m is not None and m.file), key=lambda m: m.first)
+        for k, m in enumerate(written):
+            fs.move(m.file, f"{folder}/part-{k:05d}-{self.job}.md")
+        self._clear(fs, staging)
+
+    def abort(self, messages):
+        fs, _, staging = self._open()
+        self._clear(fs, staging)
+
+    def _clear(self, fs, staging: str) -> None:
+        if fs.get_file_info(staging).type == FileType.Directory:
+            fs.delete_dir(staging)
