@@ -6,6 +6,8 @@ share is a skewed join side that can be split, not a list in one row; the ids li
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,11 +72,12 @@ def broken_internal(links: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def orphan_pages(pages: DataFrame, links: DataFrame, exclude_seed_only: bool = False) -> DataFrame:
-    """Pages below the start that no internal link reaches."""
+def orphan_pages(pages: DataFrame, *links: DataFrame, exclude_seed_only: bool = False) -> DataFrame:
+    """Pages below the start that no internal link reaches; the links may come in several parts."""
     deep = pages if exclude_seed_only else pages.filter("depth > 0")
-    aimed = links.filter("is_internal").select("crawl_id", F.col("target_url").alias("url")).distinct()
-    return deep.join(aimed, ["crawl_id", "url"], "left_anti").select("crawl_id", "page_id", "url", F.lit("links.orphan_page").alias("rule_id"), F.lit("warning").alias("severity"), F.lit("links").alias("category"), F.lit("Page has no internal links pointing to it.").alias("message"))
+    for part in links:
+        deep = deep.join(part.filter("is_internal").select("crawl_id", F.col("target_url").alias("url")).distinct(), ["crawl_id", "url"], "left_anti")
+    return deep.select("crawl_id", "page_id", "url", F.lit("links.orphan_page").alias("rule_id"), F.lit("warning").alias("severity"), F.lit("links").alias("category"), F.lit("Page has no internal links pointing to it.").alias("message"))
 
 
 def sitemap_not_crawled(sitemap: DataFrame, pages: DataFrame) -> DataFrame:
@@ -114,11 +117,11 @@ def external_targets(links: DataFrame, pages: DataFrame) -> DataFrame:
     return known.groupBy("crawl_id", "target_url").agg(F.min("source_page").alias("source_page"))
 
 
-def post_crawl_issues(pages: DataFrame, links: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """The findings of all finders, in one table."""
+def post_crawl_issues(pages: DataFrame, links: DataFrame, sitemap: DataFrame | None = None, cap: int | None = LISTED) -> DataFrame:
+    """The findings of all finders as issues with their details, in one table."""
+    none = F.lit(None).cast("string").alias("detail_json")
+    parts = [*(duplicate_issues(pages, f, cap) for f in FIELDS), broken_internal(links, pages), orphan_pages(pages, links)]
+    if sitemap is not None:
+        parts += [sitemap_not_crawled(sitemap, pages), page_not_in_sitemap(pages, sitemap)]
     keep = ["crawl_id", "page_id", "rule_id", "severity", "category", "message"]
-    parts = [*(duplicate_issues(pages, f) for f in FIELDS), broken_internal(links, pages), orphan_pages(pages, links), sitemap_not_crawled(sitemap, pages), page_not_in_sitemap(pages, sitemap)]
-    out = parts[0].select(*keep)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(*keep))
-    return out
+    return reduce(DataFrame.unionByName, (p.select(*keep, "detail_json" if "detail_json" in p.columns else none) for p in parts))

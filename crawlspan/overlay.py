@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crawlspan.functions.urls import hash_url
 from crawlspan.operators.parse import h1_first, parse_pages
 from crawlspan.operators.rules import evaluate_rules
+from crawlspan.sources.layout import LinkLayout, link_layout
 from crawlspan.sources.pages import page_state
 from crawlspan.sources.scratch import exists, file_state, scratch_dir
 
@@ -72,6 +73,17 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_layouts: dict[tuple, LinkLayout] = {}
+
+
+def layout(spark: SparkSession, sf_dir: str) -> LinkLayout:
+    """Pages and links of both crawls, laid out once in a session for joins on URLs; files that change are laid out anew."""
+    key = (spark.sparkContext.applicationId, sf_dir, file_state(spark, f"{sf_dir}/pages.parquet"))
+    if key not in _layouts:
+        _layouts[key] = link_layout(slim(pages(spark, sf_dir)), links(spark, sf_dir))
+    return _layouts[key]
+
+
 def external_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("source_page")
     out = links(spark, sf_dir).filter("not is_internal").withColumn("status_code", F.when(p % 3 == 0, 200).when(p % 3 == 1, 404))

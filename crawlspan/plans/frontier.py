@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crawlspan.functions.urls import hash_url, normalize_url, rewrite_url, url_allowed, url_host
 from crawlspan.model import CrawlConfig
 from crawlspan.sources.robots import robots_allowed
+from crawlspan.sources.layout import buckets, colocated
 from crawlspan.sources.scratch import cut
 
 FRONTIER = "url string, url_hash string, depth int, priority int, source_page long"
@@ -78,35 +81,32 @@ def load_frontier(spark: SparkSession, path: str) -> DataFrame:
 def crawl(corpus: DataFrame, seeds: DataFrame, cfg: CrawlConfig = CrawlConfig(), rules: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(pages, frontier): what a crawl from ``seeds`` reaches in ``corpus`` (parsed pages with url, links, page_id).
 
-    Each wave joins the open entries to the corpus, follows their links and drops what was seen. A wave's entries are
-    written once and never again: what was seen is the waves' tables read together. The number of waves is the depth limit
-    at most. ``max_pages`` counts pages that came, exactly.
+    Each wave joins the open entries to the corpus, follows their links and drops what was seen. Corpus and waves lie in
+    buckets of the URL's hash, so of a wave only its new entries are shuffled, once, after each task has made its own
+    distinct; what was seen stays where it is. The number of waves is the depth limit at most. ``max_pages`` counts pages
+    that came, exactly.
     """
     keyed = corpus.drop("depth").withColumn("url_hash", hash_url(normalize_url(F.col("url"), cfg.strip_slash)))
-    keyed = cut(keyed.groupBy("url_hash").agg(F.min_by(F.struct(*[c for c in keyed.columns if c != "url_hash"]), "page_id").alias("x")).select("url_hash", "x.*"))
-    front = cut(dedup(seeds))
-    seen, waves, crawled = front, [], 0
-    for _ in range(cfg.max_depth + 1):
-        wave = front
+    first = Window.partitionBy("url_hash").orderBy("page_id")
+    keyed = keyed.repartition(buckets(corpus.sparkSession), "url_hash").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
+    keyed = colocated(keyed, "url_hash", aligned=True)
+    waves, pages, crawled = [colocated(dedup(seeds), "url_hash", aligned=True)], [], 0
+    for depth in range(cfg.max_depth + 1):
+        wave = waves[-1]
         if rules is not None and cfg.respect_robots:
             wave = robots_allowed(wave, rules, cfg.agent).filter("allowed").drop("allowed")
         got = wave.select("url_hash", "depth", "priority").join(keyed, "url_hash")
         if cfg.max_pages:
-            got = got.orderBy(F.col("priority").desc(), "depth", "url").limit(cfg.max_pages - crawled)
-        got = cut(got)
-        n = got.count()
-        waves.append(got)
-        crawled += n
-        if not n or cfg.max_pages and crawled >= cfg.max_pages:
+            got = cut(got.orderBy(F.col("priority").desc(), "depth", "url").limit(cfg.max_pages - crawled))
+            crawled += got.count()
+        pages.append(got)
+        if depth == cfg.max_depth or cfg.max_pages and crawled >= cfg.max_pages:
             break
-        front = cut(dedup(expand(got, cfg), seen))
+        front = colocated(reduce(lambda new, seen: new.join(seen.select("url_hash"), "url_hash", "left_anti"), waves, dedup(expand(got, cfg))), "url_hash", aligned=True)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-    pages = waves[0]
-    for w in waves[1:]:
-        pages = pages.unionByName(w)
-    return pages, seen
+        waves.append(front)
+    return reduce(DataFrame.unionByName, pages), reduce(DataFrame.unionByName, waves).select("url", "url_hash", "depth", "priority", "source_page")
 
 
 def frontier_stats(frontier: DataFrame, pages: DataFrame) -> DataFrame:

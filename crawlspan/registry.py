@@ -343,8 +343,8 @@ _add("xp123_emission", lambda s, d: xp.duplicate_issues(_pages(s, d), "title", N
 for _c in ("title", "meta_desc", "h1"):
     _add(f"xp123_members_{_c}", lambda s, d, c=_c: xp.duplicate_members(_pages(s, d), c), o.sql(f"SELECT crawl_id, {_c} AS value, page_id FROM (SELECT *, count(*) OVER (PARTITION BY crawl_id, {_c}) AS n FROM crawled WHERE coalesce({_c}, '') <> '') WHERE n > 1"))
 _BAD = "SELECT crawl_id, url AS target_url, status_code FROM crawled WHERE status_code >= 400"
-_add("xp4_broken_internal", lambda s, d: xp.broken_internal(o.links(s, d), _pages(s, d)).select("crawl_id", "page_id", "target_url", "rule_id", "severity"), o.sql(f"SELECT crawl_id, source_page AS page_id, target_url, 'links.broken_internal' AS rule_id, 'error' AS severity FROM linked JOIN ({_BAD}) USING (crawl_id, target_url) WHERE is_internal", L))
-_add("xp5_orphan_pages", lambda s, d: xp.orphan_pages(_pages(s, d), o.links(s, d)).select("crawl_id", "page_id", "rule_id"), o.sql("SELECT crawl_id, page_id, 'links.orphan_page' AS rule_id FROM crawled AS p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM linked AS l WHERE l.crawl_id = p.crawl_id AND l.target_url = p.url AND is_internal)", L))
+_add("xp4_broken_internal", lambda s, d: o.layout(s, d).on_targets(xp.broken_internal).select("crawl_id", "page_id", "target_url", "rule_id", "severity"), o.sql(f"SELECT crawl_id, source_page AS page_id, target_url, 'links.broken_internal' AS rule_id, 'error' AS severity FROM linked JOIN ({_BAD}) USING (crawl_id, target_url) WHERE is_internal", L))
+_add("xp5_orphan_pages", lambda s, d: xp.orphan_pages(o.layout(s, d).pages, o.layout(s, d).links, o.layout(s, d).hot_links).select("crawl_id", "page_id", "rule_id"), o.sql("SELECT crawl_id, page_id, 'links.orphan_page' AS rule_id FROM crawled AS p WHERE depth > 0 AND NOT EXISTS (SELECT 1 FROM linked AS l WHERE l.crawl_id = p.crawl_id AND l.target_url = p.url AND is_internal)", L))
 _XP6 = "SELECT m.crawl_id, coalesce(p.page_id, (SELECT min(page_id) FROM crawled AS x WHERE x.crawl_id = m.crawl_id)) AS page_id, m.url, p.status_code, p.page_id IS NULL AS missing FROM mapped AS m LEFT JOIN crawled AS p ON p.crawl_id = m.crawl_id AND p.url = m.url WHERE p.page_id IS NULL OR p.status_code <> 200"
 _XP7 = "SELECT crawl_id, page_id, url FROM crawled AS p WHERE status_code = 200 AND NOT EXISTS (SELECT 1 FROM mapped AS m WHERE m.crawl_id = p.crawl_id AND m.url = p.url)"
 _add("xp6_sitemap_not_crawled", lambda s, d: xp.sitemap_not_crawled(o.sitemap(s, d), _pages(s, d)).select("crawl_id", "page_id", "url", "message"), o.sql(f"SELECT crawl_id, page_id, url, 'Sitemap URL ' || url || CASE WHEN missing THEN ' was not found during crawl.' ELSE ' returned a non-200 status.' END AS message FROM ({_XP6})", S))
@@ -371,12 +371,12 @@ _add(
     ),
 )
 _add("qry4b_detail_issue_order", lambda s, d: rs.order_by_severity(o.issues(s, d).filter("page_id = 2")).select("crawl_id", "rule_id", "severity"), o.sql("SELECT crawl_id, rule_id, severity FROM found WHERE page_id = 2", I))
-_add("qry5_inbound_links", lambda s, d: rs.inbound_links(_pages(s, d), o.links(s, d)).groupBy("crawl_id", "page_id").agg(F.count(F.lit(1)).alias("inbound")), o.sql("SELECT p.crawl_id, p.page_id, count(*) AS inbound FROM crawled AS p JOIN linked AS l ON l.crawl_id = p.crawl_id AND l.target_url = p.url GROUP BY 1, 2", L))
+_add("qry5_inbound_links", lambda s, d: o.layout(s, d).on_targets(lambda links, pages: rs.inbound_links(pages, links)).groupBy("crawl_id", "page_id").agg(F.count(F.lit(1)).alias("inbound")), o.sql("SELECT p.crawl_id, p.page_id, count(*) AS inbound FROM crawled AS p JOIN linked AS l ON l.crawl_id = p.crawl_id AND l.target_url = p.url GROUP BY 1, 2", L))
 _add("qry6_outbound_links", lambda s, d: rs.outbound_links(_pages(s, d), o.links(s, d)).select("crawl_id", "source_page", "source_url", "target_url"), o.sql("SELECT l.crawl_id, source_page, p.url AS source_url, target_url FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.page_id = l.source_page", L))
 _add("qry7_issues_query", lambda s, d: rs.paged(rs.issues_filter(o.issues(s, d), severity="warning", category="meta"), "issues", "ruleId", tie=["issue_id", "crawl_id"], limit=200).select("crawl_id", "issue_id", "rule_id"), o.sql("SELECT crawl_id, page_id * 100 + rule_order AS issue_id, rule_id FROM found WHERE severity = 'warning' AND category = 'meta' ORDER BY rule_id, issue_id, crawl_id LIMIT 200", I))
 _add("qry8_links_query", lambda s, d: rs.links_filter(o.links(s, d), internal=True, no_anchor=True, link_type="a").select("crawl_id", "link_id"), o.sql("SELECT crawl_id, link_id FROM linked WHERE is_internal AND coalesce(anchor_text, '') = ''", L))
-_add("qry9_links_broken", lambda s, d: rs.links_filter(o.links(s, d), _pages(s, d), broken=True).select("crawl_id", "link_id"), o.sql(f"SELECT crawl_id, link_id FROM linked WHERE is_internal AND (crawl_id, target_url) IN (SELECT crawl_id, target_url FROM ({_BAD}))", L))
-_add("qry10_links_not_broken", lambda s, d: rs.links_filter(o.links(s, d), _pages(s, d), broken=False).select("crawl_id", "link_id"), o.sql(f"SELECT crawl_id, link_id FROM linked AS l WHERE NOT is_internal OR NOT EXISTS (SELECT 1 FROM ({_BAD}) AS b WHERE b.crawl_id = l.crawl_id AND b.target_url = l.target_url)", L))
+_add("qry9_links_broken", lambda s, d: o.layout(s, d).on_targets(lambda links, pages: rs.links_filter(links, pages, broken=True)).select("crawl_id", "link_id"), o.sql(f"SELECT crawl_id, link_id FROM linked WHERE is_internal AND (crawl_id, target_url) IN (SELECT crawl_id, target_url FROM ({_BAD}))", L))
+_add("qry10_links_not_broken", lambda s, d: o.layout(s, d).on_targets(lambda links, pages: rs.links_filter(links, pages, broken=False)).select("crawl_id", "link_id"), o.sql(f"SELECT crawl_id, link_id FROM linked AS l WHERE NOT is_internal OR NOT EXISTS (SELECT 1 FROM ({_BAD}) AS b WHERE b.crawl_id = l.crawl_id AND b.target_url = l.target_url)", L))
 _add("qry11_external_query", lambda s, d: rs.external_filter(o.external_checks(s, d), broken=False).select("crawl_id", "link_id"), o.sql("SELECT crawl_id, link_id FROM checked WHERE status_code < 400 AND error_message IS NULL", L))
 _REPORT = f"SELECT crawl_id, url, 'in_sitemap_not_crawled' AS status, status_code FROM ({_XP6}) UNION ALL SELECT crawl_id, url, 'crawled_not_in_sitemap', 200 FROM ({_XP7})"
 _add("qry12_sitemap_report", lambda s, d: rs.sitemap_report(o.sitemap(s, d), _pages(s, d)), o.sql(_REPORT, S))
@@ -404,7 +404,7 @@ _SIDES = "(SELECT * FROM crawled WHERE crawl_id = 'base') AS b FULL JOIN (SELECT
 _DIFF = f"SELECT coalesce(b.url, c.url) AS url, CASE WHEN b.url IS NULL THEN 'new' WHEN c.url IS NULL THEN 'removed' WHEN coalesce(b.status_code, -1) <> coalesce(c.status_code, -1) THEN 'status_code_changed' END AS diff_type, b.status_code AS base_status_code, c.status_code AS compare_status_code, b.title AS base_title, c.title AS compare_title, b.meta_desc AS base_meta_desc, c.meta_desc AS compare_meta_desc FROM {_SIDES}"
 for _name, _kind in (("qry21_page_diff_new", "new"), ("qry22_page_diff_removed", "removed"), ("qry23_page_diff_status", "status_code_changed")):
     _add(_name, lambda s, d, k=_kind: df_.page_diffs(_pages(s, d), "base", "compare", k).select("url", "base_status_code", "compare_status_code"), o.sql(f"SELECT url, base_status_code, compare_status_code FROM ({_DIFF}) WHERE diff_type = '{_kind}'"))
-_add("qry24_page_diffs", lambda s, d: df_.page_diffs(_pages(s, d), "base", "compare"), o.sql(f"SELECT * FROM ({_DIFF}) WHERE diff_type IS NOT NULL"))
+_add("qry24_page_diffs", lambda s, d: df_.page_diffs(o.layout(s, d).pages, "base", "compare"), o.sql(f"SELECT * FROM ({_DIFF}) WHERE diff_type IS NOT NULL"))
 _add("qry25_issue_diffs", lambda s, d: df_.issue_diffs(o.issues(s, d), "base", "compare").select("url", "rule_id", "severity", "category", "diff_type"), o.sql("SELECT url, rule_id, severity, category, CASE crawl_id WHEN 'compare' THEN 'new' ELSE 'resolved' END AS diff_type FROM found AS x WHERE NOT EXISTS (SELECT 1 FROM found AS y WHERE y.crawl_id <> x.crawl_id AND y.rule_id = x.rule_id AND y.url = x.url)", I))
 _META = f"SELECT b.url, b.title AS base_title, c.title AS compare_title, b.meta_desc AS base_meta_desc, c.meta_desc AS compare_meta_desc FROM {_SIDES} WHERE b.url = c.url AND (coalesce(b.title, '') <> coalesce(c.title, '') OR coalesce(b.meta_desc, '') <> coalesce(c.meta_desc, ''))"
 _add("qry26_metadata_diffs", lambda s, d: df_.metadata_diffs(_pages(s, d), "base", "compare"), o.sql(_META))
