@@ -21,6 +21,7 @@ from crawlspan.operators import extend as ex
 from crawlspan.operators import parse as ps
 from crawlspan.operators import results as rs
 from crawlspan.operators import rules as rl
+from crawlspan.plans import audit as au
 from crawlspan.plans import frontier as fr
 from crawlspan.sources import pages as sp
 from crawlspan.sources import robots as rb
@@ -483,6 +484,67 @@ def _stats(s: SparkSession, d: str) -> DataFrame:
 _add("frt13_whole_crawl", lambda s, d: _whole_crawl(s, d)[0].select("page_id", "depth"))
 
 
+def _audited(s: SparkSession, d: str) -> au.Audit:
+    """The audit of the pages whose depth is 0 and of what their own HTML's links reach."""
+    fetches = cut(o.linked_pages(s, d))
+    sitemap = o.sitemap(s, d).filter("crawl_id = 'base'")
+    return au.audit(fetches, fr.seed(fetches.filter("page_id % 4 = 0").select("url")), "base", CrawlConfig(respect_robots=False), "example.net", sitemap=sitemap)
+
+
+#: The crawl by recursion, and what the audit must find on the pages that it reaches.
+_AUDIT = f"""named AS (SELECT n.page_id, pages.url, normal, {_HOST.replace("url", "pages.url")} AS host FROM ({_NORM}) AS n JOIN pages USING (page_id)),
+base AS (SELECT crawled.*, normal, host, min(page_id) OVER (PARTITION BY normal) AS own FROM crawled JOIN named USING (page_id, url) WHERE crawl_id = 'base'),
+anchors AS (
+    SELECT source_page, link_id, nofollow, anchor_text, coalesce(t.normal, target_url) AS target, coalesce(t.host = 'example.net' OR t.host LIKE '%.example.net', false) AS internal
+    FROM linked AS l LEFT JOIN named AS t ON t.url = l.target_url WHERE crawl_id = 'base'
+),
+reached AS (
+    SELECT page_id, min(depth) AS depth FROM (
+        WITH RECURSIVE w(page_id, depth) AS (
+            SELECT own, 0 FROM base WHERE page_id % 4 = 0
+            UNION SELECT t.own, w.depth + 1 FROM w JOIN base AS f ON f.page_id = w.page_id AND f.status_code BETWEEN 200 AND 299
+                  JOIN anchors AS a ON a.source_page = w.page_id AND internal AND NOT nofollow JOIN base AS t ON t.normal = a.target WHERE w.depth < 10
+        ) SELECT * FROM w) GROUP BY page_id
+),
+own_links AS (SELECT source_page, count(*) AS n, 2 * count(anchor_text) AS words, count(*) FILTER (internal AND nofollow) AS unfollowed FROM anchors GROUP BY 1),
+seen AS (SELECT b.* REPLACE (r.depth AS depth), r.page_id AS p, n, words, unfollowed FROM reached AS r JOIN base AS b USING (page_id) LEFT JOIN own_links ON source_page = b.page_id),
+ok AS (SELECT * FROM seen WHERE status_code BETWEEN 200 AND 299),
+mapped_base AS (SELECT DISTINCT coalesce(normal, m.url) AS url FROM mapped AS m LEFT JOIN named AS x ON x.url = m.url WHERE crawl_id = 'base')"""
+_SAME = """SELECT page_id, '{rule}' AS rule_id, 'warning' AS severity, 'Duplicate {name}: "' || CASE WHEN length({c}) > 80 THEN left({c}, 77) || '...' ELSE {c} END || '" is shared by ' || n || ' page(s).' AS message
+    FROM (SELECT page_id, {c}, count(*) OVER (PARTITION BY {c}) AS n FROM ok WHERE coalesce({c}, '') <> '') WHERE n > 1"""
+_add(
+    "frt14_audit_issues",
+    lambda s, d: _audited(s, d).issues.select("page_id", "rule_id", "severity", "message"),
+    o.sql(
+        f"""SELECT page_id, 'meta.title_missing' AS rule_id, 'error' AS severity, 'Page is missing a <title> tag.' AS message FROM ok WHERE coalesce(title, '') = ''
+        UNION ALL SELECT page_id, 'meta.title_length', 'warning', 'Title is too short (' || length(title) || ' chars, minimum 30 recommended).' FROM ok WHERE length(title) < 30
+        UNION ALL SELECT page_id, 'meta.title_length', 'warning', 'Title is too long (' || length(title) || ' chars, maximum 60 recommended).' FROM ok WHERE length(title) > 60
+        UNION ALL SELECT page_id, 'meta.desc_missing', 'warning', 'Page is missing a meta description.' FROM ok
+        UNION ALL SELECT page_id, 'meta.canonical_missing', 'warning', 'Indexable page is missing a canonical tag.' FROM ok
+        UNION ALL SELECT page_id, 'meta.viewport_missing', 'warning', 'Page is missing a viewport meta tag (affects mobile rendering).' FROM ok
+        UNION ALL SELECT page_id, 'content.h1_missing', 'warning', 'Page has no H1 tag.' FROM ok WHERE h1 IS NULL
+        UNION ALL SELECT page_id, 'content.thin_content', 'warning', 'Page has thin content (' || w || ' words, minimum 200 recommended).' FROM (SELECT *, word_count + coalesce(words, 0) AS w FROM ok) WHERE w BETWEEN 1 AND 199
+        UNION ALL SELECT page_id, 'links.nofollow_internal', 'info', unfollowed || ' internal link(s) have rel="nofollow".' FROM ok WHERE unfollowed > 0
+        UNION ALL SELECT page_id, 'perf.large_page', 'warning', 'Page size is ' || body_size || ' bytes (' || (round_even(body_size / 100000.0, 0) / 10)::DECIMAL(20, 1) || ' MB), exceeds 3000000 byte threshold.' FROM ok WHERE body_size > 3000000
+        UNION ALL SELECT page_id, 'perf.slow_response', 'warning', 'Response time is ' || response_time_ms || 'ms, exceeds 3000ms threshold.' FROM ok WHERE response_time_ms > 3000
+        UNION ALL SELECT page_id, 'security.http_page', 'warning', 'Page is served over HTTP instead of HTTPS.' FROM ok WHERE normal LIKE 'http://%'
+        UNION ALL {_SAME.format(rule="meta.title_duplicate", name="title", c="title")} UNION ALL {_SAME.format(rule="content.h1_duplicate", name="H1", c="h1")}
+        UNION ALL SELECT f.page_id, 'links.broken_internal', 'error', 'Broken internal link to ' || target || ' (status ' || t.status_code || ').' FROM ok AS f JOIN anchors AS a ON a.source_page = f.page_id AND internal JOIN seen AS t ON t.normal = a.target WHERE t.status_code >= 400
+        UNION ALL SELECT page_id, 'links.orphan_page', 'warning', 'Page has no internal links pointing to it.' FROM seen WHERE depth > 0 AND normal NOT IN (SELECT target FROM anchors JOIN ok ON source_page = page_id WHERE internal)
+        UNION ALL SELECT coalesce(page_id, (SELECT min(page_id) FROM seen)), 'sitemap.url_not_crawled', 'warning', 'Sitemap URL ' || m.url || CASE WHEN page_id IS NULL THEN ' was not found during crawl.' ELSE ' returned a non-200 status.' END
+                  FROM mapped_base AS m LEFT JOIN seen AS p ON p.normal = m.url WHERE page_id IS NULL OR status_code <> 200
+        UNION ALL SELECT page_id, 'sitemap.page_not_in_sitemap', 'info', 'Page is not in the sitemap.' FROM seen WHERE status_code = 200 AND normal NOT IN (SELECT url FROM mapped_base)""",
+        L, S, _AUDIT,
+    ),
+)
+_add("frt14_audit_pages", lambda s, d: _audited(s, d).pages.select("page_id", "url", "depth", "state", "title"), o.sql(f"SELECT page_id, normal AS url, depth, {_STATE} AS state, CASE WHEN status_code BETWEEN 200 AND 299 THEN title END AS title FROM seen", L, S, _AUDIT))
+_add(
+    "frt14_audit_links",
+    lambda s, d: _audited(s, d).links.filter("target_url like '%.example%' and anchor_text like 'link %' or nofollow").select("source_page", "target_url", "anchor_text", "is_internal", "nofollow"),
+    o.sql("SELECT source_page, target AS target_url, anchor_text, internal AS is_internal, nofollow FROM anchors JOIN ok ON page_id = source_page WHERE anchor_text IS NOT NULL OR nofollow", L, S, _AUDIT),
+)
+
+
 # Streams -----------------------------------------------------------------------------------------------------------
 
 
