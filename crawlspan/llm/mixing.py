@@ -6,9 +6,13 @@ probabilities along the null space of the balancing constraints (number of docum
 or 1 but for two at most. Blocks are small and of bounded size, so a source with a third of all rows is many blocks; what
 blocks leave over meets in further rounds of blocks until one small landing problem for each source remains.
 
+A reserve of each source, its SMALL smallest documents and SPREAD drawn at random, stays out until then. In the landing it
+flies together with what is left over, the last units are rounded, and the words by which that misses the target are made up
+by changing the choice among the reserve's documents, so that a source ends within half a small document of its target.
+
 Defined cases: a null or wordless text has size 0 and is never taken, whatever its weight; a null source is a source of
 its own, after all others; repeated rows are drawn as separate, interchangeable rows; an empty table gives an empty
-result. A source without words has target 0.
+result; other columns are ignored. A source without words has target 0.
 """
 
 from __future__ import annotations
@@ -30,6 +34,12 @@ from crawlspan.llm.members import belongs
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in a block of one flight.
 BLOCK = 2048
+#: Documents of each source that wait for the landing: the smallest, and some of all sizes.
+SMALL, SPREAD = 256, 768
+#: Documents of which the landing tries all choices.
+FEW = 14
+#: Rows alike in id, source and size that one task lists at most.
+ALIKE = 4096
 #: A document is taken this many times at most.
 MOST = 3.0
 
@@ -99,7 +109,37 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, land: bool
     return p
 
 
-def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table, seed: int, level: int) -> pa.Table:
+def settle_rest(x: np.ndarray, size: np.ndarray, miss: float) -> np.ndarray:
+    """Changes a 0/1 choice so that its words move by ``-miss``, as nearly as the change of one document or of two at once
+    gets there, one step after the other. Of a dozen documents or so all choices are looked at."""
+    x = x.copy()
+    if 0 < len(x) <= FEW:
+        ways = (np.arange(1 << len(x))[:, None] >> np.arange(len(x))) & 1
+        off = np.abs(ways @ size - (x @ size - miss))
+        return ways[np.lexsort((np.abs(ways - x).sum(axis=1), off))[0]].astype(float)
+    while len(x):
+        turn = np.where(x > 0.5, -size, size)
+        one = int(np.argmin(np.abs(miss + turn)))
+        change = [one]
+        if abs(miss + turn[one]) > 0.5 and len(x) > 1:
+            order = np.argsort(turn, kind="stable")
+            ranked = turn[order]
+            want = -miss - ranked  # what the second of a pair should be
+            near = np.searchsorted(ranked, want)
+            both = np.stack([np.clip(near + k, 0, len(x) - 1) for k in (-1, 0, 1)])
+            off = np.abs(miss + ranked + ranked[both])
+            off[both == np.arange(len(x))] = np.inf
+            k, i = np.unravel_index(int(np.argmin(off)), off.shape)
+            if off[k, i] < abs(miss + turn[one]):
+                change = [int(order[i]), int(order[both[k, i]])]
+        after = miss + float(turn[change].sum())
+        if abs(after) >= abs(miss):
+            break
+        x[change], miss = 1.0 - x[change], after
+    return x
+
+
+def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table, seed: int, level: int, land: bool) -> pa.Table:
     """The flight over one block, largest documents first, so that small ones are left to land: the same rows give the
     same draw."""
     kept("nothing", int)
@@ -108,18 +148,40 @@ def _fly(key: tuple[pa.Scalar, ...], rows: pa.Table, seed: int, level: int) -> p
     order = np.lexsort((ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(), rows["at"].to_numpy(), -size))
     rows, size = rows.take(order), size[order].astype(float)
     rng = np.random.default_rng([seed, level, key[0].as_py() & 0xFFFFFFFF, key[1].as_py()])
-    p = flight(rows["p"].to_numpy(), size, rng, land=rows["blocks"][0].as_py() == 1)
+    start = rows["p"].to_numpy()
+    p = flight(start, size, rng, land)
+    if land:
+        p = settle_rest(p, size, float(((p - start) * size).sum()))
     return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p))
 
 
-def _flyer(seed: int, level: int) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+def _flyer(seed: int, level: int, land: bool = False) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
     def fly(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        return _fly(key, rows, seed, level)
+        return _fly(key, rows, seed, level, land)
 
     return fly
 
 
-_ROW = "doc_id long, src long, size long, at long, p double, blocks long"
+_ROW = "doc_id long, src long, size long, at long, p double"
+#: Whether a row is of the reserve, by the bounds of :func:`_reserved`.
+_WAITS = "at <= spread OR struct(size, at) <= small"
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """doc_id, source, size, nth of each row; rows alike are counted first and numbered, in parts of ALIKE."""
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    few = alike.filter(F.col("n") <= ALIKE).withColumn("part", F.lit(0).cast("long"))
+    many = alike.filter(F.col("n") > ALIKE).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ALIKE)))).repartition("doc_id", "size", "part")
+    first = F.col("part") * ALIKE
+    return few.unionByName(many).select("doc_id", "source", "size", F.explode(F.sequence(first + 1, F.least(first + ALIKE, "n"))).alias("nth"))
+
+
+def _reserved(flying: DataFrame) -> DataFrame:
+    """Bounds of each source's reserve: the last of its SMALL smallest rows, and of SPREAD rows in the order of a hash. Tasks
+    cut their own rows first."""
+    small = flying.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("size", "at"))).filter(F.col("n") <= SMALL)
+    spread = flying.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("at"))).filter(F.col("n") <= SPREAD)
+    return small.groupBy("src").agg(F.max(F.struct("size", "at")).alias("small")).join(spread.groupBy("src").agg(F.max("at").alias("spread")), "src")
 
 
 @dataclass(frozen=True)
@@ -135,8 +197,8 @@ class Draw:
 def draw(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Draw:
     """Balances the extra copies of ``docs`` by the cube method."""
     spark = docs.sparkSession
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
-    sized = settle(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size")))
+    size = F.coalesce(F.regexp_count(F.col(f"`{text_col}`"), F.lit(WORDS)), F.lit(0)).cast("long")
+    sized = settle(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size")))
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("rows")).collect()  # a row per source
     goal = targets([(r["source"], r["source_size"]) for r in per_source], weights)
     order = sorted((r["source"] for r in per_source if r["source"] is not None)) + [None]
@@ -146,29 +208,33 @@ def draw(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), seed: int = 17,
         [(order.index(r["source"]), r["source"], r["source_size"], float(goal[r["source"]]), times(r), int(r["rows"])) for r in per_source],
         "src long, source string, source_size long, target double, times double, rows long",
     ).withColumn("sure", F.floor(F.col("times") + 1e-12))
-    rows = sized.join(plan, sized["source"].eqNullSafe(plan["source"])).select(
-        "doc_id", "src", "size", "source_size", "target", "rows", "sure",
-        F.xxhash64(F.lit(seed), "doc_id", "size").alias("at"),
-        F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("times") - F.col("sure"))).otherwise(0.0).alias("p"),
-    )
+    step = Steps()
+    planned = lambda df: df.join(plan, df["source"].eqNullSafe(plan["source"])).drop(df["source"], plan["source"])
+    p = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.col("times") - F.col("sure"))).otherwise(0.0)
+    flying = step(planned(_numbered(sized)).withColumn("p", p).filter("p > 0 and p < 1").select("doc_id", "src", "size", F.xxhash64(F.lit(seed), "doc_id", "size", "nth").alias("at"), "p", "rows"))
+    waits = _reserved(flying)
+    reserve = step(flying.join(waits, "src").filter(_WAITS).select("doc_id", "src", "size", "at", "p"))
     # Level by level: blocks fly, the few that stay fractional in each block meet in fewer blocks.
-    open_rows = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long")).filter("p > 0 and p < 1").select("doc_id", "src", "size", "at", "p", "blocks")
-    step, done, level = Steps(), [], 0
+    done, level = [], 0
+    open_rows = flying.join(waits, "src").filter(f"NOT ({_WAITS})").withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("long"))
     while True:
-        dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("at", F.lit(level)), F.greatest("blocks", F.lit(1))))
+        dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("at", F.lit(level)), F.greatest("blocks", F.lit(1)))).select("doc_id", "src", "size", "at", "p", "block")
         flown = step(dealt.groupBy("src", "block").applyInArrow(_flyer(seed, level), _ROW))
         done.append(flown.filter("p = 1"))
         rest = flown.filter("p > 0 and p < 1")
         counts = rest.groupBy("src").count().collect()  # a row per source
-        if not counts:
+        if all(r["count"] <= BLOCK // 2 for r in counts):
             break
         fewer = small_table(spark, [(r["src"], -(-r["count"] // BLOCK)) for r in counts], "src long, blocks long")
-        open_rows = rest.drop("blocks").join(fewer, "src").select("doc_id", "src", "size", "at", "p", "blocks")
+        open_rows = rest.join(fewer, "src")
         level += 1
+    last = rest.unionByName(reserve).withColumn("block", F.lit(0).cast("long"))
+    done.append(step(last.groupBy("src", "block").applyInArrow(_flyer(seed, level + 1, land=True), _ROW)).filter("p = 1"))
+    rows = planned(sized).select("doc_id", "src", "size", "source_size", "target", "sure")
     # Rows repeated in full are interchangeable, so the extra copies are counted per (id, source, size).
     extra = settle(reduce(DataFrame.unionByName, done).groupBy("doc_id", "src", "size").agg(F.count(F.lit(1)).alias("extra")))
     step.free()
-    return Draw(rows.select("doc_id", "src", "size", "source_size", "target", "sure"), extra, plan)
+    return Draw(rows, extra, plan)
 
 
 def _with_extra(rows: DataFrame, extra: DataFrame) -> DataFrame:
