@@ -43,6 +43,16 @@ def _hit(slots: pa.StructArray, bits: np.ndarray) -> np.ndarray:
     return hit
 
 
+def may_belong(inside: DataFrame, key: F.Column) -> F.Column:
+    """A boolean column: false for keys that are certainly not in ``inside``, a settled table of one column ``id``."""
+    bits = inside.sparkSession.sparkContext.broadcast(_bits(inside))
+
+    def hit(h: pa.Array) -> pa.Array:
+        return pa.array(_hit(h, bits.value))
+
+    return F.arrow_udf(hit, "boolean")(F.struct(*(F.xxhash64(F.lit(s), key).alias(f"h{s}") for s in _SEEDS)))
+
+
 def belongs(inside: DataFrame, outside: DataFrame, id_col: str = "doc_id") -> F.Column:
     """A boolean column over tables with ``id_col``: true for ids of ``inside``, false for those of ``outside``, null where
     only an exact join can tell. Both are tables of one column ``id``, settled; an id that is in both is always null."""

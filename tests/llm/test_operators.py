@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -292,10 +293,39 @@ def test_repeated_passages(docs, texts, odd):
     assert {r["doc_id"] for r in suffix_dedup.repeated_passages(odd).collect()} == {7, 8}
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT, 4])
-def test_repeated_passages_between_look_alikes(spark, monkeypatch, hot):
+def test_sorted_entries_across_ranges():
+    """Entries of a hash that fill several ranges and batches, of one document or of many, against a plain count."""
+    rng = random.Random(11)
+    for trial in range(200):
+        rows = sorted((rng.choice([1, 1, 1, 2, 3, 4, 5, 6]), rng.randrange(rng.choice([1, 2, 4])), k, 10 * k) for k in range(rng.randrange(1, 40)))
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(trial % 6))})
+        told = []
+        for a, b in zip(cuts, cuts[1:]):
+            part, batches, at = rows[a:b], [], 0
+            while at < len(part):
+                n = rng.randrange(1, 9)
+                h, d, k, s = zip(*part[at : at + n])
+                batches.append(pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(s, pa.int32())], names=["hash", "doc", "at", "start"]))
+                at += n
+            told += [tuple(r.values()) for x in suffix_dedup._same(iter(batches)) for r in x.to_pylist()]
+        docs, got = collections.defaultdict(set), set()
+        for kind, h, *_, low, high in told:
+            if kind == 2:
+                docs[h] |= {low, high}
+        for kind, h, doc, k, s, low, high in told:
+            if kind == 0:
+                assert low != high and doc in range(low, high + 1)
+            if kind == 0 or kind == 1 and len(docs[h]) > 1:
+                got.add((doc, k, s))
+        many = collections.defaultdict(set)
+        for h, d, _, _ in rows:
+            many[h].add(d)
+        assert got == {(d, k, s) for h, d, k, s in rows if len(many[h]) > 1}
+
+
+@pytest.mark.parametrize("parts", ["9", "61"])
+def test_repeated_passages_between_look_alikes(spark, parts):
     """Two documents share L+X+R; many others share only L+X or X+R with them, and sort in between."""
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(7)
     fresh = iter(range(10**9))
     own = lambda n: [f"u{next(fresh)}" for _ in range(n)]
@@ -309,7 +339,7 @@ def test_repeated_passages_between_look_alikes(spark, monkeypatch, hot):
     before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
     try:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {i: set() for i in texts}
         for row in suffix_dedup.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
             got[row["doc_id"]].update(range(row["start_word"], row["end_word"]))
