@@ -3,6 +3,10 @@ weights of its sources and encoded.
 
 Each stage is a function of (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs.
 The last stage returns doc_id, n_tokens and ids of each row of the mix.
+
+Defined cases: a null or empty text scores as not toxic, is a copy of other empty texts, has no near copies, weighs nothing in the
+mix and so is not taken; a null id stays a row of its own in every stage; rows repeated in full are copies; columns beside doc_id,
+text and source are carried by all stages but the last, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlspan.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
-from crawlspan.llm.common import settle, table
+from crawlspan.llm.common import Settled, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. Each stage's table is freed once the next one's is written; the last one's input stays for
+    the lazy result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        written = Settled(stage(spark, docs, sf_dir))
+        if before is not None:
+            before.drop()
+        docs, before = written.df, written
     return STAGES[-1][1](spark, docs, sf_dir)
