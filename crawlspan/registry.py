@@ -89,7 +89,28 @@ def _gz(s: SparkSession, d: str) -> DataFrame:
     import gzip
 
     packed = F.pandas_udf(lambda x: x.map(lambda t: gzip.compress(t.encode())), "binary")
-    return sm.sitemap_entries(sm.gunzip(_sitemap_docs(s, d).select(F.concat("url", F.lit(".gz")).alias("url"), packed("body").alias("body")))).select("url")
+    return sm.sitemap_entries(_sitemap_docs(s, d).select(F.concat("url", F.lit(".gz")).alias("url"), packed("body").alias("body"))).select("url")
+
+
+@query("src4_sitemap_stream", "SELECT 'https://maps.example/odd' || page_id // 200 || '.xml' AS source_url, url, CASE WHEN page_id % 4 = 1 THEN '2024-01-0' || (1 + page_id % 9) END AS lastmod FROM pages WHERE page_id % 5 <> 4")
+def _odd_maps(s: SparkSession, d: str) -> DataFrame:
+    """Packed files with images before locations, CDATA, numeric references, and entries that are not well formed."""
+    import gzip
+
+    p = s.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    as_ = lambda ref: F.replace("url", F.lit("&"), F.lit(ref))
+    body = (
+        F.when(F.col("page_id") % 5 == 4, F.lit("<loc>https://broken.example/?a=1&b</loc>"))
+        .when(F.col("page_id") % 4 == 0, F.concat(F.lit("<image:image><image:loc>https://img.example/x.png</image:loc></image:image><loc>\n  "), as_("&amp;"), F.lit("\n</loc>")))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("<loc><![CDATA["), F.col("url"), F.lit("]]></loc><lastmod>2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"), F.lit("</lastmod>")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("<loc>"), as_("&#38;"), F.lit("</loc><video:video><video:lastmod>2001-01-01</video:lastmod></video:video>")))
+        .otherwise(F.concat(F.lit("<s:loc>"), as_("&#x26;"), F.lit("</s:loc>")))
+    )
+    entry = F.concat(F.lit("<url>"), body, F.lit("</url>"))
+    files = p.select(F.expr("page_id div 200").alias("k"), entry.alias("e")).groupBy("k").agg(F.concat(F.lit("<urlset>"), F.concat_ws("\n", F.collect_list("e")), F.lit("</urlset>")).alias("body"))
+    packed = F.pandas_udf(lambda x: x.map(lambda t: gzip.compress(t.encode())), "binary")
+    docs = files.select(F.concat(F.lit("https://maps.example/odd"), F.col("k").cast("string"), F.lit(".xml")).alias("url"), packed("body").alias("body"))
+    return sm.sitemap_entries(docs).select("source_url", "url", "lastmod")
 
 
 _HOST = "lower(regexp_extract(url, '^https?://([^/?#:]+)', 1))"
