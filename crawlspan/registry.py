@@ -22,6 +22,7 @@ from crawlspan.operators import parse as ps
 from crawlspan.operators import results as rs
 from crawlspan.operators import rules as rl
 from crawlspan.plans import audit as au
+from crawlspan.plans import batch as ba
 from crawlspan.plans import frontier as fr
 from crawlspan.sources import pages as sp
 from crawlspan.sources import robots as rb
@@ -697,6 +698,21 @@ _add("ai15_usage_totals", lambda s, d: an.usage_totals(an.usage_ledger(_analyses
 _add("ai16_typed_results", lambda s, d: an.typed_results(_analyses(s, d)).select("page_id", F.col("meta_desc.description").alias("description")), "SELECT doc_id AS page_id, CASE WHEN doc_id % 5 <> 0 THEN 'about ' || doc_id END AS description FROM documents")
 _add("ai17_typed_summary", lambda s, d: an.typed_summary(o.crawls(s, d).select("crawl_id", F.to_json(F.struct(F.lit("fine").alias("summary"), F.col("urls_errored").alias("criticalIssuesCount"))).alias("summary_json"))).select("crawl_id", "summary", "criticalIssuesCount"), o.sql("SELECT crawl_id, 'fine' AS summary, (count(*) - count(status_code))::INTEGER AS criticalIssuesCount FROM crawled GROUP BY 1"))
 
+
+
+@query("ai18_batch", f"""WITH p AS (
+        SELECT doc_id, 5 + CASE WHEN {_W} > 4000 THEN 4002 ELSE {_W} END AS n FROM documents WHERE doc_id % 9 <> 0 AND text IS NOT NULL
+    ), u AS (SELECT doc_id, CASE WHEN n % 3 <> 0 THEN n ELSE 0 END AS n_in, CASE WHEN n % 3 <> 0 THEN 5 ELSE 0 END AS n_out FROM p),
+    r AS (SELECT *, coalesce(sum(n_in + n_out) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
+    SELECT count(*) AS pages, sum(n_in)::BIGINT AS input_tokens, sum(n_out)::BIGINT AS output_tokens, round(sum(n_in * 0.5::DOUBLE + n_out * 1.0::DOUBLE) / 1000, 6) AS cost_usd, 0 AS errors,
+           count(*) < (SELECT count(*) FROM p) AS exhausted FROM r WHERE before < 360000""")
+def _batch(s: SparkSession, d: str) -> DataFrame:
+    """All pages with text, in order, until nine tenths of a budget are used."""
+    pages = an.eligible_pages(_texts(s, d)).withColumn("title", F.lit("A title")).drop("status_code")
+    out = ba.analyse_batch(cut(pages), _stub, ba.Batch(("meta_desc",), 400_000, scratch_dir(s), rates=(0.5, 1.0), token_bytes=16.0))
+    return out.select("pages", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"), "errors", "exhausted")
+
+
 # Extensions --------------------------------------------------------------------------------------------------------
 
 
