@@ -705,11 +705,11 @@ _add("ai17_typed_summary", lambda s, d: an.typed_summary(o.crawls(s, d).select("
     ), u AS (SELECT doc_id, CASE WHEN n % 3 <> 0 THEN n ELSE 0 END AS n_in, CASE WHEN n % 3 <> 0 THEN 5 ELSE 0 END AS n_out FROM p),
     r AS (SELECT *, coalesce(sum(n_in + n_out) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM u)
     SELECT count(*) AS pages, sum(n_in)::BIGINT AS input_tokens, sum(n_out)::BIGINT AS output_tokens, round(sum(n_in * 0.5::DOUBLE + n_out * 1.0::DOUBLE) / 1000, 6) AS cost_usd, 0 AS errors,
-           count(*) < (SELECT count(*) FROM p) AS exhausted FROM r WHERE before < 360000""")
+           count(*) < (SELECT count(*) FROM p) AS exhausted FROM r WHERE before < 180000""")
 def _batch(s: SparkSession, d: str) -> DataFrame:
     """All pages with text, in order, until nine tenths of a budget are used."""
     pages = an.eligible_pages(_texts(s, d)).withColumn("title", F.lit("A title")).drop("status_code")
-    out = ba.analyse_batch(cut(pages), _stub, ba.Batch(("meta_desc",), 400_000, scratch_dir(s), rates=(0.5, 1.0), token_bytes=16.0))
+    out = ba.analyse_batch(cut(pages), _stub, ba.Batch(("meta_desc",), 200_000, scratch_dir(s), rates=(0.5, 1.0), token_bytes=16.0))
     return out.select("pages", "input_tokens", "output_tokens", F.round("cost_usd", 6).alias("cost_usd"), "errors", "exhausted")
 
 
@@ -729,6 +729,31 @@ def _udtf_rule(url: str, words: int) -> list[tuple]:
     return [("few_words", "info", "content", f"{words} words", None)] if words < 100 else []
 
 
+class _RepeatedTitles(ex.GroupRule):
+    """Titles that an earlier page of the host has, and the host's longest page."""
+
+    def __init__(self) -> None:
+        self.first, self.most = {}, (-1, "", None)
+
+    def pages(self, batch):
+        for r in batch.select(["page_id", "url", "title", "word_count"]).to_pylist():
+            self.most = max(self.most, (r["word_count"], r["url"], r["page_id"]))
+            known = self.first.setdefault(r["title"], r["url"])
+            if r["title"] is not None and known != r["url"]:
+                yield r["page_id"], "user.repeated_title", "warning", "meta", f"Title of {known}", None
+
+    def end(self):
+        yield self.most[2], "user.longest_page", "info", "content", f"Longest page of its host, {self.most[0]} words", None
+
+
+_add(
+    "udx1c_group_rule",
+    lambda s, d: ex.run_group_rule(_parsed(s, d).select("page_id", "url", "title", "word_count", ur.url_host(F.col("url")).alias("host")), _RepeatedTitles, ["host"], ["url"]).select("page_id", "rule_id", "severity", "message"),
+    o.sql(f"""SELECT page_id, 'user.repeated_title' AS rule_id, 'warning' AS severity, 'Title of ' || first AS message
+        FROM (SELECT *, min(url) OVER (PARTITION BY host, title) AS first FROM (SELECT *, {_HOST} AS host FROM parsed)) WHERE title IS NOT NULL AND url <> first
+        UNION ALL SELECT page_id, 'user.longest_page', 'info', 'Longest page of its host, ' || word_count || ' words'
+        FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY word_count DESC, url DESC) AS place FROM (SELECT *, {_HOST} AS host FROM parsed)) WHERE place = 1"""),
+)
 _add("udx2_plugin_page_view", lambda s, d: ex.plugin_page_view(_parsed(s, d)).select("page_id", "url", "title", "links_count", "word_count"), o.sql("SELECT p.page_id, p.url, title, len(regexp_extract_all(html, '<a href=')) AS links_count, word_count FROM parsed AS p JOIN pages AS r USING (page_id)"))
 _add("udx3_plugin_issue_mapping", lambda s, d: ex.map_plugin_issues(o.issues(s, d).withColumn("severity", F.when(F.col("page_id") % 2 == 0, "odd").otherwise(F.col("severity"))).withColumn("category", F.lit("none")), "demo").groupBy("rule_id", "severity", "category").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT 'plugin.demo.' || rule_id AS rule_id, CASE WHEN page_id % 2 = 0 THEN 'warning' ELSE severity END AS severity, 'structured' AS category, count(*) AS n FROM found GROUP BY 1, 2", I))
 _add("udx4_post_processor", lambda s, d: ex.run_analysis("SELECT status_code, count(*) AS n FROM crawl_pages GROUP BY status_code", {"crawl_pages": _pages(s, d)}), o.sql("SELECT status_code, count(*) AS n FROM crawled GROUP BY 1"))

@@ -357,3 +357,32 @@ def test_text_cut_at_a_word_that_ends_the_limit():
     assert parse.cut_text("a" * 7990 + " " + "b" * 9) == "a" * 7990 + " " + "b" * 9
     assert parse.cut_text("a" * 7990 + " " + "b" * 9 + " c") == "a" * 7990
     assert parse.cut_text("a" * 7990 + " " + "b" * 8 + " c") == "a" * 7990 + " " + "b" * 8
+
+
+class Counting(extend.GroupRule):
+    def __init__(self):
+        self.seen, self.batches = [], 0
+
+    def pages(self, batch):
+        self.seen += batch.column("page_id").to_pylist()
+        self.batches += 1
+        return [(i, "odd", "info", "content", "m", None) for i in batch.column("page_id").to_pylist() if i % 2]
+
+    def end(self):
+        yield len(self.seen), "end", "info", "content", f"{self.seen == sorted(self.seen)} {self.batches}", None
+
+
+def test_rules_over_groups(spark):
+    """A group passes in batches and in order; tables without the columns are refused when the plan is made."""
+    df = spark.range(1000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("host")).repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = extend.run_group_rule(df, Counting, ["host"], ["page_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    ends = {r["page_id"]: r["message"] for r in got if r["rule_id"] == "end"}
+    assert set(ends) == {334, 666} and all(m.startswith("True") for m in ends.values()) and sum(r["rule_id"] == "odd" for r in got) == 500
+    assert extend.run_group_rule(df.limit(0), Counting, ["host"], ["page_id"]).collect() == []
+    with pytest.raises(Exception, match="needs a table with host"):
+        extend.run_group_rule(df.drop("host"), Counting, ["host"], ["page_id"]).collect()
