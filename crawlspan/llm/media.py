@@ -300,21 +300,37 @@ def _predicted(mode: int, left: list[int], top: list[int], top_left: list[int],
     return [min(255, max(0, m + int((m - c) / 2))) for m, c in zip(mean, top_left, strict=True)]
 
 
+#: Predictor modes that don't look at the pixel to the left, which only comes with the same row.
+_FROM_ABOVE = {
+    0: lambda above, left, right: (0, 0, 0, 255), 2: lambda above, left, right: above, 3: lambda above, left, right: right, 4: lambda above, left, right: left,
+    8: lambda above, left, right: (left.astype(np.uint16) + above) >> 1, 9: lambda above, left, right: (above.astype(np.uint16) + right) >> 1,
+}
+
+
 def _undo_predictor(x: np.ndarray, modes: np.ndarray, block: int) -> np.ndarray:
+    """Adds predictions row by row; inside a row a block of one mode at a time, as arrays where the mode allows it."""
     height, width = x.shape
-    modes = (modes >> np.uint32(8)) & np.uint32(15)
+    modes = ((modes >> np.uint32(8)) & np.uint32(15)).tolist()
     ch = _channels(x).copy()
     ch[0, 0, 3] = (int(ch[0, 0, 3]) + 255) & 255
     ch[0] = np.add.accumulate(ch[0], axis=0, dtype=np.uint8)  # the first row goes by the left neighbour
     for y in range(1, height):
-        row_modes = modes[y >> block]
-        up, row = ch[y - 1].tolist(), ch[y].tolist()
-        row[0] = [(a + b) & 255 for a, b in zip(row[0], up[0], strict=True)]
-        for i in range(1, width):
-            right = up[i + 1] if i + 1 < width else row[0]
-            p = _predicted(int(row_modes[i >> block]), row[i - 1], up[i], up[i - 1], right)
-            row[i] = [(a + b) & 255 for a, b in zip(row[i], p, strict=True)]
-        ch[y] = row
+        up, row = ch[y - 1], ch[y]
+        row[0] += up[0]
+        right = np.concatenate([up[1:], row[:1]])  # above and to the right; the last pixel's is the row's own first
+        for start in range(0, width, 1 << block):
+            at, end, mode = max(1, start), min(width, start + (1 << block)), modes[y >> block][start >> block]
+            mode = 0 if mode > 13 else mode
+            if mode == 1:
+                row[at - 1 : end] = np.add.accumulate(row[at - 1 : end], axis=0, dtype=np.uint8)
+            elif mode in _FROM_ABOVE:
+                row[at:end] += np.asarray(_FROM_ABOVE[mode](up[at:end], up[at - 1 : end - 1], right[at:end]), np.uint8)
+            else:
+                own, above, beside = row[at - 1 : end].tolist(), up[at - 1 : end].tolist(), right[at:end].tolist()
+                for i in range(1, len(own)):
+                    p = _predicted(mode, own[i - 1], above[i], above[i - 1], beside[i - 1])
+                    own[i] = [(a + b) & 255 for a, b in zip(own[i], p, strict=True)]
+                row[at:end] = own[1:]
     return ch.view("<u4").reshape(height, width)
 
 
