@@ -5,9 +5,12 @@ run through an Aho-Corasick automaton of the vocabulary, which gives the longest
 encoder takes the longest token whose pair with its left neighbour is stable, falls back to shorter prefixes, and steps
 back when none fits; each place is given up at most once, so the work is linear. A pair is stable when replaying the
 merges over both tokens would not join or cut them differently; answers are kept, as are the ids of whole pieces. That
-backtracking over stable pairs gives the very ids of the merges is a published result on byte-pair encoding.
+backtracking over stable pairs gives the very ids of the merges, and the walk that tells stable pairs, were published with the
+open-source Rust crate ``bpe`` of github/rust-gems; this is a version of that walk for Python workers.
 
-Defined cases: a null text is an empty one, with no ids; very long pieces take linear time and bypass the piece cache.
+Defined cases: a null text is an empty one, with no ids; very long pieces take linear time and bypass the piece cache; a null
+id stays null; repeated rows each give a row; an empty table gives none; other columns are ignored by :func:`round_trip` and
+:func:`token_ids` and carried by the column functions.
 """
 
 from __future__ import annotations

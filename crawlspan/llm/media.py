@@ -9,7 +9,9 @@ The encoder writes RGB samples under a fixed prefix code made for text bytes, wi
 A payload is stored as rows of 192 pixels; a payload too tall for one image gets wider rows, its length stands in the file.
 :func:`decode` gives the pixel arrays of any lossless files; features and digests are computed from these arrays.
 
-Defined cases: a null text counts as empty (one block of padding); equal texts give equal files; a damaged file raises.
+Defined cases: a null text counts as empty (one block of padding); equal texts give equal files; a damaged file raises; a null
+id stays null; repeated rows each give a row; an empty table gives none; other columns are ignored. A payload of more bytes than
+the largest picture of the format has samples (16,384 by 16,384 pixels, some 800 MB) raises.
 """
 
 from __future__ import annotations

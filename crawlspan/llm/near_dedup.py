@@ -12,8 +12,9 @@
 
 The bands are as many as make the chance to miss a pair at the threshold less than MISS.
 
-Defined cases: a text with fewer words than a shingle is one shingle; without words it links with nothing; rows under one
-id are one document; a row without id is alone, its component null, and stays.
+Defined cases: a text with fewer words than a shingle is one shingle; a null text or one without words links with nothing; rows
+under one id are one document; a row without id is alone, its component null, and stays; an empty table gives no rows; other
+columns are ignored by :meth:`NearDedup.groups` and carried by :meth:`NearDedup.drop_near_copies`.
 """
 
 from __future__ import annotations

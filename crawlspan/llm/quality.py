@@ -9,7 +9,8 @@ The classifier is fitted on a bounded, hash-ordered sample of labelled documents
 covers all rows. Held-out documents (see :func:`crawlspan.llm.common.held_out`) never serve to fit it.
 
 Defined cases: a null text counts as empty; null hosts and paths are groups of their own; rows without id are scored and not
-learnt from; without labels of both kinds the classifier says one half for every text.
+learnt from; without labels of both kinds the classifier says one half for every text; repeated rows are each scored and
+count in their groups; an empty table gives no rows.
 """
 
 from __future__ import annotations
