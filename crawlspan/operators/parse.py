@@ -172,10 +172,11 @@ def h1_first() -> F.Column:
     return F.try_element_at("h1s", F.lit(1))
 
 
-def js_candidates(parsed: DataFrame, always: list[str] | None = None, never: list[str] | None = None) -> DataFrame:
-    """``js_candidate``: a never pattern vetoes, an always pattern forces, else few words and two scripts or more."""
+def js_candidates(parsed: DataFrame, always: list[str] | None = None, never: list[str] | None = None, few_words: int = 50, scripts: int = 2) -> DataFrame:
+    """``js_candidate``: a never pattern vetoes, an always pattern forces, else fewer than ``few_words`` words and ``scripts``
+    scripts or more."""
     hit = lambda ps: F.lit(False) if not ps else F.col("url").rlike("|".join(f"(?:{p})" for p in ps))
-    return parsed.withColumn("js_candidate", ~hit(never) & (hit(always) | ((F.col("word_count") < 50) & (F.size("scripts") >= 2))))
+    return parsed.withColumn("js_candidate", ~hit(never) & (hit(always) | ((F.col("word_count") < few_words) & (F.size("scripts") >= scripts))))
 
 
 def jsonld_blocks(pages: DataFrame, html: str = "html") -> DataFrame:

@@ -176,10 +176,13 @@ def site_tree(pages: DataFrame) -> DataFrame:
     """
     host = url_host(F.col("url"))
     leaves = pages.select("crawl_id", F.when(host == "", F.lit("unknown")).otherwise(host).alias("host"), path_segments(F.col("url")).alias("path"), "url", "page_id", "status_code")
-    leaves = leaves.groupBy("crawl_id", "host", "path").agg(F.max(F.struct("url", "page_id", "status_code")).alias("own"))
-    nodes = leaves.select("crawl_id", "host", "own", F.size("path").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda k: F.slice("path", F.lit(1), k))).alias("path"))
-    mine = F.when(F.size("path") == F.col("n"), F.col("own"))
-    out = nodes.groupBy("crawl_id", "host", "path").agg(F.count(F.lit(1)).alias("page_count"), F.max(mine).alias("own"))
+    key = ["crawl_id", "host", "path"]
+    leaves = leaves.groupBy(*key).agg(F.max(F.struct("url", "page_id", "status_code")).alias("own"))
+    # Pages are summed by folder first, so that only folders, not pages, become a row for each folder above them.
+    folders = leaves.filter(F.size("path") > 0).groupBy("crawl_id", "host", F.slice("path", F.lit(1), F.size("path") - 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+    above = folders.select("crawl_id", "host", F.explode(F.transform(F.sequence(F.lit(0), F.size("folder")), lambda k: F.slice("folder", F.lit(1), k))).alias("path"), "n")
+    nodes = leaves.withColumn("n", F.lit(1).cast("long")).unionByName(above, allowMissingColumns=True)
+    out = nodes.groupBy(*key).agg(F.sum("n").alias("page_count"), F.max("own").alias("own"))
     return out.select(
         "crawl_id", "host", F.size("path").alias("level"), F.concat(F.lit("/"), F.array_join("path", "/")).alias("path"), F.coalesce(F.try_element_at("path", F.lit(-1)), F.col("host")).alias("label"),
         F.col("own.url").alias("url"), F.col("own.page_id").alias("page_id"), F.col("own.status_code").alias("status_code"), "page_count",

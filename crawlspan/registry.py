@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -155,6 +156,13 @@ def _sheets(s: SparkSession, d: str) -> DataFrame:
     return reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("sheet")).groupBy().agg(F.lit(name).alias("sheet"), F.count(F.lit(1)).alias("n")) for name, df in frames.items()))
 
 
+@query("snk5_report_images", o.sql("SELECT x.src AS targetUrl, page_id AS sourcePage, x.alt AS anchorText FROM (SELECT page_id, unnest(images) AS x FROM rich)", ri.RICH_SQL))
+def _image_sheet(s: SparkSession, d: str) -> DataFrame:
+    """The images sheet of pages that have images."""
+    links = ps.links_table(_rich(s, d)).withColumn("link_id", F.monotonically_increasing_id())
+    return sk.report_frames({"links": links})["images"].select("targetUrl", "sourcePage", "anchorText")
+
+
 @query("snk6_7_bundle_tables", o.sql("SELECT 'crawls' AS name, 2 AS n UNION ALL SELECT 'pages', count(*) FROM crawled UNION ALL SELECT 'links', count(*) FROM linked UNION ALL SELECT 'issues', count(*) FROM found", L, I))
 def _bundle_tables(s: SparkSession, d: str) -> DataFrame:
     """The base crawl saved and opened beside the other crawl: all tables are whole again."""
@@ -297,6 +305,11 @@ _add(
 )
 _add("ext19_headings", lambda s, d: ps.headings_table(_parsed(s, d)), o.sql("SELECT page_id, 1 AS level, 0 AS place, h1 AS heading FROM parsed WHERE h1 IS NOT NULL"))
 _add("ext20_js_candidates", lambda s, d: ps.js_candidates(_parsed(s, d), always=["/en/9"], never=[r"\?page="]).select("page_id", "js_candidate"), r"SELECT page_id, NOT regexp_matches(url, '\?page=') AND regexp_matches(url, '/en/9') AS js_candidate FROM pages")
+_add(
+    "ext20_js_few_words",
+    lambda s, d: ps.js_candidates(_rich(s, d), always=["/en/9"], never=[r"\?page="], few_words=200).select("page_id", "js_candidate"),
+    o.sql(r"SELECT page_id, NOT regexp_matches(url, '\?page=') AND (regexp_matches(url, '/en/9') OR word_count < 200 AND len(scripts) >= 2) AS js_candidate FROM rich", ri.RICH_SQL),
+)
 _add("ext21_jsonld", lambda s, d: rl.jsonld_rules(ri.raw_rich(s, d), ps.jsonld_blocks(ri.raw_rich(s, d))).select("page_id", "rule_id", "severity", "message"), """
     SELECT page_id, 'jsonld.missing_schema' AS rule_id, 'info' AS severity, 'Page has no JSON-LD structured data.' AS message FROM pages WHERE page_id % 5 = 0
     UNION ALL SELECT page_id, 'jsonld.invalid_json', 'error', 'JSON-LD block is not valid JSON.' FROM pages WHERE page_id % 5 = 2
@@ -313,6 +326,23 @@ def _resolve(s: SparkSession, d: str) -> DataFrame:
     return _urls(s, d).select("page_id", f("url").alias("absolute"))
 
 
+@query("fn1_resolve_hrefs", r"""
+    SELECT page_id, CASE page_id % 6 WHEN 0 THEN root || '/about/' WHEN 1 THEN folder || 'x.html' WHEN 2 THEN folder || leaf || '?q=' || page_id WHEN 3 THEN split_part(url, '#', 1) || '#part'
+           WHEN 4 THEN regexp_extract(url, '^(https?):', 1) || '://other.example/p' ELSE 'https://abs.example/' || page_id END AS absolute
+    FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]+') AS root, regexp_extract(url, '^(https?://[^/?#]+/(?:[^?#]*/)?)', 1) AS folder,
+                 regexp_extract(url, '^https?://[^/?#]+/(?:[^?#]*/)?([^/?#]*)', 1) AS leaf FROM pages)""")
+def _resolved_hrefs(s: SparkSession, d: str) -> DataFrame:
+    """References of six kinds, each against its page's URL."""
+    p = F.col("page_id")
+    href = F.when(p % 6 == 0, "/a/../about/").when(p % 6 == 1, "./x.html").when(p % 6 == 2, F.concat(F.lit("?q="), p.cast("string"))).when(p % 6 == 3, "#part").when(p % 6 == 4, "//other.example/p").otherwise(F.concat(F.lit("https://abs.example/"), p.cast("string")))
+    f = F.arrow_udf(_resolve_all, "string")
+    return _urls(s, d).select("page_id", f("url", href).alias("absolute"))
+
+
+def _resolve_all(urls: pa.Array, hrefs: pa.Array) -> pa.Array:
+    return pa.array([ur.resolve(u, h) for u, h in zip(urls.to_pylist(), hrefs.to_pylist(), strict=True)], pa.string())
+
+
 _PATH = r"regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1)"
 _NORM = rf"""
 WITH u AS (SELECT page_id, lower(regexp_extract(url, '^(https?)://', 1)) AS scheme, lower(regexp_extract(url, '^https?://([^/?#]+)', 1)) AS host, {_PATH} AS path,
@@ -447,6 +477,12 @@ def _corpus(s: SparkSession, d: str) -> DataFrame:
 _CFG = CrawlConfig(max_depth=3, respect_robots=False)
 _seeds = lambda s, d: fr.seed(_corpus(s, d).filter("page_id between 1 and 3").select("url"), _CFG)
 _add("frt1_seed", lambda s, d: _seeds(s, d).select("depth", "priority"), o.sql("SELECT 0 AS depth, 100 AS priority FROM crawled WHERE crawl_id = 'base' AND page_id BETWEEN 1 AND 3"))
+_add("frt1_seed_rows", lambda s, d: fr.seed(_corpus(s, d).filter("depth = 0").select("url"), _CFG).select("url", "url_hash", "depth", "priority"), o.sql(f"SELECT normal AS url, sha256(normal) AS url_hash, 0 AS depth, 100 AS priority FROM crawled JOIN ({_NORM}) USING (page_id) WHERE crawl_id = 'base' AND page_id % 4 = 0"))
+_add(
+    "frt2_sitemap_rows",
+    lambda s, d: fr.seed_sitemaps(o.sitemap(s, d).filter("crawl_id = 'base'"), CrawlConfig(include=("/en/",), exclude=(r"\?",))).select("url", "depth", "priority"),
+    o.sql(rf"SELECT normal AS url, 0 AS depth, 150 AS priority FROM mapped JOIN (SELECT url, normal FROM ({_NORM}) JOIN pages USING (page_id)) USING (url) WHERE crawl_id = 'base' AND normal LIKE '%/en/%' AND normal NOT LIKE '%?%'", S),
+)
 _add("frt2_sitemap_seed", lambda s, d: fr.seed_sitemaps(o.sitemap(s, d).filter("crawl_id = 'base'"), CrawlConfig(include=("/en/",), exclude=(r"\?",))).groupBy("depth", "priority").agg(F.count(F.lit(1)).alias("n")), o.sql(r"SELECT 0 AS depth, 150 AS priority, count(*) AS n FROM mapped WHERE crawl_id = 'base' AND url LIKE '%/en/%' AND regexp_replace(url, '#.*', '') NOT LIKE '%?%'", S))
 _add("frt3_expand", lambda s, d: fr.expand(_corpus(s, d), _CFG).groupBy("depth", "priority").agg(F.count(F.lit(1)).alias("n")), o.sql("SELECT depth + 1 AS depth, 99 - depth AS priority, count(*) AS n FROM linked AS l JOIN crawled AS p ON p.crawl_id = l.crawl_id AND p.page_id = l.source_page WHERE l.crawl_id = 'base' AND is_internal AND NOT nofollow AND depth < 3 GROUP BY 1, 2", L))
 _BFS = f"""canon AS (
