@@ -20,10 +20,12 @@ def colocated(df: DataFrame, key: str, aligned: bool = False) -> DataFrame:
     """``df`` written to the shared folder in sorted buckets of ``key`` and read back: joins and groupings on the key, or on
     more columns beside it, need no exchange. ``aligned``: the rows are partitioned by the key already.
 
-    The session is told that a part of a join's keys is enough to place rows; that holds for all its later plans.
+    The session is told that a part of a join's keys is enough to place rows, and that a union of such tables is in no order of
+    its own (it would plan joins on their buckets, but run with the partitions of all); that holds for all its later plans.
     """
     spark, n = df.sparkSession, buckets(df.sparkSession)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     name = f"crawlspan_{uuid.uuid4().hex}"
     rows = df if aligned else df.repartition(n, key)
     rows.write.format("parquet").bucketBy(n, key).sortBy(key).option("path", scratch_dir(spark)).saveAsTable(name)
