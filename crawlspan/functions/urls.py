@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import reduce
 from urllib.parse import quote, urljoin, urlsplit
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,13 +77,26 @@ def _decoded(text: Column) -> Column:
     return F.when(text.rlike("[+%]"), F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))).otherwise(text)
 
 
-def normalize_url(url: Column, strip_slash: bool = True) -> Column:
+_built: dict[tuple, Column] = {}
+
+
+def _once(kind: str, name: str, strip_slash: bool, make: Callable[[Column], Column]) -> Column:
+    """The expression over a column of this name, built once for a Spark context: it has some thousand nodes."""
+    key = (id(SparkContext._active_spark_context), kind, name, strip_slash)
+    if key not in _built:
+        _built[key] = make(F.col(name))
+    return _built[key]
+
+
+def normalize_url(url: Column | str, strip_slash: bool = True) -> Column:
     """Canonical form: lower-case scheme and ASCII host, no fragment or default port, sorted query, no dot segments.
 
     The path and the query are percent-encoded where they must be. Query pairs are decoded, sort by key, then value, are
     written anew, and an empty value loses its '='; so an encoded '&' or '=' is a plain one after it. One slash at the end
     of the whole goes, but not where the path is the root. A text that is no absolute URL stays as it is.
     """
+    if isinstance(url, str):
+        return _once("normal", url, strip_slash, lambda c: normalize_url(c, strip_slash))
     part = lambda i: F.regexp_extract(url, _PARTS, i)
     return _let(F.struct(F.lower(part(1)).alias("scheme"), part(2).alias("place"), part(3).alias("path"), part(4).alias("query")), lambda p: F.when(p["scheme"] == "", url).otherwise(_rebuilt(p, strip_slash)))
 
@@ -102,7 +116,9 @@ def _rebuilt(p: Column, strip_slash: bool) -> Column:
     return F.concat(front, _let(F.struct(path.alias("path"), query.alias("query")), strip if strip_slash else lambda x: F.concat(x["path"], x["query"])))
 
 
-def hash_url(url: Column) -> Column:
+def hash_url(url: Column | str) -> Column:
+    if isinstance(url, str):
+        return _once("hash", url, False, hash_url)
     return F.sha2(normalize_url(url, False), 256)
 
 

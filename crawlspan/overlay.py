@@ -48,7 +48,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = both.withColumns(
         {
             "response_time_ms": (F.col("page_id") * 37) % 5000, "body_size": F.col("html_bytes").cast("long") * 100, "depth": (F.col("page_id") % 4).cast("int"), "content_type": F.lit("text/html"),
-            "fetched_at": F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "final_url": F.col("url"), "url_hash": hash_url(F.col("url")),
+            "fetched_at": F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")), "final_url": F.col("url"), "url_hash": hash_url("url"),
         }
     )
     return page_state(both).drop("gone", "shift", "html_bytes")

@@ -40,12 +40,12 @@ def audit(
     blank = fetches.withColumn("html", F.when(is_html_page(), F.col("html")).otherwise(F.lit("")))
     corpus = cut(parse_pages(blank, root_domain=root_domain))
     got, frontier = crawl(corpus, seeds, cfg, robots)
-    pages = got.withColumns({"crawl_id": F.lit(crawl_id), "url": normalize_url(F.col("url"), cfg.strip_slash), "meta_desc": F.col("meta_description"), "h1": h1_first()})
+    pages = got.withColumns({"crawl_id": F.lit(crawl_id), "url": normalize_url("url", cfg.strip_slash), "meta_desc": F.col("meta_description"), "h1": h1_first()})
     pages = cut(page_state(pages))
-    links = links_table(pages).withColumn("href", F.col("target_url")).withColumn("target_url", normalize_url(F.col("target_url"), cfg.strip_slash))
+    links = links_table(pages).withColumn("href", F.col("target_url")).withColumn("target_url", normalize_url("target_url", cfg.strip_slash))
     links = cut(links)
     stored = pages.select("crawl_id", "page_id", "url", "depth", "status_code", "title", "meta_desc", "h1")
-    entries = None if sitemap is None else sitemap.select(F.lit(crawl_id).alias("crawl_id"), normalize_url(F.col("url"), cfg.strip_slash).alias("url")).distinct()
+    entries = None if sitemap is None else sitemap.select(F.lit(crawl_id).alias("crawl_id"), normalize_url("url", cfg.strip_slash).alias("url")).distinct()
     own = evaluate_rules(pages, config={"rules": cfg.rules}, html_only=True)
     across = post_crawl_issues(stored, links, entries, cap)
     return Audit(pages, links, own.select(*across.columns).unionByName(across), frontier.withColumn("crawl_id", F.lit(crawl_id)))

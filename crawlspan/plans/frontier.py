@@ -16,26 +16,28 @@ from crawlspan.sources.scratch import cut
 FRONTIER = "url string, url_hash string, depth int, priority int, source_page long"
 
 
-def _entries(df: DataFrame, depth: F.Column, priority: F.Column, source: F.Column) -> DataFrame:
-    return df.select("url", hash_url(F.col("url")).alias("url_hash"), depth.cast("int").alias("depth"), priority.cast("int").alias("priority"), source.cast("long").alias("source_page"))
+def _entries(df: DataFrame, depth: F.Column, priority: F.Column, source: F.Column, rewritten: bool = False) -> DataFrame:
+    """Frontier rows of a table whose ``url`` is normalised; rewriting may have undone that."""
+    key = hash_url("url") if rewritten else F.sha2("url", 256)
+    return df.select("url", key.alias("url_hash"), depth.cast("int").alias("depth"), priority.cast("int").alias("priority"), source.cast("long").alias("source_page"))
 
 
 def seed(urls: DataFrame, cfg: CrawlConfig = CrawlConfig()) -> DataFrame:
     """Start URLs: depth 0, priority 100."""
-    return _entries(urls.select(normalize_url(F.col("url"), cfg.strip_slash).alias("url")), F.lit(0), F.lit(100), F.lit(None))
+    return _entries(urls.select(normalize_url("url", cfg.strip_slash).alias("url")), F.lit(0), F.lit(100), F.lit(None))
 
 
 def seed_sitemaps(entries: DataFrame, cfg: CrawlConfig = CrawlConfig()) -> DataFrame:
     """Sitemap URLs that the filters keep: depth 0, priority 150."""
-    urls = entries.select(rewrite_url(normalize_url(F.col("url"), cfg.strip_slash), list(cfg.rewrite)).alias("url")).filter(url_allowed(F.col("url"), cfg.include, cfg.exclude))
-    return _entries(urls, F.lit(0), F.lit(150), F.lit(None))
+    urls = entries.select(rewrite_url(normalize_url("url", cfg.strip_slash), list(cfg.rewrite)).alias("url")).filter(url_allowed(F.col("url"), cfg.include, cfg.exclude))
+    return _entries(urls, F.lit(0), F.lit(150), F.lit(None), bool(cfg.rewrite))
 
 
 def expand(parsed: DataFrame, cfg: CrawlConfig = CrawlConfig()) -> DataFrame:
     """Targets of internal, followed links of pages above the depth limit; a level deeper, a little less urgent."""
     links = parsed.filter(F.col("depth") < cfg.max_depth).select("page_id", "depth", F.inline("links")).filter("is_internal and not is_nofollow")
-    urls = links.select("page_id", "depth", rewrite_url(normalize_url(F.col("href"), cfg.strip_slash), list(cfg.rewrite)).alias("url")).filter(url_allowed(F.col("url"), cfg.include, cfg.exclude))
-    return _entries(urls, F.col("depth") + 1, F.lit(100) - (F.col("depth") + 1), F.col("page_id"))
+    urls = links.select("page_id", "depth", rewrite_url(normalize_url("href", cfg.strip_slash), list(cfg.rewrite)).alias("url")).filter(url_allowed(F.col("url"), cfg.include, cfg.exclude))
+    return _entries(urls, F.col("depth") + 1, F.lit(100) - (F.col("depth") + 1), F.col("page_id"), bool(cfg.rewrite))
 
 
 def dedup(new: DataFrame, seen: DataFrame | None = None) -> DataFrame:
@@ -86,7 +88,7 @@ def crawl(corpus: DataFrame, seeds: DataFrame, cfg: CrawlConfig = CrawlConfig(),
     distinct; what was seen stays where it is. The number of waves is the depth limit at most. ``max_pages`` counts pages
     that came, exactly.
     """
-    keyed = corpus.drop("depth").withColumn("url_hash", hash_url(normalize_url(F.col("url"), cfg.strip_slash)))
+    keyed = corpus.drop("depth").withColumn("url_hash", F.sha2(normalize_url("url", cfg.strip_slash), 256))
     first = Window.partitionBy("url_hash").orderBy("page_id")
     keyed = keyed.repartition(buckets(corpus.sparkSession), "url_hash").withColumn("nth", F.row_number().over(first)).filter("nth = 1").drop("nth")
     keyed = colocated(keyed, "url_hash", aligned=True)
