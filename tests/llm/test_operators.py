@@ -570,7 +570,7 @@ def test_quality(spark, odd):
 
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"pipeline", "op6_html_text"}))
 def test_empty_tables(spark, tmp_path, name):
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "embeddings", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     df = queries.QUERIES[name](spark, str(tmp_path))
     assert df.collect() == [] and df.columns
