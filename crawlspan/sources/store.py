@@ -110,9 +110,9 @@ class CrawlStore:
         self.commit(state, version)
         return version + 1
 
-    def upsert(self, updates: DataFrame, table: str = "pages", seq: str = "seq") -> int:
-        """Rows by (crawl_id, url_hash): the newest of an update wins, but url and depth keep their first value. Only the
-        crawls that ``updates`` name are read and written."""
+    def upsert(self, updates: DataFrame, table: str = "pages", seq: str = "seq", all_ties: bool = False) -> int:
+        """Rows by (crawl_id, url_hash): the newest of an update wins, but url and depth keep their first value (``all_ties``
+        as in :func:`upsert_pages`). Only the crawls that ``updates`` name are read and written."""
         from crawlspan.sources.sinks import upsert_pages
 
         version = self.version()
@@ -120,7 +120,7 @@ class CrawlStore:
         touched = {r[0] for r in updates.select("crawl_id").distinct().collect()}
         if touched:
             names = StructType.fromJson(json.loads(state["schemas"][table])).names
-            merged = upsert_pages(self.read(table, touched, state), updates.select(*names, seq), seq)
+            merged = upsert_pages(self.read(table, touched, state), updates.select(*names, seq), seq, all_ties)
             state["parts"][table].update(self.write(table, merged))
             self.commit(state, version)
         return version + bool(touched)
